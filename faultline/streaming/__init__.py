@@ -1,0 +1 @@
+"""Reserved. The analytics here are batch: every log is read once and whole."""
