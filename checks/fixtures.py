@@ -74,3 +74,62 @@ def log_lines_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     drop = (F.floor((F.col("line_no") - 1) / 3) % 4 == 0) & ((F.col("line_no") - 1) % 3 == 0)
     return log_lines(spark, sf_dir).withColumn(
         "value", F.when(drop, F.expr("substring(value, 21)")).otherwise(v))
+
+
+def ev_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as Event Viewer exports, one header line per file."""
+    e, k, u = F.col("event_type"), F.col("k"), F.col("user_id")
+    txt = lambda c: c.cast("string")
+    level = (
+        F.when(e == "error", F.when(k % 10 == 0, "Critical").otherwise("Error"))
+        .when(e == "purchase", "Warning").when(e == "signup", "Audit Failure").otherwise("Information"))
+    empty = k % 10 == 3
+    said = F.when(empty, "").when(e == "click", '"isSkipReviewEnabled: true').otherwise(
+        F.concat(F.lit('"Operation ""op'), txt(k % 4), F.lit('"" failed\tfor user '), txt(u)))
+    head = F.concat_ws(
+        "\t", level, F.date_format("t", "MM/dd/yyyy HH:mm:ss"), F.concat(F.lit("VSApp"), txt(u % 2)),
+        F.when(k % 11 == 0, "n/a").otherwise(txt(k + 100)), F.lit("None"), said)
+    n = F.col("event_id") * 8
+    url = F.concat(F.lit("https://vs.example.com"), _pick(URLS, u % 4), F.lit("?id="), txt(F.col("event_id")))
+    error = [
+        F.concat(F.lit("Error Type: "), F.regexp_extract(_pick(TAILS, k % 4), r" ([A-Za-z.]+Exception)", 1)),
+        F.concat(F.lit("Error Status Code: "), F.when(k % 3 == 0, "500").when(k % 3 == 1, "404").otherwise("9")),
+        F.concat(F.lit("Error Request Url: "), url),
+        F.concat(F.lit("Host Name: APPPRIVSPR1"), txt(u % 3)),
+        F.concat(F.lit("Correlation Id: "), txt(u), F.lit("-"), txt(k % 5)),
+        F.concat(F.lit("   at FCT.VS.Orders.Svc"), txt(k % 4), F.lit(".Run() in Svc.cs:line "), txt(k)),
+    ]
+    warned = [F.concat(F.lit('{""status"": 404, ""url"": ""https://vs.example.com/vsgateway'), _pick(URLS, u % 4), F.lit('""}'))]
+    signed = [
+        F.concat(F.lit("User Name: "), txt(u)),
+        F.concat(F.lit("Http failure response for "), url, F.lit(": 503 Service Unavailable")),
+        F.lit("Environment: Production"),
+    ]
+    def more(kind, texts):
+        return [F.struct((n + 2 + i).alias("line_no"), F.when((e == kind) & ~empty, t).alias("value"))
+                for i, t in enumerate(texts)]
+
+    lines = F.array(
+        F.struct((n + 1).alias("line_no"), head.alias("value")),
+        *more("error", error), *more("purchase", warned), *more("signup", signed),
+        F.struct((n + 8).alias("line_no"), F.when(~empty, '"').alias("value")))
+    source = F.concat(F.lit("app-"), txt(u % 5), F.lit(".txt")).alias("source")
+    body = _events(spark, sf_dir).select(source, F.inline(F.filter(lines, lambda x: x["value"].isNotNull())))
+    header = table(spark, sf_dir, "events").select(F.concat(
+        F.lit("app-"), txt(F.col("user_id") % 5), F.lit(".txt")).alias("source")).distinct().select(
+        "source", F.lit(0).cast("long").alias("line_no"), F.lit("\t".join(
+            ["Level", "Date and Time", "Source", "Event ID", "Task Category"])).alias("value"))
+    return header.unionByName(body)
+
+
+def write_log_files(lines: DataFrame, folder: str, rows_per_file: int = 200_000) -> str:
+    """Write lines as text files, in order; a long log becomes several files."""
+    chunk = F.floor(F.col("line_no") / F.lit(rows_per_file))
+    (
+        lines.withColumn("chunk", chunk)
+        .repartition("source", "chunk")
+        .sortWithinPartitions("source", "chunk", "line_no")
+        .select("source", "chunk", "value")
+        .write.partitionBy("source", "chunk").text(folder)
+    )
+    return folder

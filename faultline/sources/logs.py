@@ -48,8 +48,9 @@ def format_detect(lines: DataFrame) -> DataFrame:
     extension = F.lower(F.regexp_extract("source", r"(\.[^./\\]*)$", 1))
     looks = ev.is_header(F.col("value")) | ev.record_fields(F.col("value")).isNotNull()
     return (
-        lines.groupBy("source")
-        .agg(F.bool_or(F.when(F.col("line_no") <= DETECTION_LINES, looks)).alias("_ev"))
+        lines.filter(F.col("line_no") <= DETECTION_LINES)
+        .groupBy("source")
+        .agg(F.bool_or(looks).alias("_ev"))
         .select(
             "source",
             F.when(extension == ".log", PLAIN)
