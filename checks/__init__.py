@@ -1,6 +1,6 @@
 """Queries over the driver's tables and the SQL they are compared with."""
 
-MODULES = ["core", "formats"]
+MODULES = ["core", "formats", "knowledge"]
 
 
 def load_all():

@@ -69,7 +69,7 @@ def main():
         try:
             res, took = compare(spark, con, name, fn, reg.ORACLES.get(name), sf)
         except Exception as e:  # report and go on
-            res, took = f"FAIL {type(e).__name__}: {str(e)[:900]}", 0
+            res, took = f"FAIL {type(e).__name__}: {str(e)[:400]}", 0
         bad += res.startswith("FAIL")
         print(f"{name:34s} {took:6.1f}s {res}", flush=True)
     print("failed:", bad)
