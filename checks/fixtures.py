@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.plans.staging import spread, tune
+
 URLS = [
     "/api/CommonServiceApi/getMpacImages", "/api/AciApi/Submit", "/api/AciApi/AuditLog",
     "/api/AccountApi/authenticateuser",
@@ -18,8 +20,8 @@ TAILS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tune(spark)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,13 +31,30 @@ def first_nonblank(*cols: Column) -> Column:
     return F.coalesce(*[F.when(nonblank(c), c) for c in cols], F.lit(""))
 
 
+WHITE_SPACE = " \t\n\r\f\v"
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space on both sides."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def strip_end(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+$", "")
+    return F.rtrim(c, F.lit(WHITE_SPACE))
+
+
+def distinct_ci(values: Column, limit: int | None = None) -> Column:
+    """Distinct texts ignoring case, first spelling kept, at most ``limit``.
+
+    The values are folded into a growing list, so their expression runs once.
+    """
+    def fold(kept: Column, v: Column) -> Column:
+        known = F.exists(kept, lambda k: F.lower(k) == F.lower(v))
+        if limit is not None:
+            known = (F.size(kept) >= limit) | known
+        return F.when(known, kept).otherwise(F.concat(kept, F.array(v)))
+
+    return F.aggregate(values, F.array().cast("array<string>"), fold)
 
 
 def norm(c: Column) -> Column:

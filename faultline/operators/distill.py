@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.text import nonblank, strip
-from faultline.operators.report import is_ignored_value, labelled_values
+from faultline.functions.text import distinct_ci, nonblank, strip
+from faultline.operators.report import is_ignored_value, labelled_values, text_lines
 
 MAX_FACTS, MAX_VALUE = 24, 500
 CONFIRMED_TOP, CANDIDATE_TOP = 12, 5
@@ -74,56 +74,57 @@ def _looks_like_heading(line: Column) -> Column:
     return F.endswith(line, F.lit(":")) | ~line.rlike(r"\p{Ll}|[\p{L}&&[^\p{Lu}]]")
 
 
-def section_bullets(text: Column, heading: str) -> Column:
+def section_bullets(lines: Column, heading: str) -> Column:
     """Bullets after the first line equal to the heading, up to the next heading."""
-    lines = F.transform(F.split(F.regexp_replace(text, "\r", "\n"), "\n"), strip)
-    at = F.array_position(F.transform(lines, F.lower), F.lit(heading.lower())).cast("int")
-    rest = F.filter(F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0))), lambda x: x != "")
-    ends = F.transform(rest, lambda x: ~F.startswith(x, F.lit("- ")) & _looks_like_heading(x) & (F.lower(x) != heading.lower()))
-    stop = F.array_position(ends, F.lit(True)).cast("int")
-    body = F.when(stop > 0, F.slice(rest, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(rest)
-    bullets = F.transform(F.filter(body, lambda x: F.startswith(x, F.lit("- "))), lambda x: strip(F.substr(x, F.lit(3))))
-    return F.when(at > 0, F.filter(bullets, lambda v: ~is_ignored_value(v))).otherwise(F.array().cast("array<string>"))
+    low, open_, closed = heading.lower(), F.lit(1), F.lit(2)
+    start = F.struct(F.lit(0).alias("state"), F.array().cast("array<string>").alias("found"))
 
+    def walk(acc: Column, line: Column) -> Column:
+        here = F.lower(line) == low
+        ends = (line != "") & ~F.startswith(line, F.lit("- ")) & ~here & _looks_like_heading(line)
+        state = F.when(acc["state"] == closed, closed).when(here, open_).when(
+            (acc["state"] == open_) & ends, closed).otherwise(acc["state"])
+        bullet = (acc["state"] == open_) & F.startswith(line, F.lit("- "))
+        value = strip(F.substr(line, F.lit(3)))
+        found = F.when(bullet & ~is_ignored_value(value), F.concat(acc["found"], F.array(value))).otherwise(acc["found"])
+        return F.when(acc["state"] == closed, acc).otherwise(F.struct(state.alias("state"), found.alias("found")))
 
-def fact_list(text: Column, metadata: Column) -> Column:
+    return F.aggregate(lines, start, walk, lambda acc: acc["found"])
+
+
+def fact_list(text: Column, lines: Column, metadata: Column) -> Column:
     """All graded facts of one investigation text, in order of discovery."""
     found = []
     for key, *rest in METADATA_FACTS:
         v = F.try_element_at(metadata, F.lit(key))
         found.append(_facts(F.filter(F.array(v), lambda x: ~is_ignored_value(x)), *rest))
     for prefix, category, label, priority in LABEL_FACTS:
-        found.append(_facts(labelled_values(text, prefix, LABEL_LIMIT), category, label, priority, "RawLog", "Incident log"))
+        found.append(_facts(labelled_values(lines, prefix, LABEL_LIMIT), category, label, priority, "RawLog", "Incident log"))
     for heading, *rest in SECTION_FACTS:
-        found.append(_facts(section_bullets(text, heading), *rest))
+        found.append(_facts(section_bullets(lines, heading), *rest))
     for category, label, priority, source, pattern in PATTERN_FACTS:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
         if label == "Database operation":
             values = F.filter(values, lambda v: ~F.lower(v).isin(SQL_NOISE))
         elif label == "Stack frame":
-            values = _distinct_first(F.filter(F.transform(values, strip), lambda v: ~F.startswith(F.lower(v), F.lit("system.threading"))), FRAME_LIMIT)
+            values = distinct_ci(F.filter(F.transform(values, strip), lambda v: ~F.startswith(F.lower(v), F.lit("system.threading"))), FRAME_LIMIT)
         found.append(_facts(values, category, label, priority, "RawLog", source))
     for phrase, priority in PHRASES:
         hit = F.when(F.contains(F.lower(text), F.lit(phrase.lower())), F.array(F.lit(phrase))).otherwise(F.array().cast("array<string>"))
         found.append(_facts(hit, "Failure", "Failure pattern", priority, "RawLog", "Incident log"))
-    found.append(_facts(labelled_values(text, "Message:", LABEL_LIMIT), "Failure", "Representative message", 95, "RawLog", "Incident log"))
+    found.append(_facts(labelled_values(lines, "Message:", LABEL_LIMIT), "Failure", "Representative message", 95, "RawLog", "Incident log"))
     return F.filter(F.flatten(F.array(*found)), lambda f: nonblank(f["value"]))
 
 
-def _distinct_first(values: Column, limit: int) -> Column:
-    keys = F.transform(values, F.lower)
-    marked = F.transform(values, lambda v, i: F.struct(v.alias("v"), (F.array_position(keys, F.lower(v)) == i + 1).alias("first")))
-    return F.slice(F.transform(F.filter(marked, lambda s: s["first"]), lambda s: s["v"]), 1, limit)
-
-
 def authority_order(c: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for k, (o, _) in AUTHORITIES.items() for x in (k, o)]), c)
 
 
 def distilled_facts(texts: DataFrame) -> DataFrame:
     """The 24 strongest facts per incident: ``incident_id, fact_no`` and the fact."""
-    rows = texts.select("incident_id", F.posexplode(fact_list(F.col("investigation_text"), F.col("metadata"))).alias("pos", "f")).select(
-        "incident_id", "pos", "f.*")
+    split = texts.select("incident_id", "investigation_text", "metadata", text_lines(F.col("investigation_text")).alias("_lines"))
+    found = fact_list(F.col("investigation_text"), F.col("_lines"), F.col("metadata"))
+    rows = split.select("incident_id", F.posexplode(found).alias("pos", "f")).select("incident_id", "pos", "f.*")
     best = rows.groupBy("incident_id", "authority", *[F.lower(c).alias(f"_{c}") for c in ("category", "label", "value")]).agg(
         F.min("pos").alias("first_pos"),
         F.min_by(F.struct("category", "label", "value", "priority", "source"), F.struct((-F.col("priority")).alias("p"), "pos")).alias("f"))

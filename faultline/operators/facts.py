@@ -89,20 +89,18 @@ def log_facts(evidence: DataFrame, text: str = "text") -> DataFrame:
     All patterns run in one projection; nothing is shuffled.
     """
     t = F.col(text)
-    arrays = []
-    for no, (kind, key, score, hint, tags, pattern, group) in enumerate(FACT_PATTERNS):
+
+    def matches(no: int, entry: tuple) -> Column:
+        kind, key, score, hint, tags, pattern, group = entry
         whole = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        if group:
-            # The captured part is the match of the same pattern on the whole match's position.
-            values = F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
-        else:
-            values = whole
-        pairs = F.arrays_zip(values.alias("v"), whole.alias("w"))
-        arrays.append(F.transform(
-            pairs,
-            lambda p, i, no=no, kind=kind, key=key, score=score, hint=hint, tags=tags: _fact(
-                no, kind, key, score, hint, tags, i, _clean_value(key, p["v"]),
-                strip(p["v"] if key in ("DatabaseOperation", "Namespace") else p["w"]))))
+        # The captured parts line up with the whole matches of the same pattern.
+        values = F.regexp_extract_all(t, F.lit(pattern), F.lit(group)) if group else whole
+        said = "v" if key in ("DatabaseOperation", "Namespace") else "w"
+        return F.transform(
+            F.arrays_zip(values.alias("v"), whole.alias("w")),
+            lambda p, i: _fact(no, kind, key, score, hint, tags, i, _clean_value(key, p["v"]), strip(p[said])))
+
+    arrays = [matches(no, entry) for no, entry in enumerate(FACT_PATTERNS)]
     for no, (kind, key, score, tags, pattern, value, said) in enumerate(FACT_PROBES, len(FACT_PATTERNS)):
         one = _fact(no, kind, key, score, False, tags, F.lit(0), F.lit(value), F.lit(said))
         arrays.append(F.when(t.rlike(pattern), F.array(one)).otherwise(F.array().cast(FACT_ARRAY)))
@@ -182,9 +180,12 @@ def fingerprint_match(evidence: DataFrame, facts: DataFrame, prints: DataFrame,
         .unionByName(hits(facts.select("value"), "value", listed("exact", "startswith"), in_fact))
         .distinct()
     )
-    return found.join(prints, ["application_id", "id"]).select(
-        "application_id", "application_name", F.lit("ApplicationIdentity").alias("type"), F.col("id").alias("key"),
-        F.col("application_name").alias("value"), F.least(F.greatest("weight", F.lit(1)), F.lit(100)).alias("confidence_score"),
-        F.lit("Log").alias("source_kind"), F.lit("Log Evidence").alias("source_name"),
-        F.concat(F.lit("Matched fingerprint '"), prints["value"], F.lit("' ("), prints["type"], F.lit(").")).alias("evidence"),
-        F.lit(True).alias("is_identity_evidence"), "tags")
+    named = F.concat(F.lit("Matched fingerprint '"), F.col("value"), F.lit("' ("), F.col("type"), F.lit(")."))
+    described = prints.select(
+        "application_id", "id", F.col("application_name").alias("_name"), F.col("tags").alias("_tags"), named.alias("_said"),
+        F.least(F.greatest("weight", F.lit(1)), F.lit(100)).alias("_score"))
+    return found.join(described, ["application_id", "id"]).select(
+        "application_id", F.col("_name").alias("application_name"), F.lit("ApplicationIdentity").alias("type"), F.col("id").alias("key"),
+        F.col("_name").alias("value"), F.col("_score").alias("confidence_score"),
+        F.lit("Log").alias("source_kind"), F.lit("Log Evidence").alias("source_name"), F.col("_said").alias("evidence"),
+        F.lit(True).alias("is_identity_evidence"), F.col("_tags").alias("tags"))

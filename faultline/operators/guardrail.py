@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import blank, clamp, contains_any, nonblank, norm, strip
+from faultline.functions.text import blank, clamp, contains_any, distinct_ci, nonblank, norm, strip
 from faultline.operators.report import UNKNOWN, is_unknown, row
 
 # Wording of unsupported conclusions.
@@ -109,10 +109,7 @@ def guarded_root_causes(causes: Column, timeout: Column) -> Column:
 
 
 def guarded_components(items: Column) -> Column:
-    kept = F.filter(items, lambda i: F.exists("strong", lambda c: _eq(c["value"], i)))
-    keys = F.transform(kept, F.lower)
-    first = F.transform(kept, lambda v, i: F.struct(v.alias("v"), (F.array_position(keys, F.lower(v)) == i + 1).alias("f")))
-    return F.transform(F.filter(first, lambda s: s["f"]), lambda s: s["v"])
+    return distinct_ci(F.filter(items, lambda i: F.exists("strong", lambda c: _eq(c["value"], i))))
 
 
 def guarded_dependencies(findings: Column) -> Column:

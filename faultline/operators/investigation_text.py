@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import nonblank, strip
+from faultline.functions.text import distinct_ci, nonblank, strip
 
 STACK_LIMIT, RAW_LIMIT = 4000, 5000
 RULER = "=" * 72
@@ -67,25 +67,18 @@ def _header(title: str) -> list[Column]:
 
 def _distinct_values(values: Column) -> Column:
     """Trimmed, non-blank, first spelling ignoring case."""
-    clean = F.transform(F.filter(values, nonblank), sanitize)
-    keys = F.transform(clean, F.lower)
-    return F.transform(
-        F.filter(
-            F.transform(clean, lambda v, i: F.struct(v.alias("v"), (F.array_position(keys, F.lower(v)) == i + 1).alias("first"))),
-            lambda s: s["first"]),
-        lambda s: s["v"])
+    return distinct_ci(F.transform(F.filter(values, nonblank), sanitize))
 
 
 def _bullets(label: str, values: Column) -> Column:
-    v = _distinct_values(values)
-    return F.concat(F.lit(f"{label}:\n"), F.when(F.size(v) == 0, F.lit("- Unknown")).otherwise(
-        F.concat(F.lit("- "), F.array_join(v, "\n- "))))
+    text = F.array_join(_distinct_values(values), "\n- ")
+    return F.concat(F.lit(f"{label}:\n- "), F.coalesce(F.nullif(text, F.lit("")), F.lit("Unknown")))
 
 
 def _nested(label: str, values: Column) -> Column:
     """Indented list, or nothing."""
-    v = _distinct_values(values)
-    return F.when(F.size(v) > 0, F.concat(F.lit(f"  {label}:\n    - "), F.array_join(v, "\n    - ")))
+    text = F.nullif(F.array_join(_distinct_values(values), "\n    - "), F.lit(""))
+    return F.concat(F.lit(f"  {label}:\n    - "), text)
 
 
 def lines(*parts) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import clamp, contains_any, lines_of, nonblank, strip
+from faultline.functions.text import clamp, contains_any, distinct_ci, lines_of, nonblank, strip
 from faultline.operators.investigation_text import _distinct_values, sanitize
 
 UNKNOWN = "Unknown"
@@ -355,18 +355,22 @@ def recommendations() -> Column:
             recommendation_type="Preventive", risk="Low. Alert thresholds should be tuned to avoid noise.", confidence_score=85))
 
 
-def labelled_values(text: Column, label: str, limit: int, ignored=is_ignored_value) -> Column:
+def text_lines(text: Column) -> Column:
+    """Trimmed lines of a text; put them in a column before they are used twice."""
+    return F.transform(lines_of(F.regexp_replace(text, "\r", "\n")), strip)
+
+
+def labelled_values(lines: Column, label: str, limit: int, ignored=is_ignored_value) -> Column:
     """Distinct values of lines that start with a label, in order of appearance."""
     low = label.lower()
     values = F.transform(
-        F.filter(F.transform(lines_of(F.regexp_replace(text, "\r", "\n")), strip), lambda x: F.startswith(F.lower(x), F.lit(low))),
-        lambda x: strip(F.substr(x, F.lit(len(label) + 1))))
-    return F.slice(_distinct_values(F.filter(values, lambda v: ~ignored(v))), 1, limit)
+        F.filter(lines, lambda x: F.startswith(F.lower(x), F.lit(low))), lambda x: strip(F.substr(x, F.lit(len(label) + 1))))
+    return distinct_ci(F.filter(values, lambda v: ~ignored(v)), limit)
 
 
 def evidence_references() -> Column:
     cid = F.col("correlation_id")
-    messages = labelled_values(F.col("investigation_text"), "Message:", 10, is_unknown)
+    messages = labelled_values(text_lines(F.col("investigation_text")), "Message:", 10, is_unknown)
     return F.transform(messages, lambda m, i: row(
         evidence_type="Log Entry", description=m, source=say("Prepared Evidence ", (i + 1).cast("string")),
         correlation_id=F.when(is_unknown(cid), "").otherwise(cid)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import blank, clamp, nonblank, strip
+from faultline.functions.text import blank, clamp, distinct_ci, nonblank, strip
 from faultline.operators.guardrail import guarded_reports
 from faultline.operators.report import row
 from faultline.sources.json_text import json_object, json_objects
@@ -49,9 +49,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 
 def _root_cause(h: Column) -> Column:
-    keys = F.transform(h["evidence"], F.lower)
-    marked = F.transform(h["evidence"], lambda v, i: F.struct(v.alias("v"), (F.array_position(keys, F.lower(v)) == i + 1).alias("f")))
-    found = F.slice(F.transform(F.filter(marked, lambda s: s["f"]), lambda s: s["v"]), 1, MAX_EVIDENCE)
+    found = distinct_ci(h["evidence"], MAX_EVIDENCE)
     return row(
         title=h["cause"],
         explanation=F.when(F.size(found) == 0, "Additional evidence is required to validate this hypothesis.").otherwise(F.array_join(found, " ")),

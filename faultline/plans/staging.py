@@ -16,6 +16,28 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+# Text work is far heavier than its bytes: let small stages keep all cores busy.
+# With large inputs these settings change nothing, the advisory size rules there.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+}
+
+
+def tune(spark: SparkSession) -> None:
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer files than cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
