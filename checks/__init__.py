@@ -1,6 +1,6 @@
 """Queries over the driver's tables and the SQL they are compared with."""
 
-MODULES = ["core", "formats", "knowledge", "investigation", "guarded", "profiles"]
+MODULES = ["core", "formats", "knowledge", "investigation", "guarded", "profiles", "repositories"]
 
 
 def load_all():

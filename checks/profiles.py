@@ -172,8 +172,8 @@ def _(spark, sf):
     return p.profile.select("application_id", "identification_confidence_score")
 
 
-@check("profile_contributions", query("""SELECT type, count(*) n FROM (SELECT DISTINCT type, key, lower(value) FROM raw_facts) GROUP BY 1
-  UNION ALL SELECT type, count(*) FROM catalog_rows WHERE application_id='APP-1' GROUP BY 1""", "raw_facts catalog_rows"))
+@check("profile_contributions", query("""SELECT type, count(*) n FROM (SELECT type FROM (SELECT DISTINCT type, key, lower(value) FROM raw_facts)
+  UNION ALL SELECT type FROM catalog_rows WHERE application_id='APP-1') GROUP BY 1""", "raw_facts catalog_rows"))
 def _(spark, sf):
     found = kb.packages(spark, sf)
     nobody = log_contributions(spark, sf).filter("NOT is_identity_evidence")
