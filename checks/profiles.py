@@ -127,13 +127,17 @@ SELECT p.* FROM prints p WHERE
 
 @check("fingerprint_match", query("SELECT application_id, id AS key, greatest(1, least(100, weight)) confidence_score FROM print_hits", "print_hits"))
 def _(spark, sf):
-    rows = evidence_rows(spark, sf)
-    return fa.fingerprint_match(rows, fa.log_facts(rows).select("value").distinct(), prints(spark, sf)).select("application_id", "key", "confidence_score")
+    return fa.fingerprint_match(evidence_rows(spark, sf), fact_table(spark, sf), prints(spark, sf)).select("application_id", "key", "confidence_score")
+
+
+@shared("fact_table")
+def fact_table(spark, sf):
+    return cn.log_fact_table(evidence_rows(spark, sf), [F.col("id")])
 
 
 @shared("log_contributions")
 def log_contributions(spark, sf):
-    return cn.log_contributions(evidence_rows(spark, sf), prints(spark, sf), [F.col("id")])
+    return cn.log_contributions(evidence_rows(spark, sf), fact_table(spark, sf), prints(spark, sf))
 
 
 @check("union_contributions", query("""SELECT source_name, type, count(*) n FROM (SELECT 'Log Evidence' source_name, type FROM (SELECT DISTINCT type, key, lower(value) FROM raw_facts)

@@ -22,10 +22,14 @@ PACKAGE_TYPES = {
 }
 
 
-def log_contributions(evidence: DataFrame, prints: DataFrame, order: list[Column], text: str = "text") -> DataFrame:
+def log_fact_table(evidence: DataFrame, order: list[Column], text: str = "text") -> DataFrame:
+    """Distinct facts of all evidence, the best spelling of each."""
+    return dedupe_keep_best(
+        log_facts(evidence, text), ["type", "key", "value"], [F.col("pattern_no"), *order, F.col("match_no")])
+
+
+def log_contributions(evidence: DataFrame, facts: DataFrame, prints: DataFrame, text: str = "text") -> DataFrame:
     """Identity contributions from fingerprints plus all technical facts."""
-    found = log_facts(evidence, text)
-    facts = dedupe_keep_best(found, ["type", "key", "value"], [F.col("pattern_no"), *order, F.col("match_no")])
     technical = facts.select(
         F.lit("").alias("application_id"), F.lit("").alias("application_name"), "type", "key", "value",
         "confidence_score", F.lit("Log").alias("source_kind"), F.lit("Log Evidence").alias("source_name"),

@@ -52,6 +52,11 @@ PATTERN_FACTS = [
      r"(?i)\bat\s+([A-Za-z_][A-Za-z0-9_.`<>]+\.[A-Za-z_][A-Za-z0-9_<>]+(?:\([^)]*\))?)"),
     ("Timing", "Observed database duration", 100, "Incident log", r'(?i)Failed executing DbCommand\s*\("([\d,]+ms)"\)'),
 ]
+# A text without this word cannot match the pattern of that label.
+NEEDLES = {
+    "Observed exception": "exception", "DbContext": "dbcontext", "Command timeout seconds": "commandtimeout",
+    "SQL error number": "error number", "Database operation": "@", "Observed database duration": "dbcommand",
+}
 SQL_NOISE = ["select", "where", "from", "order"]
 FRAME_LIMIT, LABEL_LIMIT = 8, 5
 # Phrases that are a failure pattern, with priority.
@@ -104,6 +109,8 @@ def fact_list(text: Column, lines: Column, metadata: Column) -> Column:
         found.append(_facts(section_bullets(lines, heading), *rest))
     for category, label, priority, source, pattern in PATTERN_FACTS:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        if label in NEEDLES:
+            values = F.when(F.contains(F.lower(text), F.lit(NEEDLES[label])), values).otherwise(F.array().cast("array<string>"))
         if label == "Database operation":
             values = F.filter(values, lambda v: ~F.lower(v).isin(SQL_NOISE))
         elif label == "Stack frame":

@@ -32,6 +32,14 @@ FACT_PATTERNS = [
     ("Namespace", "Namespace", 80, True, ["namespace", "code"],
      r"\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*){2,})\b", 1),
 ]
+# Text without this (lower-cased) word cannot match the pattern of that key, so the
+# far cheaper search for the word comes first.
+NEEDLES = {
+    "AlertRule": "alert", "Server": "source", "DbContext": "dbcontext", "Exception": "exception",
+    "ClientConnectionId": "clientconnectionid", "CorrelationId": "correlation", "SqlErrorNumber": "error number",
+    "CommandTimeoutSeconds": "commandtimeout", "DbCommandDurationMs": "dbcommand", "Url": "http", "ApiPath": "/api/",
+    "HttpStatus": "http", "Namespace": ".",
+}
 # Probes that give one named fact when they match anywhere.
 FACT_PROBES = [
     ("Technology", "Technology", 95, ["technology"], r"(?im)\bMicrosoft\.EntityFrameworkCore\b", "Entity Framework Core", "Entity Framework Core"),
@@ -88,17 +96,21 @@ def log_facts(evidence: DataFrame, text: str = "text") -> DataFrame:
 
     All patterns run in one projection; nothing is shuffled.
     """
-    t = F.col(text)
+    t, low = F.col("_text"), F.col("_low")
 
     def matches(no: int, entry: tuple) -> Column:
         kind, key, score, hint, tags, pattern, group = entry
         whole = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        # The captured parts line up with the whole matches of the same pattern.
-        values = F.regexp_extract_all(t, F.lit(pattern), F.lit(group)) if group else whole
-        said = "v" if key in ("DatabaseOperation", "Namespace") else "w"
-        return F.transform(
-            F.arrays_zip(values.alias("v"), whole.alias("w")),
-            lambda p, i: _fact(no, kind, key, score, hint, tags, i, _clean_value(key, p["v"]), strip(p[said])))
+        if key in NEEDLES:
+            whole = F.when(F.contains(low, F.lit(NEEDLES[key])), whole).otherwise(F.array().cast("array<string>"))
+
+        def fact(match: Column, i: Column) -> Column:
+            # One scan of the text: the captured part is read from the match itself.
+            value = F.regexp_extract(match, pattern, group) if group else match
+            said = value if key in ("DatabaseOperation", "Namespace") else match
+            return _fact(no, kind, key, score, hint, tags, i, _clean_value(key, value), strip(said))
+
+        return F.transform(whole, fact)
 
     arrays = [matches(no, entry) for no, entry in enumerate(FACT_PATTERNS)]
     for no, (kind, key, score, tags, pattern, value, said) in enumerate(FACT_PROBES, len(FACT_PATTERNS)):
@@ -106,7 +118,9 @@ def log_facts(evidence: DataFrame, text: str = "text") -> DataFrame:
         arrays.append(F.when(t.rlike(pattern), F.array(one)).otherwise(F.array().cast(FACT_ARRAY)))
     keep = [c for c in evidence.columns if c != text]
     found = F.filter(F.flatten(F.array(*[a.cast(FACT_ARRAY) for a in arrays])), lambda f: nonblank(f["value"]))
-    return evidence.filter(nonblank(t)).select(*keep, F.inline(found))
+    prepared = evidence.filter(nonblank(F.col(text))).select(
+        *keep, F.col(text).alias("_text"), F.lower(text).alias("_low"))
+    return prepared.select(*keep, F.inline(found))
 
 
 FACT_ARRAY = (
@@ -147,39 +161,39 @@ def fingerprint_match(evidence: DataFrame, facts: DataFrame, prints: DataFrame,
     """Fingerprints that fit the evidence, as identity contributions.
 
     ``Exact`` and ``StartsWith`` look at fact values, ``Regex`` and everything
-    else at the text. Fingerprints are a constant list inside the projection;
+    else at the text. Their different values are a constant list inside the projection;
     each text reports the few it holds, which are reduced before the shuffle.
     """
     mode = F.lower("match_mode")
+    exact_case = F.col("is_case_sensitive")
     usable = prints.filter(nonblank(F.col("value"))).withColumn("mode", F.when(
         mode.isin("exact", "startswith", "regex"), mode).otherwise("contains"))
-    usable = usable.filter((F.col("mode") != "regex") | is_valid_pattern(F.col("value")))
-    key = F.struct("application_id", "id")
+    usable = usable.filter((F.col("mode") != "regex") | is_valid_pattern(F.col("value"))).withColumn(
+        "needle", F.when(F.col("mode") == "regex", F.when(exact_case, F.col("value")).otherwise(F.concat(F.lit("(?i)"), F.col("value"))))
+        .when(exact_case, F.col("value")).otherwise(F.lower("value")))
+    probe = F.struct("mode", "is_case_sensitive", "needle")
 
     def listed(*modes):
-        return usable.filter(F.col("mode").isin(*modes)).agg(F.collect_list(F.struct(
-            key.alias("k"), "mode", "is_case_sensitive", "value",
-            F.when(F.col("is_case_sensitive"), F.col("value")).otherwise(F.lower("value")).alias("needle"),
-            F.when(F.col("is_case_sensitive"), F.col("value")).otherwise(F.concat(F.lit("(?i)"), F.col("value"))).alias("pattern")))).scalar()
-
-    def hits(df: DataFrame, column: str, fps: Column, test) -> DataFrame:
-        c, low = F.col(column), F.lower(F.col(column))
-        found = F.filter(F.col("_prints"), lambda f: test(f, c, low))
-        return df.withColumn("_prints", fps).select(F.explode(F.transform(found, lambda f: f["k"])).alias("k")).select("k.*")
-
-    def in_text(f, c, low):
-        plain = F.contains(F.when(f["is_case_sensitive"], c).otherwise(low), f["needle"])
-        return F.when(f["mode"] == "regex", F.rlike(c, f["pattern"])).otherwise(plain)
-
-    def in_fact(f, c, low):
-        v = F.when(f["is_case_sensitive"], c).otherwise(low)
+        """Every different probe once, however many fingerprints share it."""
+        return usable.filter(F.col("mode").isin(*modes)).agg(F.collect_set(probe)).scalar()
+
+    def hits(df: DataFrame, column: str, probes: Column, test) -> DataFrame:
+        listed_rows = df.select(F.col(column).alias("_c"), F.lower(column).alias("_low")).withColumn("_probes", probes)
+        found = F.filter(F.col("_probes"), lambda f: test(f, F.when(f["is_case_sensitive"], F.col("_c")).otherwise(F.col("_low"))))
+        return listed_rows.select(F.explode(found).alias("p")).select("p.*")
+
+    def in_text(f, v):
+        return F.when(f["mode"] == "regex", F.rlike(F.col("_c"), f["needle"])).otherwise(F.contains(v, f["needle"]))
+
+    def in_fact(f, v):
         return F.when(f["mode"] == "exact", v == f["needle"]).otherwise(F.startswith(v, f["needle"]))
 
-    found = (
+    met = (
         hits(evidence, text, listed("regex", "contains"), in_text)
-        .unionByName(hits(facts.select("value"), "value", listed("exact", "startswith"), in_fact))
+        .unionByName(hits(facts, "value", listed("exact", "startswith"), in_fact))
         .distinct()
     )
+    found = usable.join(met, ["mode", "is_case_sensitive", "needle"], "left_semi").select("application_id", "id").distinct()
     named = F.concat(F.lit("Matched fingerprint '"), F.col("value"), F.lit("' ("), F.col("type"), F.lit(")."))
     described = prints.select(
         "application_id", "id", F.col("application_name").alias("_name"), F.col("tags").alias("_tags"), named.alias("_said"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions.rules import intelligence
 from faultline.functions.signatures import error_signature, incident_signature, incident_title
 from faultline.functions.text import clamp, first_nonblank, nonblank
-from faultline.operators.ordered import with_global_rank
+from faultline.plans.staging import globally_ranked
 
 GAP_SECONDS = 30 * 60
 SEVERITY_RANK = {"critical": 0, "error": 1, "warning": 2}
@@ -184,16 +184,10 @@ def incidents(sessions: DataFrame) -> DataFrame:
 
 def incident_ranking(found: DataFrame) -> DataFrame:
     """Number incidents ``INC-0001``... by score, count, start."""
-    ranked = with_global_rank(
-        found,
-        coarse=[
-            ("score", F.col("intelligence.priority_score"), True),
-            ("count", F.col("entry_count"), True),
-            ("hour", F.date_trunc("hour", "started_at"), False),
-        ],
-        fine=[F.asc_nulls_first("started_at"), F.asc("signature"), F.asc("session")],
-        out="incident_no",
-    )
+    order = [
+        F.desc("intelligence.priority_score"), F.desc("entry_count"), F.asc_nulls_first("started_at"),
+        F.asc("signature"), F.asc("session")]
+    ranked = globally_ranked(found, order, "incident_no", "incident_order")
     number = F.col("incident_no").cast("string")
     return ranked.withColumn(
         "incident_id",

@@ -47,40 +47,3 @@ def with_last_value(
         )
         .drop("_blk", *[f"_local_{o}" for o in values], *[f"_carry_{o}" for o in values])
     )
-
-
-def with_global_rank(
-    df: DataFrame, coarse: list, fine: list, out: str = "rank_no"
-) -> DataFrame:
-    """Dense global position 1..n without sorting everything in one task.
-
-    ``coarse`` are sort keys ``(name, Column, descending)`` with few distinct
-    values; rows are counted per coarse group, the groups (not the rows) are put
-    in order, and ``fine`` orders rows inside their own group.
-    """
-    names = [n for n, _, _ in coarse]
-    keyed = df.withColumns({f"_k_{n}": c for n, c, _ in coarse})
-    order = [
-        F.col(f"_k_{n}").desc_nulls_last() if desc else F.col(f"_k_{n}").asc_nulls_first()
-        for n, _, desc in coarse
-    ]
-    keys = [f"_k_{n}" for n in names]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-        .select(*[F.col(k).alias(f"{k}_o") for k in keys], "_offset")
-    )
-    inside = Window.partitionBy(*keys).orderBy(*fine)
-    ranked = keyed.withColumn("_pos", F.row_number().over(inside))
-    same = None
-    for k in keys:
-        eq = F.col(k).eqNullSafe(F.col(f"{k}_o"))
-        same = eq if same is None else same & eq
-    return (
-        ranked.join(offsets, same, "inner")
-        .withColumn(out, (F.col("_offset") + F.col("_pos")).cast("long"))
-        .drop(*keys, *[f"{k}_o" for k in keys], "_offset", "_pos")
-    )

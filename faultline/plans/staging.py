@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -55,3 +56,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def globally_ranked(df: DataFrame, order: list, out: str, name: str) -> DataFrame:
+    """Position 1..n in a total order, without bringing all rows to one task.
+
+    Rows are range-partitioned and written in order; the position is the number of
+    rows in earlier files plus the place inside the own file. Only one count per
+    file is ever ordered in one place. ``order`` must end in a unique key, so that
+    no range can be forced to grow by ties.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path).select(
+        *df.columns, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    return rows.join(offsets, "_file").withColumn(out, F.col("_offset") + F.col("_row") + 1).drop("_file", "_row", "_offset")

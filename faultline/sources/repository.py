@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import any_of, contains_ci, distinct_ci, nonblank, strip
-from faultline.operators.ordered import with_global_rank
+from faultline.plans.staging import globally_ranked
 
 # File kinds that count, by category, and directories that do not.
 CATEGORIES = {
@@ -168,11 +168,10 @@ def source_file_scan(
         & repository_path_filter(F.col("relative_path"), include_generated, include_tests))
     owners = projects.filter(repository_path_filter(F.col("relative_path"), include_generated, include_tests))
     pairs = _containing(wanted.select("repository", "relative_path"), owners).drop("_dir")
-    ranked = with_global_rank(
-        pairs,
-        coarse=[("repository", F.col("repository"), False), ("project", F.lower("project_name"), False),
-                ("home", F.col("_project_path"), False), ("dir", F.lower(directory(F.col("relative_path"))), False)],
-        fine=[F.lower("relative_path"), F.col("relative_path")], out="_rank")
+    order = [
+        F.asc("repository"), F.asc(F.lower("project_name")), F.asc("_project_path"), F.asc(F.lower(directory(F.col("relative_path")))),
+        F.asc(F.lower("relative_path")), F.asc("relative_path")]
+    ranked = globally_ranked(pairs, order, "_rank", "source_order")
     first = ranked.groupBy("repository").agg(F.min("_rank").alias("_first"))
     kept = ranked.join(first, "repository").filter(F.col("_rank") - F.col("_first") < maximum_files)
     return kept.select("repository", "project_name", "relative_path").join(
