@@ -110,7 +110,7 @@ def _(spark, sf):
 
 
 for _name, _cols in {
-    "correlation_id": ["correlation_id"], "server_name": ["server_name", "machine_name"],
+    "correlation_id": ["correlation_id"], "server_name": ["server_name"], "machine_name": ["machine_name"],
     "environment": ["environment"], "user_name": ["user_name"], "display_message": ["message"],
     "stack_trace": ["stack_trace"],
 }.items():

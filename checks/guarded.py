@@ -186,3 +186,21 @@ def _(spark, sf):
     return gr.guarded_reports(iv.all_reports(spark, sf), iv.all_claims(spark, sf)).agg(
         F.count(F.lit(1)).alias("reports"), F.count_if(F.col("application_name") != "Unknown").alias("identified"),
         F.count_if(F.col("affected_workflow") != "Unknown").alias("with_workflow"), F.sum(F.size("affected_components")).alias("components"))
+
+
+step("plain_guard", "cases claims", f"""SELECT c.*, coalesce(cast(round_even((SELECT avg(confidence_score) FROM claims s WHERE s.incident_id=c.incident_id AND is_confirmed), 0) as int), 25) g_mean FROM cases c""")
+
+
+@check("investigate", query(f"""SELECT incident_id, 'Unknown' application_name, 'Unknown' affected_workflow, {clamp("(confidence + g_mean) // 2", 20, 90)} overall_confidence,
+  {iv.title_sql} action_title FROM plain_guard""", "plain_guard"))
+def investigate(spark, sf):
+    """All incidents to guarded reports; nothing reused from other queries but the entries."""
+    from faultline.plans.investigation import investigate as run
+    done = run(iv.core.ranked(spark, sf), iv.kb.incident_entries(spark, sf), iv.inc.error_summaries(iv.core.correlated(spark, sf)),
+               iv.kb.kb_tables(spark), iv.APP)
+    return done.guarded.select("incident_id", "application_name", "affected_workflow", "overall_confidence", F.col("next_action.title").alias("action_title"))
+
+
+@check("facts_text", query("""SELECT incident_id, string_agg('- [' || authority || '] [' || category || '] ' || label || ': ' || value || ' (source: ' || source || ')', chr(10) ORDER BY fact_no) facts_text FROM facts GROUP BY 1""", "facts"))
+def _(spark, sf):
+    return iv.distill.facts_text(iv.facts(spark, sf))

@@ -292,3 +292,11 @@ step("catalog_rows", "", " UNION ALL ".join([
 @check("catalog_contributions", query("SELECT * FROM catalog_rows", "catalog_rows"))
 def _(spark, sf):
     return catalog_contributions(packages(spark, sf)).select("application_id", "type", "key", "value", "is_identity_evidence")
+
+
+@check("catalog_violations", f"""SELECT application_key, count(*) packages FROM (SELECT lower(CASE WHEN {PACK} % 4 = 3 THEN '' ELSE 'App-' || ({PACK} % 3) END) application_key FROM (SELECT DISTINCT floor(s_suppkey / 20) * 20 s_suppkey FROM supplier))
+  GROUP BY 1 HAVING count(*) > 1 OR application_key = ''""")
+def _(spark, sf):
+    rows = fx.table(spark, sf, "supplier").selectExpr(f"{PACK} AS p").distinct().selectExpr(
+        "CASE WHEN p % 4 = 3 THEN '' WHEN p % 2 = 0 THEN 'APP-' || (p % 3) ELSE 'app-' || (p % 3) END AS application_id")
+    return kn.catalog_violations(rows)

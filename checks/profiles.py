@@ -237,3 +237,12 @@ def _(spark, sf):
     meta = fx.table(spark, sf, "part").selectExpr(
         "stack(2, 'Source:' || p_partkey || ':Location', '/docs/' || p_partkey || '.json', 'source:' || p_partkey || ':TYPE', CASE WHEN p_partkey % 3 = 0 THEN 'openapi' ELSE 'Repository' END) AS (key, value)")
     return oa.openapi_locations(meta)
+
+
+@check("build_profile", query(f"""SELECT application_id, 'Supplier // Group ' || substr(application_id, 5) application_name FROM (SELECT 'APP-2' application_id)""", ""))
+def build(spark, sf):
+    """The whole plan from evidence to profile; the hint decides, as no fingerprint of these packages fits."""
+    from faultline.plans.profile import build_profile
+    api = oa.openapi_contributions(documents(spark, sf))
+    done = build_profile(evidence_rows(spark, sf), [F.col("id")], kb.packages(spark, sf), [api], "app-2")
+    return done.profile.select("application_id", "application_name")

@@ -224,3 +224,11 @@ def _(spark, sf):
   (SELECT count(*) FROM methods p WHERE p.repository=s.repository) method_count, (SELECT count(*) FROM methods p WHERE p.repository=s.repository AND ops <> '') database_reference_count FROM sources s GROUP BY 1""", "sources projects types methods"))
 def _(spark, sf):
     return sc.source_summary(projects(spark, sf), sources(spark, sf), types(spark, sf), methods(spark, sf), sc.repository_db_references(methods(spark, sf)))
+
+
+@check("analyze_code", query("""SELECT repository, (SELECT count(*) FROM methods p WHERE p.repository=s.repository) method_count, (SELECT count(*) FROM methods p WHERE p.repository=s.repository AND ops <> '') database_reference_count FROM sources s GROUP BY 1""", "sources methods"))
+def analyze(spark, sf):
+    """The whole plan from files to counts, nothing reused."""
+    from faultline.plans.code import analyze_code
+    found = analyze_code(rp.repository_files(listing(spark, sf)), maximum_files=2_000_000_000)
+    return found.summary.select("repository", "method_count", "database_reference_count")

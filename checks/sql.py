@@ -27,7 +27,7 @@ def query(select: str, deps: str) -> str:
     for d in deps.split():
         visit(d)
     ctes = ",\n".join(f"{n} AS MATERIALIZED (\n{STEPS[n][1].strip()}\n)" for n in order)
-    return f"WITH {ctes}\n{select.strip()}"
+    return f"WITH {ctes}\n{select.strip()}" if ctes else select.strip()
 
 
 def rep(expr: str, *steps: tuple[str, str]) -> str:
