@@ -76,12 +76,13 @@ for _name in ("severity_plain", "exception_type", "http_status"):
 
 @check("timestamp_parse", field_sql("timestamp_parse"))
 def _(spark, sf):
-    return classified(spark, sf).select("source", "start_line", stamp("detected_ts").alias("detected_ts"))
+    events = asm.detect_timestamps(asm.multiline_events(fx.log_lines(spark, sf)))
+    return events.select("source", "start_line", stamp("detected_ts").alias("detected_ts"))
 
 
 @check("timestamp_carry_forward", field_sql("timestamp_carry_forward"))
 def _(spark, sf):
-    events = asm.classify_plain(asm.multiline_events(fx.log_lines_with_gaps(spark, sf)))
+    events = asm.detect_timestamps(asm.multiline_events(fx.log_lines_with_gaps(spark, sf)))
     return asm.carry_timestamps(events).select("source", "start_line", stamp("ts").alias("ts"))
 
 

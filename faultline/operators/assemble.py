@@ -16,22 +16,26 @@ ENTRY_COLUMNS = [
 ]
 
 
-def group_lines(marked: DataFrame, start: str, block: int = BLOCK) -> DataFrame:
+def group_lines(
+    marked: DataFrame, start: str, block: int = BLOCK, carry: dict[str, str] | None = None
+) -> DataFrame:
     """Attach every line to the last start line at or before it.
 
     ``start`` is the line number on start lines and null elsewhere; lines before
-    the first start are dropped.
+    the first start are dropped. ``carry`` names further values to bring along.
     """
-    return with_last_value(marked, "source", "line_no", {"event_line": start}, block).filter(
+    return with_last_value(marked, "source", "line_no", {"event_line": start, **(carry or {})}, block).filter(
         F.col("event_line").isNotNull()
     )
 
 
-def multiline_events(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+def multiline_events(lines: DataFrame, block: int = BLOCK, stamps: bool = False) -> DataFrame:
     """``lines(source, line_no, value)`` to events with their continuation lines.
 
     The first non-blank line of a source always opens an event, so leading text
-    before the first stamped line is kept and leading blank lines are not.
+    before the first stamped line is kept and leading blank lines are not. With
+    ``stamps`` each event also gets ``ts``: the last stamp on any start line up to
+    its own, found in the same pass over the lines.
     """
     first = (
         lines.filter(nonblank(F.col("value")))
@@ -45,12 +49,18 @@ def multiline_events(lines: DataFrame, block: int = BLOCK) -> DataFrame:
             F.col("line_no"),
         ),
     )
+    carry, found, kept = {}, [], []
+    if stamps:
+        marked = marked.withColumn("_stamp", F.when(F.col("_start").isNotNull(), plain.timestamp(F.col("value"))))
+        carry, found, kept = {"_ts": "_stamp"}, [F.max("_ts").alias("ts")], ["ts"]
+        # Lines of one event share its carried stamp: no other start lies between them.
     return (
-        group_lines(marked, "_start", block)
+        group_lines(marked, "_start", block, carry)
         .groupBy("source", F.col("event_line").alias("start_line"))
         .agg(
             F.max("line_no").alias("end_line"),
             F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("_lines"),
+            *found,
         )
         .select(
             "source",
@@ -58,6 +68,7 @@ def multiline_events(lines: DataFrame, block: int = BLOCK) -> DataFrame:
             "end_line",
             F.col("_lines")[0]["value"].alias("primary_line"),
             strip_end(F.array_join(F.col("_lines")["value"], "\n")).alias("raw_content"),
+            *kept,
         )
     )
 
@@ -72,12 +83,11 @@ def total_lines_read(lines: DataFrame) -> DataFrame:
 
 
 def classify_plain(events: DataFrame) -> DataFrame:
-    """Columns that decide relevance: stamp, exception, status, severity."""
+    """Columns that decide relevance: exception, status, severity."""
     content = F.col("raw_content")
     return (
         events.withColumns(
             {
-                "detected_ts": plain.timestamp(F.col("primary_line")),
                 "exception_type": plain.exception_type(content),
                 "http_status": plain.http_status(content),
             }
@@ -91,8 +101,12 @@ def classify_plain(events: DataFrame) -> DataFrame:
     )
 
 
+def detect_timestamps(events: DataFrame) -> DataFrame:
+    return events.withColumn("detected_ts", plain.timestamp(F.col("primary_line")))
+
+
 def carry_timestamps(events: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Events without a stamp take the last one seen in their source."""
+    """Events without a stamp (``detected_ts``) take the last one seen in their source."""
     return with_last_value(events, "source", "start_line", {"ts": "detected_ts"}, block)
 
 
@@ -137,5 +151,4 @@ def normalize_plain(lines: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Stamps are carried over all events first; only then are irrelevant ones cut.
     """
-    events = classify_plain(multiline_events(lines, block))
-    return extract_fields(relevant(carry_timestamps(events, block)))
+    return extract_fields(relevant(classify_plain(multiline_events(lines, block, stamps=True))))
