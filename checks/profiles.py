@@ -168,8 +168,9 @@ def one_clear(spark, sf):
     return log_contributions(spark, sf).filter("NOT is_identity_evidence OR application_id = 'SUP-3'")
 
 
-@check("application_profile", query("""SELECT CASE WHEN c.confidence_score >= 60 THEN 'SUP-3' ELSE 'APP-1' END application_id, CASE WHEN c.confidence_score >= 60 THEN c.confidence_score ELSE 100 END identification_confidence_score
-  FROM candidates c WHERE application_id='SUP-3'""", "candidates"))
+@check("application_profile", query("""SELECT CASE WHEN s >= 60 THEN 'SUP-3' ELSE 'APP-1' END application_id,
+  CASE WHEN s >= 60 THEN s WHEN EXISTS (SELECT 1 FROM supplier WHERE floor(s_suppkey / 20) = 1) THEN 100 ELSE 0 END identification_confidence_score
+  FROM (SELECT coalesce(max(confidence_score), 0) s FROM candidates WHERE application_id = 'SUP-3')""", "candidates"))
 def _(spark, sf):
     found = kb.packages(spark, sf)
     p = pf.application_profile(one_clear(spark, sf), cn.catalog_contributions(found), found.metadata, [], "APP-1")
@@ -239,7 +240,8 @@ def _(spark, sf):
     return oa.openapi_locations(meta)
 
 
-@check("build_profile", query(f"""SELECT application_id, 'Supplier // Group ' || substr(application_id, 5) application_name FROM (SELECT 'APP-2' application_id)""", ""))
+@check("build_profile", """SELECT CASE WHEN n > 0 THEN 'APP-2' ELSE 'app-2' END application_id, CASE WHEN n > 0 THEN 'Supplier // Group 2' ELSE 'app-2' END application_name
+  FROM (SELECT count(*) n FROM supplier WHERE floor(s_suppkey / 20) = 2)""")
 def build(spark, sf):
     """The whole plan from evidence to profile; the hint decides, as no fingerprint of these packages fits."""
     from faultline.plans.profile import build_profile
