@@ -27,7 +27,7 @@ SELECT source, event_id*3+1 line_no,
   || ' https://vs.example.com' || {pick(URLS, 'u%4')} || '?id=' || event_id
   || CASE WHEN e='error' THEN {pick(TAILS, 'k%4')} ELSE ' ok' END AS value
 FROM ev_base
-UNION ALL SELECT source, event_id*3+2, '   at FCT.VS.Orders.Svc' || (k%4) || '.Run() in Svc.cs:line ' || k FROM ev_base WHERE e='error'
+UNION ALL SELECT source, event_id*3+2, '   at Shop.Web.Orders.Svc' || (k%4) || '.Run() in Svc.cs:line ' || k FROM ev_base WHERE e='error'
 UNION ALL SELECT source, event_id*3+3, '' FROM ev_base WHERE e='error' AND k%7=0""")
 
 step("gap_lines", "log_lines", """

@@ -55,7 +55,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e == "error", _pick(TAILS, k % 4)).otherwise(" ok"),
     )
     stack = F.concat(
-        F.lit("   at FCT.VS.Orders.Svc"), (k % 4).cast("string"), F.lit(".Run() in Svc.cs:line "), k.cast("string"))
+        F.lit("   at Shop.Web.Orders.Svc"), (k % 4).cast("string"), F.lit(".Run() in Svc.cs:line "), k.cast("string"))
     n = F.col("event_id") * 3
     is_error = e == "error"
     lines = F.array(
@@ -89,7 +89,7 @@ def ev_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(empty, "").when(e == "click", '"isSkipReviewEnabled: true').otherwise(
         F.concat(F.lit('"Operation ""op'), txt(k % 4), F.lit('"" failed\tfor user '), txt(u)))
     head = F.concat_ws(
-        "\t", level, F.date_format("t", "MM/dd/yyyy HH:mm:ss"), F.concat(F.lit("VSApp"), txt(u % 2)),
+        "\t", level, F.date_format("t", "MM/dd/yyyy HH:mm:ss"), F.concat(F.lit("ShopApp"), txt(u % 2)),
         F.when(k % 11 == 0, "n/a").otherwise(txt(k + 100)), F.lit("None"), said)
     n = F.col("event_id") * 8
     url = F.concat(F.lit("https://vs.example.com"), _pick(URLS, u % 4), F.lit("?id="), txt(F.col("event_id")))
@@ -99,7 +99,7 @@ def ev_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Error Request Url: "), url),
         F.concat(F.lit("Host Name: APPPRIVSPR1"), txt(u % 3)),
         F.concat(F.lit("Correlation Id: "), txt(u), F.lit("-"), txt(k % 5)),
-        F.concat(F.lit("   at FCT.VS.Orders.Svc"), txt(k % 4), F.lit(".Run() in Svc.cs:line "), txt(k)),
+        F.concat(F.lit("   at Shop.Web.Orders.Svc"), txt(k % 4), F.lit(".Run() in Svc.cs:line "), txt(k)),
     ]
     warned = [F.concat(F.lit('{""status"": 404, ""url"": ""https://vs.example.com/vsgateway'), _pick(URLS, u % 4), F.lit('""}'))]
     signed = [

@@ -24,7 +24,7 @@ _MORE = {
               "'Error Status Code: ' || CASE k%3 WHEN 0 THEN '500' WHEN 1 THEN '404' ELSE '9' END",
               f"'Error Request Url: ' || {URL}", "'Host Name: APPPRIVSPR1' || (u%3)",
               "'Correlation Id: ' || u || '-' || (k%5)",
-              "'   at FCT.VS.Orders.Svc' || (k%4) || '.Run() in Svc.cs:line ' || k"],
+              "'   at Shop.Web.Orders.Svc' || (k%4) || '.Run() in Svc.cs:line ' || k"],
     "purchase": [f"""'{{""status"": 404, ""url"": ""https://vs.example.com/vsgateway' || {pick(URLS, 'u%4')} || '""}}'"""],
     "signup": ["'User Name: ' || u", f"'Http failure response for ' || {URL} || ': 503 Service Unavailable'",
                "'Environment: Production'"],
@@ -33,7 +33,7 @@ step("ev_lines", "ev_base", "\nUNION ALL ".join(
     [f"SELECT DISTINCT 'app-' || (user_id%5) || '.txt' source, 0 line_no, {q(HEADER)} AS value FROM events",
      """SELECT 'app-' || (u%5) || '.txt', event_id*8+1, concat_ws(chr(9),
  CASE WHEN e='error' THEN CASE WHEN k%10=0 THEN 'Critical' ELSE 'Error' END WHEN e='purchase' THEN 'Warning' WHEN e='signup' THEN 'Audit Failure' ELSE 'Information' END,
- strftime(t, '%m/%d/%Y %H:%M:%S'), 'VSApp' || (u%2), CASE WHEN k%11=0 THEN 'n/a' ELSE cast(k+100 as varchar) END, 'None',
+ strftime(t, '%m/%d/%Y %H:%M:%S'), 'ShopApp' || (u%2), CASE WHEN k%11=0 THEN 'n/a' ELSE cast(k+100 as varchar) END, 'None',
  CASE WHEN k%10=3 THEN '' WHEN e='click' THEN '"isSkipReviewEnabled: true' ELSE '"Operation ""op' || (k%4) || '"" failed' || chr(9) || 'for user ' || u END) FROM ev_base""",
      "SELECT 'app-' || (u%5) || '.txt', event_id*8+8, '\"' FROM ev_base WHERE k%10<>3"]
     + [f"SELECT 'app-' || (u%5) || '.txt', event_id*8+{2 + i}, {t} FROM ev_base WHERE e='{kind}' AND k%10<>3"

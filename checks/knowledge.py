@@ -28,7 +28,7 @@ COMPONENTS = [
     dict(name="Everything", type="Host", description="Host", api_paths=["/api/"], exception_types=["Exception"], servers=["APPPRIV"],
          dependencies=["Network"], database_objects=["AllTables"], keywords=["Svc.cs"], investigation_hints=["Check the host."]),
     dict(name="Order Runner", type="Job", description="Orders", api_paths=[], exception_types=[], servers=[], dependencies=["Order Database"],
-         database_objects=["Orders"], keywords=["VS.Orders", "Svc2.Run"], investigation_hints=[]),
+         database_objects=["Orders"], keywords=["Web.Orders", "Svc2.Run"], investigation_hints=[]),
 ]
 WORKFLOWS = [
     dict(name="Order intake", description="Intake", api_paths=["/api/AciApi/Submit"], components=["submit service", "Order Runner", "Everything"],

@@ -52,9 +52,9 @@ def _(spark, sf):
     return fa.log_facts(evidence_rows(spark, sf)).groupBy("id", "type", "key", "value", "confidence_score").agg(F.count(F.lit(1)).alias("n"))
 
 
-@check("log_facts_documents", "SELECT type, key, count(*) n FROM (" + facts_sql("(SELECT doc_id AS id, text FROM documents WHERE lang = 'en')") + ") GROUP BY 1, 2")
+@check("log_facts_documents", "SELECT type, key, count(*) n FROM (" + facts_sql("(SELECT doc_id AS id, text FROM documents)") + ") GROUP BY 1, 2")
 def _(spark, sf):
-    docs = fx.table(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return fa.log_facts(docs).groupBy("type", "key").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -29,7 +29,7 @@ WINDOW_SECONDS = 120
 NEAR_LINES = 20
 RELATED_LIMIT = 20
 RELATED_SCORE = 40
-DENSE_BIN = 2000
+DENSE_BIN = 1000
 # Points per agreeing field; bonus by line distance.
 POINTS = {"cid": 100, "api": 35, "exc": 25, "srv": 20, "status": 20, "usr": 15, "env": 10}
 LINE_BONUS = [(5, 20), (20, 10)]

@@ -116,8 +116,7 @@ def incident_sessions(entries: DataFrame) -> DataFrame:
     )
     return keyed.join(
         sessions,
-        (F.col("signature") == F.col("_s"))
-        & (F.coalesce("slot", F.lit(-1)) == F.coalesce("_slot", F.lit(-1))),
+        (F.col("signature") == F.col("_s")) & F.col("slot").eqNullSafe(F.col("_slot")),
         "inner",
     ).drop("_s", "_slot", "slot")
 

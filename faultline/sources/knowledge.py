@@ -183,13 +183,12 @@ def package_validation(packages: Packages) -> DataFrame:
     label = F.element_at(labels, F.col("kind"))
     missing = packages.items.filter(blank(F.col("id"))).select(
         "package", F.concat(F.lit("A "), label, F.lit(" is missing its ID.")).alias("error"))
+    named = packages.items.filter(nonblank(F.col("id"))).select("package", "kind", "pos", "id", F.lower("id").alias("k"))
+    first = named.groupBy("package", "kind", "k").agg(F.min("pos").alias("first_pos"))
     repeated = (
-        packages.items.filter(nonblank(F.col("id")))
-        .groupBy("package", "kind", F.lower("id").alias("k"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("ids"))
-        .filter(F.size("ids") > 1)
-        .select("package", "kind", F.explode(F.slice("ids", 2, 1_000_000)).alias("i"))
-        .select("package", F.concat(F.lit("Duplicate "), label, F.lit(" ID '"), F.col("i.id"), F.lit("' was found.")).alias("error"))
+        named.join(first, ["package", "kind", "k"])
+        .filter(F.col("pos") > F.col("first_pos"))
+        .select("package", F.concat(F.lit("Duplicate "), label, F.lit(" ID '"), F.col("id"), F.lit("' was found.")).alias("error"))
     )
     fp = fingerprints(packages)
     who = F.concat(F.lit("Fingerprint '"), F.col("id"), F.lit("'"))
