@@ -10,7 +10,6 @@ from checks.registry import check, shared, stamp
 from checks.sql import q, query, step, strip
 from faultline.functions import eventviewer as ev, plain
 from faultline.operators import eventviewer as evo
-from faultline.operators.assemble import ENTRY_COLUMNS
 from faultline.plans.staging import new_folder
 from faultline.sources import logs
 from checks.core_sql import pick

@@ -9,7 +9,7 @@ from checks.core import ts_sql
 from checks.registry import check, flat, shared, stamp
 from checks.sql import norm, q, query, step, strip
 from faultline.functions import signatures as sg
-from faultline.operators import distill, evidence as ev, guardrail, incidents as inc, investigation_text as it, report as rp, responses as rs
+from faultline.operators import distill, evidence as ev, incidents as inc, investigation_text as it, report as rp
 from faultline.operators.timeline import timeline_events, timeline_groups
 
 APP = "Order Services"

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import core, fixtures as fx, knowledge as kb
-from checks.registry import check, flat, shared
+from checks.registry import check, shared
 from checks.sql import q, query, step, strip
-from faultline.functions.text import nonblank
 from faultline.operators import contributions as cn, facts as fa, profile as pf
 from faultline.plans.staging import new_folder
 from faultline.sources import openapi as oa

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.plain import EXCEPTION, api_path as plain_path, environment_of_host
 from faultline.functions.text import (
-    any_of, contains_ci, extract, first_nonblank, lines_of, nonblank, strip,
+    any_of, contains_ci, extract, first_nonblank, nonblank, strip,
 )
 
 # Words of a header line, recognised levels, stamp formats.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import contains_ci, nonblank, norm, strip
+from faultline.functions.text import contains_ci, nonblank, strip
 
 # Fact patterns as (type, key, score, identity hint, tags, pattern, group).
 FACT_PATTERNS = [
