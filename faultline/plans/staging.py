@@ -3,11 +3,13 @@
 Results that feed several branches are written once as Parquet in the folder the
 cluster names in ``spark.checkpoint.dir``, so later branches read only their own
 columns and a lost executor costs no recomputation of the lineage. Only where the
-setting is absent (tests, a laptop) a local temporary folder is used.
+setting is absent and Spark runs in one process (tests, a laptop) a local temporary
+folder is used; on a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,6 +44,8 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="faultline-")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")
