@@ -10,8 +10,8 @@ The arrays are sent to the executors only while the table has at most ``MODEL_RO
 (48 MB); beyond, ``joined_scores`` gives the same figures by joining the n-grams of each
 document with the table, level by level.
 
-A document's log perplexity must lie within ``BAND`` scaled median deviations of its
-language's median; the band is that of all documents of the language which pass the counted
+A document's log perplexity must lie at most ``BELOW`` scaled median deviations under its
+language's median and ``ABOVE`` over it; the band is that of all documents of the language which pass the counted
 rules. A language whose documents are all alike keeps them all.
 
 Defined results: null and empty texts have no words, fail the counted rules and have no
@@ -33,7 +33,8 @@ from faultline.llm.common import small_or_shuffled, table, written
 
 LEVELS = 4
 MODEL_ROWS = 4_000_000
-BAND = 6.0
+#: Scaled median deviations from the median: below it (text too uniform) and above it (text too odd).
+BELOW, ABOVE = 8.0, 5.0
 MINIMUM_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 
@@ -297,7 +298,7 @@ def joined_scores(docs: DataFrame, model: DataFrame, text: str = "text", lang: s
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-                  band: float = BAND) -> DataFrame:
+                  below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """The figures of ``scores`` with ``base_failed``, the language's band (``low``, ``high``) and ``kept``."""
     failed = (F.col("n_words") < MINIMUM_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = written(scores(docs, kneser_ney(docs, text, lang), text, lang, doc_id).withColumn("base_failed", failed), "scores")
@@ -306,8 +307,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
     spread = good.join(small_or_shuffled(middle), "lang").groupBy("lang").agg(
         F.first("middle").alias("middle"),
         (1.4826 * F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10_000)).alias("spread"))
-    bands = written(spread.select("lang", (F.col("middle") - band * F.col("spread")).alias("low"),
-                                  (F.col("middle") + band * F.col("spread")).alias("high")), "bands")
+    bands = written(spread.select("lang", (F.col("middle") - below * F.col("spread")).alias("low"),
+                                  (F.col("middle") + above * F.col("spread")).alias("high")), "bands")
     inside = (F.col("low") == F.col("high")) | F.col("log_perplexity").between(F.col("low"), F.col("high"))
     return found.join(small_or_shuffled(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from faultline.llm import decontamination
+from faultline.llm import decontamination, perplexity_rules
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
+    "op10_quality_rules": perplexity_rules.op10_quality_rules,
 }
 ORACLES = {
     "op2_decontamination": decontamination.OP2_SQL,
