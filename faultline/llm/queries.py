@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from faultline.llm import decontamination, perplexity_rules
+from faultline.llm import decontamination, packing, perplexity_rules
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
+    "op9_packing": packing.op9_packing,
     "op10_quality_rules": perplexity_rules.op10_quality_rules,
 }
 ORACLES = {
