@@ -151,15 +151,38 @@ def kneser_ney(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     return written(reduce(DataFrame.unionByName, out), "model")
 
 
+def sorted_arrays(model: DataFrame) -> DataFrame:
+    """``lang, level, kind, keys, values``: the table in arrays sorted by hash, several for one language and level."""
+    def run(batches):
+        for batch in batches:
+            lang, level, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "level", "kind"))
+            key, value = batch.column("key").to_numpy(), batch.column("value").to_numpy().astype("<f4")
+            new = (lang[1:] != lang[:-1]) | (level[1:] != level[:-1]) | (kind[1:] != kind[:-1])
+            edges = [0, *(np.flatnonzero(new) + 1), len(key)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b > a:
+                    yield pa.record_batch([pa.array([lang[a]]), pa.array([level[a]], pa.int32()), pa.array([kind[a]]),
+                                           pa.array([key[a:b].tobytes()]), pa.array([value[a:b].tobytes()])],
+                                          ["lang", "level", "kind", "keys", "values"])
+
+    order = ["lang", "level", "kind", "key"]
+    return model.select(*order, "value").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        run, "lang string, level int, kind string, keys binary, values binary")
+
+
 class Arrays:
     """The model as arrays sorted by hash, by language, level and kind."""
 
     def __init__(self, rows) -> None:
+        parts: dict[tuple, list] = {}
+        for r in rows:
+            parts.setdefault((r["lang"], r["level"], r["kind"]), []).append(
+                (np.frombuffer(r["keys"], np.int64), np.frombuffer(r["values"], "<f4")))
         self.at = {}
-        for (lang, level, kind), own in rows.groupby(["lang", "level", "kind"], sort=False):
-            keys = own["key"].to_numpy().view(U)
-            order = np.argsort(keys)
-            self.at[lang, level, kind] = keys[order], own["value"].to_numpy(np.float32)[order]
+        for name, own in parts.items():
+            keys, values = (np.concatenate(x) for x in zip(*own, strict=True))
+            order = np.argsort(keys.view(U))
+            self.at[name] = keys.view(U)[order], values[order]
 
     def find(self, lang: str, level: int, kind: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known, values = self.at.get((lang, level, kind), (np.empty(0, U), np.empty(0, np.float32)))
@@ -243,7 +266,7 @@ def scores(docs: DataFrame, model: DataFrame, text: str = "text", lang: str = "l
     """``doc_id, lang``, the counted figures and ``log_perplexity`` (null without characters), one row for each row."""
     if model.limit(model_rows + 1).count() > model_rows:
         return joined_scores(docs, model, text, lang, doc_id)
-    sent = docs.sparkSession.sparkContext.broadcast(Arrays(model.toPandas()))
+    sent = docs.sparkSession.sparkContext.broadcast(Arrays(sorted_arrays(model).collect()))
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
 
     def run(batches):
