@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from faultline.llm import decontamination, packing, perplexity_rules
+from faultline.llm import decontamination, html_extraction, packing, perplexity_rules, warc_store
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
+    "op4_warc": warc_store.op4_warc,
+    "op8_html_extraction": html_extraction.op8_html_extraction,
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": perplexity_rules.op10_quality_rules,
 }
 ORACLES = {
     "op2_decontamination": decontamination.OP2_SQL,
+    "op4_warc": warc_store.OP4_SQL,
 }
