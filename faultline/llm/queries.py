@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from faultline.llm import decontamination, html_extraction, language_id, packing, perplexity_rules, quality_classifier, warc_store
+from faultline.llm import decontamination, html_extraction, language_id, near_dedup, packing, perplexity_rules, quality_classifier, warc_store
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_warc": warc_store.op4_warc,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_language_id": language_id.op6_language_id,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_decontamination": decontamination.OP2_SQL,
+    "op3_near_dedup": near_dedup.OP3_SQL,
     "op4_warc": warc_store.OP4_SQL,
 }
