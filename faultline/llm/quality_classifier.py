@@ -119,9 +119,9 @@ def scored(docs: DataFrame, model: QualityModel, text: str = "text", out: str =
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                   threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with a score of at least ``threshold``, in the same columns."""
-    model = fit(docs, labels, F.lit(True), text, doc_id)
+                   threshold: float = THRESHOLD, fit_on: DataFrame | None = None) -> DataFrame:
+    """``docs`` with a score of at least ``threshold``, in the same columns; ``fit_on`` has the labelled texts if not ``docs``."""
+    model = fit(fit_on or docs, labels, F.lit(True), text, doc_id)
     out = scored(docs, model, text)
     return out.where(F.col(out.columns[-1]) >= threshold).select(docs.columns)
 

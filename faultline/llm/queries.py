@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm import decontamination, html_extraction, language_id, near_dedup, packing, perplexity_rules, quality_classifier, warc_store
+from faultline.llm import decontamination, html_extraction, language_id, near_dedup, packing, perplexity_rules, quality_classifier, substring_dedup, warc_store
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_warc": warc_store.op4_warc,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_language_id": language_id.op6_language_id,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_html_extraction": html_extraction.op8_html_extraction,
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": perplexity_rules.op10_quality_rules,
