@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from faultline.llm import decontamination, html_extraction, language_id, near_dedup, packing, perplexity_rules, quality_classifier, substring_dedup, warc_store
+from faultline.llm import (
+    decontamination, html_extraction, language_id, lm_scoring, near_dedup, packing, perplexity_rules, quality_classifier,
+    substring_dedup, warc_store)
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_warc": warc_store.op4_warc,
@@ -16,6 +19,7 @@ QUERIES = {
     "op10_quality_rules": perplexity_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op1_lm_scoring": lm_scoring.OP1_SQL,
     "op2_decontamination": decontamination.OP2_SQL,
     "op3_near_dedup": near_dedup.OP3_SQL,
     "op4_warc": warc_store.OP4_SQL,
