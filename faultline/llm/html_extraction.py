@@ -6,9 +6,9 @@ text is left out. Blocks inside menus, footers, side bars, forms, notices, adver
 a share of link text over ``LINKS`` is bad; of blocks outside an article, long ones with enough
 stop words are good and long ones without are bad. Inside ``article`` or ``main``, stop words
 decide only for good. What is short or undecided is ambiguous. In the second pass, an ambiguous
-block takes the label of its nearest decided neighbours in the same part of the page: good if
-both sides, or the only side, or in an article either side is good; an article without any
-decided block is good, another part without any is bad.
+block takes the label of its nearest decided neighbours in the same part of the page. Outside an
+article it is good if all of them are, and bad without any; inside, it is bad only between two
+bad ones.
 
 Character references are decoded, white space inside a block becomes one space, ``br`` is white
 space, blocks are joined in order by an empty line.
@@ -183,7 +183,7 @@ def main_text(page: str | None) -> str:
         label = labels[i]
         if label is None:
             sides = [s for s in (left[i], after.get((place, part))) if s is not None]
-            label = (any(sides) if place == "article" else all(sides)) if sides else place == "article"
+            label = len(sides) < 2 or any(sides) if place == "article" else bool(sides) and all(sides)
         else:
             after[place, part] = label
         if label:

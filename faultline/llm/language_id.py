@@ -182,7 +182,7 @@ def identified(docs: DataFrame, net: Network, text: str = "text", lang: str = "l
     columns, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
-        tables = net.tables()
+        tables = net.tables() if len(net.names) > 1 else []
         for batch in batches:
             values = batch.column(at).to_pylist()
             texts = encoded(values)
