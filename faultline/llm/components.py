@@ -18,20 +18,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Links may be repeated, in either direction, or from a node to itself; those with null are left out.
     """
-    low, high = F.least(a, b).alias("v"), F.greatest(a, b).alias("u")
-    edges = written(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(high, low).where("u > v").distinct(), "edges")
+    low, high = F.least(a, b).alias("low"), F.greatest(a, b).alias("high")
+    edges = written(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(low, high).where("low < high").distinct(), "edges")
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(
-            F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u > v").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
+        # large star: the larger end of each link goes to the smallest neighbour of the other end
+        ends = edges.select(F.col("low").alias("node"), F.col("low").alias("near")).unionByName(
+            edges.select(F.col("high").alias("node"), F.col("low").alias("near")))
+        large = edges.join(ends.groupBy(F.col("node").alias("low")).agg(F.min("near").alias("to")), "low").select(
+            "high", F.col("to").alias("low"))
+        # small star: a node and its smaller neighbours go to the smallest of them
+        least = large.groupBy("high").agg(F.min("low").alias("to"))
+        small = large.join(least, "high").select(F.explode(F.array(
+            F.struct(F.col("to").alias("low"), "high"), F.struct(F.col("to").alias("low"), F.col("low").alias("high")))).alias("e"))
+        edges = written(small.select("e.low", "e.high").where("low < high").distinct(), "edges")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
         if now == state:
             break
         state = now
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    stars = edges.select(F.col("high").alias("node"), F.col("low").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -4,8 +4,8 @@ A paragraph is a line of at least ``MINIMUM`` words, a set of five-word shingles
 ``ROWS`` minimum hashes are as many as the wanted recall at the similarity limit takes. Paragraphs
 that collide in a band are joined with leaders of the band, one or two, and confirmed by the exact
 Jaccard similarity of their full sets; components of confirmed links are clusters. Paragraphs of one
-band that are not in one component yet are joined with other leaders, round by round, until two
-rounds in a row link nothing: pairs stay linear in paragraphs, and a group of copies of any size is
+band that are not in one component yet are joined with other leaders, round by round, until a
+round links nothing: pairs stay linear in paragraphs, and a group of copies of any size is
 split by Spark as counts and joins on the band.
 
 A passage may also stand inside a longer line. For that, sentences (long ones cut further after
@@ -194,8 +194,8 @@ def _clusters(lines: DataFrame, docs: DataFrame, text: str, doc_id: str, minimum
     keyed = lines.select(F.explode("bands").alias("key"), "node")
     shared = written(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "bands")
     members = written(keyed.join(small_or_shuffled(shared), "key").distinct(), "members")
-    labels, links, tried, idle, salt = None, None, None, 0, 0
-    while idle < 2:
+    labels, tried, salt = None, None, 0
+    while True:
         own = members.withColumn("component", F.col("node")) if labels is None else members.join(
             small_or_shuffled(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
         first = F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("o"), "node", "component"))
@@ -209,17 +209,13 @@ def _clusters(lines: DataFrame, docs: DataFrame, text: str, doc_id: str, minimum
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         salt += 1
         if pairs.isEmpty():
-            idle += 1
-            continue
+            return labels
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = written(_confirmed(pairs, lines, docs, text, doc_id, minimum, percent), "links")
-        if new.isEmpty():
-            idle += 1
-            continue
-        idle = 0
-        links = new if links is None else links.unionByName(new)
-        labels = written(components(links), "labels")
-    return labels
+        links = written(_confirmed(pairs, lines, docs, text, doc_id, minimum, percent), "links")
+        if links.isEmpty():
+            return labels
+        stars = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = written(components(stars), "labels")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", minimum: int = MINIMUM,
