@@ -24,12 +24,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import words as ws
 from faultline.llm.common import small_or_shuffled, table, written
-from faultline.llm.components import components
+from faultline.llm.linking import linked_components
 
 SHINGLE = 5
 PERCENT = 80
@@ -37,14 +37,6 @@ TREES, DEPTH = 16, 8
 HASHES = TREES * DEPTH
 #: Candidates may look so much less similar by signature than they must be: five standard deviations.
 SLACK = 0.18
-#: Rows of a range partition, about 200 bytes each.
-RUN = 150_000
-#: So many best candidates of each node are confirmed first; what they join needs no further link.
-BEST = 2
-#: Neighbouring components looked at on each side, of all nodes and then of nodes in crowded regions.
-REACH = (2, 8)
-#: A node without any neighbour of this likeness is in no crowded region: nothing hides its near copies.
-CROWD = 0.4
 
 _rows = np.random.Generator(np.random.PCG64(1))
 _TIMES = _rows.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -103,55 +95,6 @@ def shingled(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame
         run, f"doc_id {kind}, fingerprint long, n_shingles long, digest binary, signature binary")
 
 
-def neighbours(nodes: DataFrame, labels: DataFrame | None, percent: int, reach: int) -> DataFrame:
-    """``a, b, likeness, fits``: of each node in each sorted order, the nearest nodes of ``reach`` other components on each side.
-
-    ``nodes`` has ``node, size, signature``; ``labels`` has ``node, component`` of linked nodes. Pairs of a
-    likeness under ``CROWD`` are left out; ``fits`` says whether a pair may reach ``percent``.
-    """
-    known = nodes.select("node", "size", "signature")
-    known = known.withColumn("component", F.col("node")) if labels is None else known.join(
-        small_or_shuffled(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = known.select("*", trees.alias("tree")).withColumn(
-        "label", F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})"))
-    parts = max(1, -(-nodes.count() * TREES // RUN))
-    sorted_rows = rows.repartitionByRange(parts, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    least = percent / 100 - SLACK
-
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        column = lambda c: np.concatenate([b.column(c).to_numpy() for b in held])
-        node, size, comp, tree = (column(c) for c in ("node", "size", "component", "tree"))
-        sign = np.concatenate([np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint8) for b in held]).reshape(-1, HASHES)
-        n = len(node)
-        edge = np.flatnonzero((comp[1:] != comp[:-1]) | (tree[1:] != tree[:-1])) + 1  # where runs of a component begin
-        start, end = np.append(0, edge), np.append(edge, n)
-        run_of = np.repeat(np.arange(len(start)), end - start)
-        row = np.arange(n)
-        label = np.frombuffer(b"".join(b"".join(b.column("label").to_pylist()) for b in held), f"V{DEPTH}")
-        same = np.append(False, (label[1:] == label[:-1]) & (tree[1:] == tree[:-1]))
-        first = np.maximum.accumulate(np.where(same, 0, row))  # of rows with this very label
-        partners = [first] + [np.where((o := run_of + away) < len(start), start[np.minimum(o, len(start) - 1)], row) for away in range(1, reach + 1)]
-        partners += [np.where((o := run_of - away) >= 0, end[np.maximum(o, 0)] - 1, row) for away in range(1, reach + 1)]
-        for partner in partners:
-            keep = np.flatnonzero((tree == tree[partner]) & (comp != comp[partner]))
-            for a in range(0, len(keep), 50_000):
-                i = keep[a : a + 50_000]
-                j = partner[i]
-                like = ((sign[i] == sign[j]).mean(axis=1) * 256 - 1) / 255
-                near = like >= CROWD
-                i, j, like = i[near], j[near], like[near]
-                fits = (like >= least) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-                yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])),
-                                       pa.array(like), pa.array(fits)], ["a", "b", "likeness", "fits"])
-
-    return sorted_rows.mapInArrow(run, "a long, b long, likeness double, fits boolean").groupBy("a", "b").agg(
-        F.first("likeness").alias("likeness"), F.first("fits").alias("fits"))
-
-
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, shingle: int, percent: int) -> DataFrame:
     """Those of the written ``pairs`` whose full sets are similar enough."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -179,43 +122,17 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, do
         100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
-def _components(nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, shingle: int, percent: int) -> DataFrame | None:
-    """``node, component`` of nodes that are linked with another; none if no two are."""
-    near = written(neighbours(nodes, None, percent, REACH[0]), "near")
-    found = near.where("fits").select("a", "b", "likeness")
-    best = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("likeness"), "a", "b"))
-    pairs = written(found.withColumn("at_a", best("a")).withColumn("at_b", best("b")).where(
-        (F.col("at_a") <= BEST) | (F.col("at_b") <= BEST)).select("a", "b"), "pairs")
-    if pairs.isEmpty():
-        return None
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    crowded = written(nodes.select("node", "size", "signature").join(ends, "node"), "crowded")
-    labels, tried = None, None
-    while True:
-        links = written(confirmed(pairs, nodes, docs, text, doc_id, shingle, percent), "links")
-        if links.isEmpty() and (labels is not None or tried is not None):
-            return labels
-        if not links.isEmpty():
-            stars = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            labels = written(components(stars), "labels")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = found.select("a", "b").unionByName(neighbours(crowded, labels, percent, REACH[1]).where("fits").select("a", "b"))
-        if labels is not None:
-            at = lambda end: small_or_shuffled(labels.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")))
-            more = more.join(at("a"), "a", "left").join(at("b"), "b", "left").where(
-                F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b")
-        pairs = written(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return labels
-
-
 def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, fingerprint, n_shingles, component_id`` (the smallest reachable id), one row for each row of ``docs``."""
     found = written(shingled(docs, text, doc_id, shingle), "shingled")
     nodes = written(found.where("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.min("fingerprint").alias("fingerprint"), F.first("n_shingles").alias("size"),
         F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels = _components(nodes, docs, text, doc_id, shingle, percent)
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    orders = nodes.select("node", "size", "signature", trees.alias("tree")).withColumn(
+        "label", F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})"))
+    confirm = lambda pairs: confirmed(pairs, nodes, docs, text, doc_id, shingle, percent)
+    labels = linked_components(orders, confirm, percent, SLACK)
     classes = nodes.select("digest", "node", "first_id")
     if labels is not None:
         classes = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -2,11 +2,11 @@
 
 A paragraph is a line of at least ``MINIMUM`` words, a set of five-word shingles. Bands of
 ``ROWS`` minimum hashes are as many as the wanted recall at the similarity limit takes. Paragraphs
-that collide in a band are joined with leaders of the band, one or two, and confirmed by the exact
-Jaccard similarity of their full sets; components of confirmed links are clusters. Paragraphs of one
-band that are not in one component yet are joined with other leaders, round by round, until a
-round links nothing: pairs stay linear in paragraphs, and a group of copies of any size is
-split by Spark as counts and joins on the band.
+that collide in a band are joined with those of the band which look most alike by their signatures,
+and confirmed by the exact Jaccard similarity of their full sets; components of confirmed links are
+clusters. Paragraphs that share a band but no component yet are joined with further ones, round by
+round, until a round links nothing: pairs stay linear in paragraphs, and a band that a group of copies
+of any size fills is sorted in partitions of bounded size.
 
 A passage may also stand inside a longer line. For that, sentences (long ones cut further after
 words that their own hash chooses) of four words and more that occur in several documents are
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import words as ws
 from faultline.llm.common import fresh, small_or_shuffled, table, written
-from faultline.llm.components import components
+from faultline.llm.linking import linked_components
 
 SHINGLE = 5
 PERCENT = 80
@@ -40,6 +40,8 @@ ROWS = 3
 RECALL = 0.9995
 SENTENCE = 4
 LONG_SENTENCE = 24
+#: Candidates may look so much less similar by signature than they must be: four standard deviations.
+SLACK = 0.28
 
 U = np.uint64
 
@@ -108,20 +110,24 @@ class Cut:
         return _sequence_hashes(self.words.hashes, self.line_start, self.line_end).view(np.int64)
 
 
-def _band_keys(h: np.ndarray, begin: np.ndarray, count: int) -> np.ndarray:
+def _band_keys(h: np.ndarray, begin: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each band, and the low byte of each minimum hash, of every paragraph."""
     out = np.zeros((len(begin) - 1, count), dtype=U)
+    low = np.zeros((len(out), count * ROWS), dtype=np.uint8)
     if not len(out):
-        return out
+        return out, low
     small = (h >> U(32)).astype(np.uint32)
     for b in range(count):
         key = np.full(len(out), b, dtype=U)
         for k in range(b * ROWS, (b + 1) * ROWS):
-            key = ws.pair(key, np.minimum.reduceat(small * _TIMES[k] + _PLUS[k], begin[:-1]).astype(U))
+            least = np.minimum.reduceat(small * _TIMES[k] + _PLUS[k], begin[:-1])
+            low[:, k] = least
+            key = ws.pair(key, least.astype(U))
         out[:, b] = key
-    return out
+    return out, low
 
 
-_PARAGRAPH = "node long, start int, stop int, words int, bands array<long>"
+_PARAGRAPH = "node long, start int, stop int, words int, bands array<long>, signature binary"
 _SENTENCE = "key long, start int, stop int, words int"
 
 
@@ -138,12 +144,14 @@ def units(docs: DataFrame, text: str, doc_id: str, minimum: int, count: int) ->
             for first, part in ws.chunks(ws.encoded(batch.column("text").to_pylist())):
                 cut = Cut(part, minimum)
                 of, start, stop = cut.spans(cut.line_start, cut.line_end)
-                keys = _band_keys(*cut.sets(), count).view(np.int64)
+                keys, low = _band_keys(*cut.sets(), count)
+                keys = keys.view(np.int64)
                 offsets = np.arange(len(keys) + 1, dtype=np.int32) * count
                 paragraphs = listed(of, len(part), {
                     "node": pa.array(cut.nodes()), "start": pa.array(start, pa.int32()), "stop": pa.array(stop, pa.int32()),
                     "words": pa.array(cut.line_end - cut.line_start, pa.int32()),
-                    "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))})
+                    "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
+                    "signature": pa.array([x.tobytes() for x in low], pa.binary())})
                 of, start, stop = cut.spans(cut.start, cut.end)
                 sentences = listed(of, len(part), {
                     "key": pa.array(_sequence_hashes(cut.words.hashes, cut.start, cut.end).view(np.int64)),
@@ -189,33 +197,16 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, docs: DataFrame, text: str, d
         100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
-def _clusters(lines: DataFrame, docs: DataFrame, text: str, doc_id: str, minimum: int, percent: int) -> DataFrame | None:
+def _clusters(lines: DataFrame, docs: DataFrame, text: str, doc_id: str, minimum: int, percent: int, hashes: int) -> DataFrame | None:
     """``node, component`` of paragraphs that are linked with another; none if no two are."""
-    keyed = lines.select(F.explode("bands").alias("key"), "node")
+    keyed = lines.select(F.explode("bands").alias("key"), "node", "signature")
     shared = written(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "bands")
-    members = written(keyed.join(small_or_shuffled(shared), "key").distinct(), "members")
-    labels, tried, salt = None, None, 0
-    while True:
-        own = members.withColumn("component", F.col("node")) if labels is None else members.join(
-            small_or_shuffled(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        first = F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("o"), "node", "component"))
-        lead = own.groupBy("key").agg(first.alias("l")).select(
-            "key", F.col("l.node").alias("leader"), F.col("l.component").alias("leading"))
-        others = own.join(lead, "key").where("component <> leading")
-        second = others.groupBy("key").agg(first.alias("l")).select(
-            "key", F.col("l.node").alias("leader"), F.col("l.component").alias("leading"))
-        more = others.drop("leader", "leading").join(second, "key").where("component <> leading")
-        pairs = others.unionByName(more).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        salt += 1
-        if pairs.isEmpty():
-            return labels
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = written(_confirmed(pairs, lines, docs, text, doc_id, minimum, percent), "links")
-        if links.isEmpty():
-            return labels
-        stars = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = written(components(stars), "labels")
+    turned = F.expr(f"concat(substring(signature, pmod(key, {hashes}) + 1, {hashes}), substring(signature, 1, pmod(key, {hashes})))")
+    members = written(keyed.join(small_or_shuffled(shared), "key").groupBy("key", "node").agg(
+        F.lit(1).alias("size"), F.min("signature").alias("signature")).select(
+        "node", "size", "signature", F.col("key").alias("tree"), turned.alias("label")), "members")
+    confirm = lambda pairs: _confirmed(pairs, lines, docs, text, doc_id, minimum, percent)
+    return linked_components(members, confirm, percent, SLACK)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", minimum: int = MINIMUM,
@@ -226,8 +217,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     found = written(units(docs, text, doc_id, minimum, bands(percent, ROWS, recall)).where(F.col("doc_id").isNotNull()), "units")
     lines = found.select("doc_id", "fingerprint", F.inline("paragraphs"))
-    labels = _clusters(lines, docs, text, doc_id, minimum, percent)
-    flat = lines.drop("bands").withColumn("class", F.col("node")) if labels is None else lines.drop("bands").join(
+    labels = _clusters(lines, docs, text, doc_id, minimum, percent, bands(percent, ROWS, recall) * ROWS)
+    lines = lines.drop("bands", "signature")
+    flat = lines.withColumn("class", F.col("node")) if labels is None else lines.join(
         small_or_shuffled(labels), "node", "left").withColumn("class", F.coalesce("component", "node"))
     whole = _later(flat, "class").select(
         "doc_id", "fingerprint", F.lit("paragraph").alias("kind"), "start", "stop", "words", "kept_doc_id")
