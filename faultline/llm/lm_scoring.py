@@ -10,8 +10,8 @@ A word scores c(n-gram) / c(context) at the longest order whose n-gram is in the
 for each longer order that its place in the document allows but the table lacks; order 1 divides by the
 number of words. N-grams of two words and more are in the table if the corpus has them ``minimum`` times.
 
-Entries travel as sorted 64-bit hashes, stored as differences: a row of the shuffle holds those of one
-block and one range. There are as many ranges as blocks, so with executors of more memory, larger
+Entries travel as sorted 64-bit hashes, stored as compressed differences: a row of the shuffle holds
+those of one block and one range. Texts travel compressed too, those of one input batch and block a row. There are as many ranges as blocks, so with executors of more memory, larger
 ``block_bytes`` keep both few.
 
 Words are separated by white space; A-Z count as a-z. Defined results: null and wordless texts have no
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,18 +33,18 @@ from faultline.llm.common import table
 ORDER = 3
 ALPHA = 0.4
 MINIMUM = 2
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 U = np.uint64
 #: Entry of every block that counts its words.
 _ALL = U(0)
 
 
-def _block(texts: list, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _block(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hashes of the n-grams of each order that end at each word (0 where there is none), text of each word, words per text."""
     parts: list[list[np.ndarray]] = [[] for _ in range(order)]
     of, count = [], []
-    for first, part in ws.chunks(ws.encoded(texts)):
+    for first, part in ws.chunks(texts):
         w = ws.split(part, ws.is_word())
         h = w.hashes
         roll = h
@@ -64,27 +65,38 @@ def _block(texts: list, order: int) -> tuple[list[np.ndarray], np.ndarray, np.nd
             np.concatenate(count) if count else none.astype(np.int64))
 
 
-def _packed(keys: np.ndarray) -> tuple[int, bytes]:
-    """Width of the differences of sorted keys in bytes, and the first key with the differences."""
-    gaps = np.diff(keys)
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return width, keys[:1].tobytes() + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, first the lowest bytes of all, compressed: the high ones shrink to nothing."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def _unpacked(width: int, data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    gaps = np.zeros(((len(raw) - 8) // width, 8), np.uint8)
-    gaps[:, :width] = raw[8:].reshape(-1, width)
-    return np.cumsum(np.concatenate([raw[:8].view(U), gaps.view(U).ravel()]), dtype=U)
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view(U).ravel()
 
 
-def _planes(counts: np.ndarray) -> bytes:
-    """Counts byte by byte: first the lowest bytes of all, and so on; the high ones compress to nothing."""
-    return np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return _planes(np.diff(keys, prepend=U(0)))
 
 
-def _counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(U).ravel()
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data), dtype=U)
+
+
+def _joined(texts: list[bytes]) -> bytes:
+    sizes = np.array([len(t) for t in texts], "<u8")
+    return zstandard.compress(len(texts).to_bytes(8, "little") + sizes.tobytes() + b"".join(texts), 1)
+
+
+def _parted(data: bytes) -> list[bytes]:
+    raw = zstandard.decompress(data)
+    n = int.from_bytes(raw[:8], "little")
+    ends = 8 + 8 * n + np.cumsum(np.frombuffer(raw[8 : 8 + 8 * n], "<u8")).astype(np.int64)
+    return [raw[a:b] for a, b in zip([8 + 8 * n, *ends[:-1]], ends, strict=True)] if n else []
+
+
+def _texts(block: pa.Table) -> list[bytes]:
+    return [t for row in block.column("texts").to_pylist() for t in _parted(row)]
 
 
 def _entries(grams: list[np.ndarray]) -> np.ndarray:
@@ -97,23 +109,33 @@ def document_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    dealt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.pmod(
-        F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.pmod(
+        F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"))
+
+    def deal(batches):
+        for batch in batches:
+            texts, number = ws.encoded(batch.column("text").to_pylist()), batch.column("block").to_numpy()
+            for one in np.unique(number):
+                own = np.flatnonzero(number == one)
+                ids = batch.column("doc_id").take(pa.array(own))
+                yield pa.record_batch([pa.array([one], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), ids),
+                                       pa.array([_joined([texts[i] for i in own])], pa.binary())], ["block", "ids", "texts"])
+
+    dealt = rows.mapInArrow(deal, f"block int, ids array<{kind}>, texts binary").repartition(blocks, "block")
     limits = np.array([(2**64 * r) // blocks for r in range(1, blocks)], dtype=U)
 
     def asked(block: pa.Table) -> pa.Table:
-        grams, _, _ = _block(block.column("text").to_pylist(), order)
-        keys, n = np.unique(_entries(grams), return_counts=True)
+        keys, n = np.unique(_entries(_block(_texts(block), order)[0]), return_counts=True)
         edges = np.concatenate([[0], np.searchsorted(keys, limits), [len(keys)]])
-        rows = [(r, *_packed(keys[a:b]), _planes(n[a:b])) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-        part, width, data, counts = zip(*rows, strict=True) if rows else ((), (), (), ())
+        rows = [(r, _packed(keys[a:b]), _planes(n[a:b])) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        part, data, counts = zip(*rows, strict=True) if rows else ((), (), ())
         own = block.column("block")[0].as_py()
         return pa.table({"part": pa.array(part, pa.int32()), "block": pa.array([own] * len(rows), pa.int32()),
-                         "width": pa.array(width, pa.int32()), "keys": pa.array(data, pa.binary()), "counts": pa.array(counts, pa.binary())})
+                         "keys": pa.array(data, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     def summed(part: pa.Table) -> pa.Table:
-        keys = [_unpacked(w, k) for w, k in zip(part.column("width").to_pylist(), part.column("keys").to_pylist(), strict=True)]
-        n = np.concatenate([_counts(c) for c in part.column("counts").to_pylist()])
+        keys = [_unpacked(k) for k in part.column("keys").to_pylist()]
+        n = np.concatenate([_numbers(c) for c in part.column("counts").to_pylist()])
         flat = np.concatenate(keys)
         by_key = np.argsort(flat, kind="stable")
         start = np.flatnonzero(np.diff(flat[by_key], prepend=~flat[by_key[:1]]) != 0)
@@ -125,13 +147,13 @@ def document_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             [_planes(each[b - len(k) : b]) for k, b in zip(keys, ends, strict=True)], pa.binary())})
 
     def scored(block: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, of, size = _block(block.column("text").to_pylist(), order)
+        grams, of, size = _block(_texts(block), order)
         sums = np.zeros(len(size))
         if len(of):
             flat = _entries(grams)
             keys, at = np.unique(flat, return_inverse=True)
             answers = answers.sort_by("part")
-            counts = np.concatenate([_counts(c) for c in answers.column("counts").to_pylist()]).astype(np.float64)
+            counts = np.concatenate([_numbers(c) for c in answers.column("counts").to_pylist()]).astype(np.float64)
             assert len(counts) == len(keys)
             logs = np.log(counts)[at]
             words, used = len(of), len(of)
@@ -149,11 +171,11 @@ def document_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 known = np.flatnonzero(here & (by_order[k] >= np.log(minimum) - 1e-9))
                 value[known] = by_order[k][known] - by_order[k - 1][known - 1]
             sums = np.bincount(of, value, len(size))
-        return pa.table({"doc_id": block.column("doc_id"), "n_words": pa.array(size, pa.int64()), "log_score": pa.array(sums),
+        return pa.table({"doc_id": block.column("ids").combine_chunks().flatten(), "n_words": pa.array(size, pa.int64()), "log_score": pa.array(sums),
                          "mean_log_score": pa.array(sums / np.maximum(size, 1), mask=size == 0)})
 
     entries = dealt.groupBy("block").applyInArrow(
-        asked, "part int, block int, width int, keys binary, counts binary")
+        asked, "part int, block int, keys binary, counts binary")
     answers = entries.groupBy("part").applyInArrow(summed, "block int, part int, counts binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         scored, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
