@@ -46,11 +46,11 @@ def test_backoff_of_nothing(docs_of):
 
 
 def test_packed_keys():
-    for keys in ([5], [0, 2**64 - 1], list(range(0, 2000, 7))):
+    for keys in ([5], [0, 2**64 - 1], list(range(0, 2000, 7)), []):
         k = np.array(keys, np.uint64)
-        assert (lm_scoring._unpacked(*lm_scoring._packed(k)) == k).all()
-    c = np.array([1, 300, 70_000, 2**40], np.uint64)
-    assert (lm_scoring._counts(lm_scoring._planes(c)) == c).all()
+        assert (lm_scoring._unpacked(lm_scoring._packed(k)) == k).all()
+    for texts in ([], [b""], [b"a", b"", b"\n\x00" * 999]):
+        assert lm_scoring._parted(lm_scoring._joined(texts)) == texts
 
 
 def test_counted_rules(docs_of):
