@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.plans.staging import spread, tune
+from faultline.plans.staging import tune
 
 URLS = [
     "/api/CommonServiceApi/getMpacImages", "/api/AciApi/Submit", "/api/AciApi/AuditLog",
@@ -21,7 +21,7 @@ TAILS = [
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tune(spark)
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

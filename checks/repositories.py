@@ -123,12 +123,12 @@ step("sources_cap", "sources", """SELECT * FROM (SELECT *, row_number() OVER (PA
 
 @shared("repo_sources")
 def sources(spark, sf):
-    return rp.source_file_scan(files(spark, sf), projects(spark, sf), maximum_files=2_000_000_000)
+    return rp.source_file_scan(files(spark, sf), projects(spark, sf))
 
 
 @check("source_file_scan", query("SELECT repository, project_name, relative_path FROM sources", "sources"))
 def _(spark, sf):
-    return rp.source_file_scan(files(spark, sf), projects(spark, sf), maximum_files=2_000_000_000).select("repository", "project_name", "relative_path")
+    return rp.source_file_scan(files(spark, sf), projects(spark, sf)).select("repository", "project_name", "relative_path")
 
 
 @check("source_file_scan_capped", query("SELECT repository, project_name, relative_path FROM sources_cap", "sources_cap"))
@@ -157,8 +157,8 @@ step("k5", "repo_files projects techs", " UNION ALL ".join([
     _k5("Technology", "name", "replace(t, ',', ';')", 95, "(SELECT repository, name, unnest(string_split(tech, ';')) t FROM projects WHERE warning IS NULL AND tech <> '')"),
     _k5("Dependency", "name", "'M0'", 90, "projects WHERE refs <> ''"), _k5("Dependency", "name", "packs", 85, "projects WHERE packs <> ''"),
     _k5("Other", "'FileCategory:' || category", "cast(n as varchar)", 100, "(SELECT repository, category, count(*) n FROM repo_files GROUP BY 1, 2)"),
-    _k5("DatabaseObject", "'SqlFile'", "relative_path", 70, _listed("extension='.sql'") + " WHERE rn <= 100"),
-    _k5("Configuration", "'ConfigurationFile'", "relative_path", 70, _listed("category='Configuration'") + " WHERE rn <= 100")]))
+    _k5("DatabaseObject", "'SqlFile'", "relative_path", 70, _listed("extension='.sql'")),
+    _k5("Configuration", "'ConfigurationFile'", "relative_path", 70, _listed("category='Configuration'"))]))
 
 
 @check("repository_contributions", query("SELECT repository, type, key, value, max(confidence_score) confidence_score FROM k5 GROUP BY 1, 2, 3, 4", "k5"))
@@ -230,5 +230,5 @@ def _(spark, sf):
 def analyze(spark, sf):
     """The whole plan from files to counts, nothing reused."""
     from faultline.plans.code import analyze_code
-    found = analyze_code(rp.repository_files(listing(spark, sf)), maximum_files=2_000_000_000)
+    found = analyze_code(rp.repository_files(listing(spark, sf)))
     return found.summary.select("repository", "method_count", "database_reference_count")

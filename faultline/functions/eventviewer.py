@@ -17,6 +17,9 @@ STAMP_FORMATS = [
     "M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "d.M.yyyy H.mm.ss", "d.M.yyyy H:mm:ss",
     "M/d/yyyy h:mm a", "M/d/yyyy H:mm", "M/d/yyyy",
 ]
+# Further forms of the same culture, after an optional day of the week.
+LOOSE_STAMPS = [f"{date}[ h:mm[:ss] a][ H:mm[:ss]]" for date in ("M/d/yy", "M-d-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")]
+WEEKDAY = r"(?i)^(?:Mon|Tues?|Wed(?:nes)?|Thu(?:rs)?|Fri|Sat(?:ur)?|Sun)(?:day)?,?\s+"
 # Field patterns.
 EXPLICIT_TYPE = r"(?im)^\s*Error Type\s*:\s*([A-Za-z_][A-Za-z0-9_.+`]*Exception)\s*$"
 EXPLICIT_STATUS = r"(?im)^\s*Error Status Code\s*:\s*(\d{1,3})\s*$"
@@ -56,11 +59,14 @@ def is_header(line: Column) -> Column:
 
 
 def parse_stamp(text: Column) -> Column:
-    """Known formats first, then ISO; without a zone the session zone (UTC) counts."""
+    """Known formats first, then ISO, then the looser forms; without a zone the session zone (UTC) counts."""
     t = strip(text)
+    plain = F.regexp_replace(F.regexp_replace(t, WEEKDAY, ""), r"\s+(?:GMT|Z)$", "")
+    dated = plain.rlike(r"^(?:\d{1,2}[/-]\d|[A-Za-z]{3,9} \d|\d{1,2} [A-Za-z])")
     return F.coalesce(
         *[F.try_to_timestamp(t, F.lit(f)) for f in STAMP_FORMATS],
         F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), t.try_cast("timestamp")),
+        F.when(dated, F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in LOOSE_STAMPS])),
     )
 
 
@@ -78,7 +84,7 @@ def record_fields(line: Column) -> Column:
         strip(parts[2]).alias("event_source"),
         F.coalesce(strip(parts[3]).try_cast("int"), F.lit(0)).alias("event_id"),
         strip(parts[4]).alias("task_category"),
-        strip(F.array_join(F.slice(parts, 6, 1_000_000), "\t")).alias("first_text"),
+        strip(F.array_join(F.slice(parts, F.lit(6), F.greatest(F.size(parts), F.lit(1))), "\t")).alias("first_text"),
     )
     return F.when(
         (F.size(parts) >= 5) & is_known_level(parts[0]), F.when(stamp.isNotNull(), fields))

@@ -43,6 +43,16 @@ def strip_end(c: Column) -> Column:
     return F.rtrim(c, F.lit(WHITE_SPACE))
 
 
+def decoded(content: Column) -> Column:
+    """Text of a file's bytes by its byte order mark; UTF-8 without one, where broken bytes become U+FFFD."""
+    mark = F.hex(F.substring(content, 1, 2))
+    rest = lambda n: F.substring(content, n, F.greatest(F.length(content), F.lit(1)))
+    return (
+        F.when(mark == "FFFE", F.decode(rest(3), "UTF-16LE"))
+        .when(mark == "FEFF", F.decode(rest(3), "UTF-16BE"))
+        .otherwise(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\uFEFF", "")))
+
+
 def distinct_ci(values: Column, limit: int | None = None) -> Column:
     """Distinct texts ignoring case, first spelling kept, at most ``limit``.
 

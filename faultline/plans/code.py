@@ -23,9 +23,9 @@ class CodeKnowledge:
 
 def analyze_code(
     files: DataFrame, include_generated: bool = False, include_tests: bool = False,
-    maximum_files: int = rp.MAXIMUM_FILES,
+    maximum_files: int | None = None,
 ) -> CodeKnowledge:
-    """``files`` hold ``repository, relative_path, content``."""
+    """``files`` hold ``repository, relative_path, content``; ``code_tree`` reads them from a folder."""
     projects = staged(rp.project_files(files), "projects")
     sources = staged(rp.source_file_scan(files, projects, include_generated, include_tests, maximum_files), "sources")
     types = staged(sc.source_types(sources), "types")

@@ -35,12 +35,6 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of fewer files than cores; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
@@ -75,7 +69,8 @@ def globally_ranked(df: DataFrame, order: list, out: str, name: str) -> DataFram
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(path)
     rows = spark.read.schema(df.schema).parquet(path).select(
         *df.columns, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("long")  # as text, part-100000 would come before part-99999
+    earlier = Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(
         "_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     return rows.join(offsets, "_file").withColumn(out, F.col("_offset") + F.col("_row") + 1).drop("_file", "_row", "_offset")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import eventviewer as ev
+from faultline.functions.text import decoded
 from faultline.operators.assemble import normalize_plain
 from faultline.operators.eventviewer import normalize_eventviewer
 
@@ -16,13 +17,18 @@ PLAIN, EVENT_VIEWER, UNSUPPORTED = "plain", "eventviewer", "unsupported"
 
 
 def log_line_scan(
-    spark: SparkSession, path: str | list[str], name: Callable[[Column], Column] | None = None
+    spark: SparkSession, path: str | list[str], name: Callable[[Column], Column] | None = None, wide: bool = False,
 ) -> DataFrame:
     """``source, line_no, value`` with dense 1-based line numbers per file.
 
     Lines are numbered inside each file split; only one count per split is then
     summed up along the file, so a huge file is never ordered in one task.
+
+    Bytes are UTF-8. A file that begins with the mark of UTF-16 fails the job with its
+    name: such files are read with ``wide``, each whole and by its own byte order mark.
     """
+    if wide:
+        return _wide_line_scan(spark, path, name)
     raw = spark.read.text(path, recursiveFileLookup=True).select(
         "value",
         F.col("_metadata.file_path").alias("path"),
@@ -36,19 +42,27 @@ def log_line_scan(
     numbered = raw.withColumn("_pos", F.row_number().over(inside)).join(offsets, ["path", "split"])
     line_no = (F.col("_offset") + F.col("_pos")).cast("long")
     source = name(F.col("path")) if name else F.col("path")
+    marked = F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).isin("FFFE", "FEFF")
+    first = F.when(marked, F.raise_error(F.concat(F.lit("UTF-16 file, to be read with wide=True: "), F.col("path"))).cast("string")).otherwise(
+        F.regexp_replace("value", "^﻿", ""))
     return numbered.select(
-        source.alias("source"),
-        line_no.alias("line_no"),
-        F.when(line_no == 1, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value")).alias("value"),
-    )
+        source.alias("source"), line_no.alias("line_no"), F.when(line_no == 1, first).otherwise(F.col("value")).alias("value"))
+
+
+def _wide_line_scan(spark: SparkSession, path: str | list[str], name: Callable[[Column], Column] | None) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    text = F.regexp_replace(decoded(F.col("content")), r"(?:\r\n|\r|\n)$", "")
+    source = name(F.col("path")) if name else F.col("path")
+    lines = files.where(F.col("length") > 0).select(source.alias("source"), F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("at", "value"))
+    return lines.select("source", (F.col("at") + 1).cast("long").alias("line_no"), "value")
 
 
-def format_detect(lines: DataFrame) -> DataFrame:
-    """``source, format`` from the file extension and the first 50 lines."""
+def format_detect(lines: DataFrame, detection_lines: int = DETECTION_LINES) -> DataFrame:
+    """``source, format`` from the file extension and the first lines, 50 unless told otherwise."""
     extension = F.lower(F.regexp_extract("source", r"(\.[^./\\]*)$", 1))
     looks = ev.is_header(F.col("value")) | ev.record_fields(F.col("value")).isNotNull()
     return (
-        lines.filter(F.col("line_no") <= DETECTION_LINES)
+        lines.filter(F.col("line_no") <= detection_lines)
         .groupBy("source")
         .agg(F.bool_or(looks).alias("_ev"))
         .select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.text import any_of, contains_ci, distinct_ci, nonblank, strip
+from faultline.functions.text import any_of, contains_ci, decoded, distinct_ci, nonblank, strip
 from faultline.plans.staging import globally_ranked
 
 # File kinds that count, by category, and directories that do not.
@@ -16,8 +16,7 @@ CATEGORIES = {
     "Styles": [".css"], "Automation": [".ps1", ".cmd", ".bat"], "Documentation": [".md"],
 }
 IGNORED_DIRECTORIES = [".git", ".vs", ".idea", "bin", "obj", "node_modules", "packages", "testresults"]
-MAXIMUM_FILES = 5000
-LISTED_FILES = 100
+READ_EXTENSIONS = [".cs", ".csproj"]
 # Words of a path that exclude it always, as generated, as tests.
 NEVER = ["/bin/", "/obj/", "/.git/"]
 GENERATED_WITHIN, GENERATED_ENDS = ["/generated/"], [".g.cs", ".generated.cs"]
@@ -75,6 +74,20 @@ def repository_file_scan(spark: SparkSession, root: str, repository: str) -> Dat
     return repository_files(listing)
 
 
+def code_tree(spark: SparkSession, root: str, repository: str) -> DataFrame:
+    """``repository, relative_path, size_bytes, modified, content`` of a folder, and what the inventory adds.
+
+    Contents are read of C# sources and projects only; of other files it is null. Text is
+    decoded by its byte order mark, UTF-8 without one.
+    """
+    pattern = "*{" + ",".join(READ_EXTENSIONS) + "}"
+    base = root.rstrip("/")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(base)
+    texts = read.select(F.col("path"), decoded(F.col("content")).alias("content"))
+    relative = F.regexp_replace("path", r"^.*?" + "\\Q" + base + "\\E" + "/", "").alias("relative_path")
+    return repository_file_scan(spark, root, repository).join(texts.select(relative, "content"), "relative_path", "left")
+
+
 def repository_path_filter(path: Column, include_generated: bool = False, include_tests: bool = False) -> Column:
     """True for paths that belong to the product's own source."""
     p = F.lower(F.concat(F.lit("/"), F.replace(path, F.lit("\\"), F.lit("/"))))
@@ -104,10 +117,10 @@ def project_files(files: DataFrame) -> DataFrame:
     """
     xml = F.regexp_replace("content", "^﻿", "")
     rows = files.filter(F.lower(extension_of(F.col("relative_path"))) == ".csproj").select(
-        "repository", "relative_path", xml.alias("_xml"),
-        F.from_xml(xml, "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].isNull().alias("_ok"))
+        "repository", "relative_path", xml.alias("_xml"), (xml.rlike(r"^\s*<") & F.from_xml(
+            F.when(xml.rlike(r"^\s*<"), xml), "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].isNull()).alias("_ok"))
     ok = lambda c: F.when(F.col("_ok"), c)
-    x = F.col("_xml")
+    x = F.when(F.col("_ok"), F.col("_xml"))
     sdk = F.xpath_string(x, F.lit("/*/@Sdk"))
     read = rows.select(
         "repository", "relative_path", file_stem(F.col("relative_path")).alias("name"), ok(sdk).alias("sdk"),
@@ -156,11 +169,11 @@ def attach_project(files: DataFrame, projects: DataFrame) -> DataFrame:
 
 def source_file_scan(
     files: DataFrame, projects: DataFrame, include_generated: bool = False, include_tests: bool = False,
-    maximum_files: int = MAXIMUM_FILES,
+    maximum_files: int | None = None,
 ) -> DataFrame:
-    """C# files below each project, at most ``maximum_files`` per repository.
+    """C# files below each project; all of them, or at most ``maximum_files`` per repository.
 
-    A file below two nested projects belongs to both. Files are taken in the
+    A file below two nested projects belongs to both. A limit takes files in the
     order of project name and path.
     """
     wanted = files.filter(
@@ -168,14 +181,16 @@ def source_file_scan(
         & repository_path_filter(F.col("relative_path"), include_generated, include_tests))
     owners = projects.filter(repository_path_filter(F.col("relative_path"), include_generated, include_tests))
     pairs = _containing(wanted.select("repository", "relative_path"), owners).drop("_dir")
+    contents = wanted.select("repository", "relative_path", "content")
+    if maximum_files is None:
+        return pairs.select("repository", "project_name", "relative_path").join(contents, ["repository", "relative_path"])
     order = [
         F.asc("repository"), F.asc(F.lower("project_name")), F.asc("_project_path"), F.asc(F.lower(directory(F.col("relative_path")))),
         F.asc(F.lower("relative_path")), F.asc("relative_path")]
     ranked = globally_ranked(pairs, order, "_rank", "source_order")
     first = ranked.groupBy("repository").agg(F.min("_rank").alias("_first"))
     kept = ranked.join(first, "repository").filter(F.col("_rank") - F.col("_first") < maximum_files)
-    return kept.select("repository", "project_name", "relative_path").join(
-        wanted.select("repository", "relative_path", "content"), ["repository", "relative_path"])
+    return kept.select("repository", "project_name", "relative_path").join(contents, ["repository", "relative_path"])
 
 
 def repository_technologies(files: DataFrame, projects: DataFrame) -> DataFrame:
@@ -202,8 +217,13 @@ def repository_summary(files: DataFrame, projects: DataFrame) -> DataFrame:
         "projects", F.coalesce("projects", F.lit(0)))
 
 
-def repository_contributions(files: DataFrame, projects: DataFrame, application_hint: str = "") -> DataFrame:
-    """Statements about each repository, best one per key."""
+def repository_contributions(
+    files: DataFrame, projects: DataFrame, application_hint: str = "", listed_files: int | None = None,
+) -> DataFrame:
+    """Statements about each repository, best one per key.
+
+    Every SQL and configuration file is listed, or the first ``listed_files`` of each kind by path.
+    """
     from faultline.operators.facts import dedupe_keep_best
 
     def row(kind, key, value, score, evidence, tags):
@@ -239,7 +259,11 @@ def repository_contributions(files: DataFrame, projects: DataFrame, application_
         "Other", say("FileCategory:", F.col("category")), n, 100, say("Repository contains ", n, " ", F.col("category"), " file(s)."),
         ["repository", "file-category", F.col("category")]))
     order = Window.partitionBy("repository").orderBy(F.lower("relative_path"), "relative_path")
-    first = lambda df: df.select("repository", "relative_path").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= LISTED_FILES)
+
+    def first(df):
+        df = df.select("repository", "relative_path")
+        return df if listed_files is None else df.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= listed_files)
+
     sql = rows(first(files.filter(F.lower("extension") == ".sql")), row(
         "DatabaseObject", "SqlFile", path, 70, say("SQL source file discovered: ", path), ["repository", "database", "sql-file"]))
     conf = rows(first(files.filter(F.col("category") == "Configuration")), row(
