@@ -21,9 +21,11 @@ from faultline.llm.common import small_or_shuffled, written
 from faultline.llm.components import components
 
 #: Rows of a range partition, about 200 bytes each.
-RUN = 150_000
+RUN = 75_000
 #: So many best candidates of each node are confirmed first; what they join needs no further link.
 BEST = 2
+#: Candidates that a row of an order may give; a node has a row in each order, and gets others once these are tried.
+KEPT = 3
 #: Neighbouring components looked at on each side, of all nodes and then of nodes in crowded regions.
 REACH = (2, 8)
 #: A node without any neighbour of this likeness is in no crowded region: nothing hides its near copies.
@@ -59,26 +61,38 @@ def neighbours(orders: DataFrame, rows: int, labels: DataFrame | None, percent:
         first = np.maximum.accumulate(np.where(same, 0, row))  # of rows with this very label
         partners = [first] + [np.where((o := run_of + away) < len(start), start[np.minimum(o, len(start) - 1)], row) for away in range(1, reach + 1)]
         partners += [np.where((o := run_of - away) >= 0, end[np.maximum(o, 0)] - 1, row) for away in range(1, reach + 1)]
-        for partner in partners:
-            keep = np.flatnonzero((tree == tree[partner]) & (comp != comp[partner]))
-            for a in range(0, len(keep), 50_000):
-                i = keep[a : a + 50_000]
+        for a in range(0, n, 20_000):  # of each row, the partners that look most alike
+            i = row[a : a + 20_000]
+            best = np.zeros((KEPT, len(i)))
+            whom = np.tile(i, (KEPT, 1))
+            for partner in partners:
                 j = partner[i]
-                like = ((sign[i] == sign[j]).mean(axis=1) * 256 - 1) / 255
-                near = like >= CROWD
-                i, j, like = i[near], j[near], like[near]
-                fits = (like >= least) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-                yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])),
-                                       pa.array(like), pa.array(fits)], ["a", "b", "likeness", "fits"])
+                other = (tree[i] == tree[j]) & (comp[i] != comp[j]) & ~(whom == j).any(axis=0)
+                like = np.where(other, ((sign[i] == sign[j]).mean(axis=1) * 256 - 1) / 255, 0)
+                least_at = best.argmin(axis=0)
+                better = np.flatnonzero(like > best[least_at, np.arange(len(i))])
+                best[least_at[better], better], whom[least_at[better], better] = like[better], j[better]
+            k, at = np.nonzero(best >= CROWD)
+            i, j, like = i[at], whom[k, at], best[k, at]
+            fits = (like >= least) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+            yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])),
+                                   pa.array(like), pa.array(fits)], ["a", "b", "likeness", "fits"])
 
     return sorted_rows.mapInArrow(run, "a long, b long, likeness double, fits boolean").groupBy("a", "b").agg(
         F.first("likeness").alias("likeness"), F.first("fits").alias("fits"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, slack: float) -> DataFrame | None:
     """``node, component`` of nodes that are linked with another; none if no two are.
 
     ``confirm`` returns those of a written table of pairs ``a, b`` which are links. ``label`` must have one length.
+    First, all nodes are sorted and the best candidates of each confirmed. Then nodes in crowded regions are sorted
+    again, to look past what they are linked with. From then on, those nodes are that still have a candidate outside
+    their component, until a round links nothing.
     """
     near = written(neighbours(orders, orders.count(), None, percent, slack, REACH[0]), "near")
     found = near.where("fits").select("a", "b", "likeness")
@@ -87,10 +101,7 @@ def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFram
         (F.col("at_a") <= BEST) | (F.col("at_b") <= BEST)).select("a", "b"), "pairs")
     if pairs.isEmpty():
         return None
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    crowded = written(orders.join(ends, "node"), "crowded")
-    rows = crowded.count()
-    labels, tried = None, None
+    found, places, labels, tried = found.select("a", "b"), near, None, None
     while True:
         links = written(confirm(pairs), "links")
         if links.isEmpty() and tried is not None:
@@ -98,13 +109,21 @@ def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFram
         if not links.isEmpty():
             stars = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
             labels = written(components(stars), "labels")
+        if tried is not None:
+            places = found = written(_apart(found, labels), "apart")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        more = found.select("a", "b").unionByName(
-            neighbours(crowded, rows, labels, percent, slack, REACH[1]).where("fits").select("a", "b"))
-        if labels is not None:
-            at = lambda end: small_or_shuffled(labels.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")))
-            more = more.join(at("a"), "a", "left").join(at("b"), "b", "left").where(
-                F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b")
-        pairs = written(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        again = written(orders.join(small_or_shuffled(written(_ends(places), "ends")), "node", "left_semi"), "again")
+        more = neighbours(again, again.count(), labels, percent, slack, REACH[1]).where("fits").select("a", "b")
+        found = written(_apart(found.unionByName(more).distinct(), labels), "found")
+        pairs = written(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             return labels
+
+
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs of nodes that are not in one component."""
+    if labels is None:
+        return pairs
+    at = lambda end: small_or_shuffled(labels.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")))
+    return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(
+        F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b")

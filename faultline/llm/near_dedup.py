@@ -114,11 +114,11 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, do
                         [h[begin[i] : begin[i + 1]].view(np.int64) for i in new], pa.list_(pa.int64()))], ["digest", "shingles"])
 
     sets = written(near.mapInArrow(run, "digest binary, shingles array<long>").join(
-        wanted.select("node", "digest"), "digest").select("node", "shingles"), "sets")
+        small_or_shuffled(wanted.select("node", "digest")), "digest").select("node", "shingles"), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").where(
+    return small_or_shuffled(pairs.select("a", "b")).join(one, "a").join(two, "b").where(
         100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 

@@ -189,11 +189,11 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, docs: DataFrame, text: str, d
                     yield pa.record_batch([pa.array([nodes[i] for i in new], pa.int64()), pa.array(
                         [np.unique(h[begin[i] : begin[i + 1]]).view(np.int64) for i in new], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    sets = written(near.mapInArrow(run, "node long, shingles array<long>").join(wanted.select("node"), "node"), "sets")
+    sets = written(near.mapInArrow(run, "node long, shingles array<long>").join(small_or_shuffled(wanted.select("node")), "node"), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").where(
+    return small_or_shuffled(pairs.select("a", "b")).join(one, "a").join(two, "b").where(
         100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
