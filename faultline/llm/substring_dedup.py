@@ -43,6 +43,9 @@ LONG_SENTENCE = 24
 #: Candidates may look so much less similar by signature than they must be: four standard deviations.
 SLACK = 0.28
 
+#: A broadcast table of a single number may have so many rows, 32 MB.
+KEYS = 2_000_000
+
 U = np.uint64
 
 
@@ -199,12 +202,14 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, docs: DataFrame, text: str, d
 
 def _clusters(lines: DataFrame, docs: DataFrame, text: str, doc_id: str, minimum: int, percent: int, hashes: int) -> DataFrame | None:
     """``node, component`` of paragraphs that are linked with another; none if no two are."""
-    keyed = lines.select(F.explode("bands").alias("key"), "node", "signature")
+    keyed = lines.select(F.explode("bands").alias("key"), "node")
     shared = written(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "bands")
+    found = written(keyed.join(small_or_shuffled(shared, KEYS), "key").distinct(), "collisions")
     turned = F.expr(f"concat(substring(signature, pmod(key, {hashes}) + 1, {hashes}), substring(signature, 1, pmod(key, {hashes})))")
-    members = written(keyed.join(small_or_shuffled(shared), "key").groupBy("key", "node").agg(
-        F.lit(1).alias("size"), F.min("signature").alias("signature")).select(
-        "node", "size", "signature", F.col("key").alias("tree"), turned.alias("label")), "members")
+    known = written(lines.select("node", "signature").join(small_or_shuffled(written(
+        found.select("node").distinct(), "colliding"), KEYS), "node").groupBy("node").agg(F.min("signature").alias("signature")), "known")
+    members = found.join(small_or_shuffled(known), "node").select(
+        "node", F.lit(1).alias("size"), "signature", F.col("key").alias("tree"), turned.alias("label"))
     confirm = lambda pairs: _confirmed(pairs, lines, docs, text, doc_id, minimum, percent)
     return linked_components(members, confirm, percent, SLACK)
 
