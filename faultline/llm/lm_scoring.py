@@ -10,7 +10,7 @@ A word scores c(n-gram) / c(context) at the longest order whose n-gram is in the
 for each longer order that its place in the document allows but the table lacks; order 1 divides by the
 number of words. N-grams of two words and more are in the table if the corpus has them ``minimum`` times.
 
-Entries travel as sorted 64-bit hashes, stored as compressed differences: a row of the shuffle holds
+Entries travel as sorted 60-bit hashes, stored as compressed differences: a row of the shuffle holds
 those of one block and one range. Texts travel compressed too, those of one input batch and block a row. There are as many ranges as blocks, so with executors of more memory, larger
 ``block_bytes`` keep both few.
 
@@ -34,12 +34,18 @@ ORDER = 3
 ALPHA = 0.4
 MINIMUM = 2
 BLOCK_BYTES = 4 << 20
+#: Length of an n-gram's hash. Of a million million different n-grams, one in a million shares its hash.
+BITS = 60
 
 U = np.uint64
 #: Entry of every block that counts its words.
 _ALL = U(0)
 
 
+def _key(h: np.ndarray) -> np.ndarray:
+    return np.maximum(ws.mix(h) >> U(64 - BITS), U(1))
+
+
 def _block(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hashes of the n-grams of each order that end at each word (0 where there is none), text of each word, words per text."""
     parts: list[list[np.ndarray]] = [[] for _ in range(order)]
@@ -54,9 +60,9 @@ def _block(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray
                 m = max(0, len(h) - k)
                 roll = ws.pair(roll[: m], h[k : k + m])
                 same = w.text[:m] == w.text[k : k + m]
-                full[k : k + m][same] = ws.mix(roll + U(k))[same] | U(1)
+                full[k : k + m][same] = _key(roll + U(k))[same]
             else:
-                full = ws.mix(h) | U(1)
+                full = _key(h)
             parts[k].append(full)
         of.append(w.text + first)
         count.append(np.bincount(w.text, minlength=len(part)))
@@ -85,7 +91,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _joined(texts: list[bytes]) -> bytes:
     sizes = np.array([len(t) for t in texts], "<u8")
-    return zstandard.compress(len(texts).to_bytes(8, "little") + sizes.tobytes() + b"".join(texts), 1)
+    return zstandard.compress(len(texts).to_bytes(8, "little") + sizes.tobytes() + b"".join(texts), 3)
 
 
 def _parted(data: bytes) -> list[bytes]:
@@ -122,7 +128,7 @@ def document_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                                        pa.array([_joined([texts[i] for i in own])], pa.binary())], ["block", "ids", "texts"])
 
     dealt = rows.mapInArrow(deal, f"block int, ids array<{kind}>, texts binary").repartition(blocks, "block")
-    limits = np.array([(2**64 * r) // blocks for r in range(1, blocks)], dtype=U)
+    limits = np.array([(2**BITS * r) // blocks for r in range(1, blocks)], dtype=U)
 
     def asked(block: pa.Table) -> pa.Table:
         keys, n = np.unique(_entries(_block(_texts(block), order)[0]), return_counts=True)
