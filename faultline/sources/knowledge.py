@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import blank, nonblank
 from faultline.sources.json_text import (
-    clean_json, get_bool, get_int, get_ints, get_list, get_text, json_object, json_objects, whole_files,
+    clean_json, get_bool, get_int, get_ints, get_list, get_text, json_object, required_objects, whole_files,
 )
 
 TEXT, LIST, INTS = "text", "list", "ints"
@@ -45,14 +45,17 @@ class KnowledgeBase:
 
 
 def parse_knowledge_base(files: DataFrame) -> KnowledgeBase:
-    """``path, content`` of knowledge base files to three tables."""
+    """``path, content`` of knowledge base files to three tables.
+
+    A list that is no list, or holds an element of another kind, fails the job with its name.
+    """
     docs = files.select("path", json_object(clean_json(F.col("content"))).alias("doc"))
 
     def items(name: str, fields: dict[str, str]) -> DataFrame:
         rows = docs.select(
             "path",
             get_text(F.col("doc"), "applicationName").alias("application_name"),
-            F.posexplode(json_objects(get_text(F.col("doc"), name))).alias("pos", "m"),
+            F.posexplode(required_objects(get_text(F.col("doc"), name), name)).alias("pos", "m"),
         )
         return rows.select(
             "path", "application_name", "pos",
@@ -121,7 +124,7 @@ def parse_packages(files: DataFrame) -> Packages:
     )
     items = (
         typed.filter(F.col("kind").isin(*PACKAGE_FILES))
-        .select("package", "kind", F.posexplode(json_objects(F.col("json"))).alias("pos", "fields"))
+        .select("package", "kind", F.posexplode(required_objects(F.col("json"), "package list")).alias("pos", "fields"))
         .withColumn("id", get_text(F.col("fields"), "id"))
     )
     # A package is one small directory; its files are hashed in name order.

@@ -87,3 +87,20 @@ def test_no_file_is_left_out(spark):
     listed = repository.repository_contributions(files.withColumn("size_bytes", F.lit(1)), projects)
     assert listed.filter("key = 'SqlFile'").count() == 130
     assert repository.repository_contributions(files.withColumn("size_bytes", F.lit(1)), projects, listed_files=100).filter("key = 'SqlFile'").count() == 100
+
+
+@pytest.mark.parametrize("document,error", [
+    ('{"components": [{"name": "a", "keywords": ["x", null]}], "workflows": null}', None),
+    ('{"components": ["x", {"name": "a"}]}', "components.*array of objects"),
+    ('{"components": [{"name": "a", "apiPaths": "one"}]}', "apiPaths.*list of string"),
+    ('{"components": [{"name": "a", "keywords": ["x", 3]}]}', "keywords.*list of string"),
+])
+def test_knowledge_files_are_read_strictly(spark, document, error):
+    from faultline.sources.knowledge import parse_knowledge_base
+
+    found = parse_knowledge_base(spark.createDataFrame([("/k.json", document)], "path string, content string")).components
+    if error:
+        with pytest.raises(Exception, match=error):
+            found.collect()
+    else:
+        assert [(r.name, r.keywords, r.api_paths) for r in found.collect()] == [("a", ["x", None], [])]
