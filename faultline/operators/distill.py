@@ -127,8 +127,8 @@ def authority_order(c: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for k, (o, _) in AUTHORITIES.items() for x in (k, o)]), c)
 
 
-def distilled_facts(texts: DataFrame) -> DataFrame:
-    """The 24 strongest facts per incident: ``incident_id, fact_no`` and the fact."""
+def distilled_facts(texts: DataFrame, max_facts: int | None = MAX_FACTS) -> DataFrame:
+    """The strongest facts per incident, 24 unless told otherwise, all with None: ``incident_id, fact_no`` and the fact."""
     split = texts.select("incident_id", "investigation_text", "metadata", text_lines(F.col("investigation_text")).alias("_lines"))
     found = fact_list(F.col("investigation_text"), F.col("_lines"), F.col("metadata"))
     rows = split.select("incident_id", F.posexplode(found).alias("pos", "f")).select("incident_id", "pos", "f.*")
@@ -136,8 +136,9 @@ def distilled_facts(texts: DataFrame) -> DataFrame:
         F.min("pos").alias("first_pos"),
         F.min_by(F.struct("category", "label", "value", "priority", "source"), F.struct((-F.col("priority")).alias("p"), "pos")).alias("f"))
     order = Window.partitionBy("incident_id").orderBy(F.desc(authority_order(F.col("authority"))), F.desc("f.priority"), "first_pos")
+    ranked = best.withColumn("fact_no", F.row_number().over(order))
     return (
-        best.withColumn("fact_no", F.row_number().over(order)).filter(F.col("fact_no") <= MAX_FACTS)
+        (ranked if max_facts is None else ranked.filter(F.col("fact_no") <= max_facts))
         .select("incident_id", "fact_no", "f.category", "f.label", "f.value", "f.priority", "authority", "f.source"))
 
 

@@ -25,7 +25,9 @@ def representative_evidence(entries: DataFrame, limit: int = EVIDENCE_DEFAULT) -
     frequency, then entries in order. Each list is reduced to at most ``limit``
     rows per incident before it is shuffled, so a huge incident stays cheap.
     """
-    limit = max(1, min(limit, EVIDENCE_MAX))
+    if limit < 1:
+        raise ValueError("at least one entry of evidence is needed")
+    listed = max(limit, EVIDENCE_MAX)
     keyed = entries.select(
         "incident_id", "source", "line_number", _time_key(),
         nonblank(F.col("stack_trace")).alias("has_stack"),
@@ -42,12 +44,12 @@ def representative_evidence(entries: DataFrame, limit: int = EVIDENCE_DEFAULT) -
     by_frequency = Window.partitionBy("incident_id").orderBy(F.desc("n"), "e.t")
     group_rows = (
         keyed.groupBy("incident_id", "sig").agg(F.count(F.lit(1)).alias("n"), F.min_by(entry, "t").alias("e"))
-        .withColumn("rn", F.row_number().over(by_frequency)).filter(F.col("rn") <= EVIDENCE_MAX)
+        .withColumn("rn", F.row_number().over(by_frequency)).filter(F.col("rn") <= listed)
         .select("incident_id", "e.*", F.struct(F.lit(1).alias("kind"), (-F.col("n")).alias("n"), F.col("e.t").alias("o")).alias("key")))
     by_time = Window.partitionBy("incident_id").orderBy("t")
     fill_rows = (
         keyed.select("incident_id", "source", "line_number", "t")
-        .withColumn("rn", F.row_number().over(by_time)).filter(F.col("rn") <= EVIDENCE_MAX)
+        .withColumn("rn", F.row_number().over(by_time)).filter(F.col("rn") <= listed)
         .select("incident_id", "source", "line_number", "t", F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("n"), F.col("t").alias("o")).alias("key")))
     candidates = (
         slot_rows.unionByName(group_rows).unionByName(fill_rows)

@@ -95,8 +95,10 @@ def _match_rows(df: DataFrame, name: str, kind: str | None, nested: dict[str, st
     return df.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("rank", text.alias("text"))))["text"].alias(out))
 
 
-def evidence_text(evidence: DataFrame, include_stack: bool = True, include_raw: bool = True) -> DataFrame:
-    """Rendered evidence of each incident (at most 25 entries)."""
+def evidence_text(
+    evidence: DataFrame, include_stack: bool = True, include_raw: bool = True, stack_limit: int = STACK_LIMIT, raw_limit: int = RAW_LIMIT,
+) -> DataFrame:
+    """Rendered evidence of each incident; the columns of the evidence itself stay whole."""
     status = F.col("http_status").cast("string")
     labelled = [
         ("Line", F.col("line_number").cast("string")), ("Timestamp", round_trip(F.col("ts"))), ("Severity", F.col("severity")),
@@ -106,9 +108,9 @@ def evidence_text(evidence: DataFrame, include_stack: bool = True, include_raw:
     ]
     parts = [F.concat(F.lit(f"  {label}: "), or_unknown(v)) for label, v in labelled]
     if include_stack:
-        parts.append(F.concat(F.lit("  Stack Trace: "), limited(F.col("stack_trace"), STACK_LIMIT)))
+        parts.append(F.concat(F.lit("  Stack Trace: "), limited(F.col("stack_trace"), stack_limit)))
     if include_raw:
-        parts.append(F.concat(F.lit("  Raw Content: "), limited(F.col("raw_content"), RAW_LIMIT)))
+        parts.append(F.concat(F.lit("  Raw Content: "), limited(F.col("raw_content"), raw_limit)))
     text = lines(F.concat(F.lit("Evidence "), F.col("evidence_no").cast("string"), F.lit(":")), *parts, F.lit(""))
     return evidence.groupBy("incident_id").agg(
         F.count(F.lit(1)).cast("int").alias("evidence_count"),

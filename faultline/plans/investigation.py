@@ -26,19 +26,21 @@ class Investigation:
 def investigate(
     incidents: DataFrame, entries: DataFrame, summaries: DataFrame, kb: KnowledgeBase, application_name: str,
     mode: str = "Deep", question: str = "", max_evidence: int = ev.EVIDENCE_DEFAULT,
+    max_facts: int | None = distill.MAX_FACTS,
 ) -> Investigation:
-    """``entries`` carry the ``incident_id`` they belong to."""
+    """``entries`` carry the ``incident_id`` they belong to. Claims, and what the guardrail decides by them, come from the
+    ``max_facts`` strongest facts of an incident, from all with None."""
     components = staged(ctx.component_match(incidents, entries, kb), "components")
     workflows = staged(ctx.workflow_match(incidents, entries, kb, components), "workflows")
-    issues = ctx.known_issue_match(incidents, entries, kb)
-    rollup = ctx.context_rollup(incidents, components, workflows, issues)
+    issues = staged(ctx.known_issue_match(incidents, entries, kb), "issues")
+    rollup = staged(ctx.context_rollup(incidents, components, workflows, issues), "rollup")
     chosen = staged(ev.representative_evidence(entries, max_evidence), "evidence")
     patterns = ev.error_pattern_match(incidents, summaries)
     texts = staged(investigation_text(
         incidents, ev.evidence_environment(incidents, chosen), rollup, components, workflows, issues, chosen,
         patterns, application_name, mode, question), "texts")
     case_rows = report.cases(incidents, texts, rollup, components, workflows, application_name)
-    claims = distill.evidence_claims(distill.distilled_facts(texts))
-    rows = report.reports(case_rows)
+    claims = distill.evidence_claims(distill.distilled_facts(texts, max_facts))
+    rows = staged(report.reports(case_rows), "reports")
     return Investigation(
         texts, case_rows, timeline_events(timeline_groups(chosen)), claims, rows, guardrail.guarded_reports(rows, claims))
