@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Each step is one aggregation and one join; the table is written after each pair of steps, and the
-driver learns two numbers about it. No task sees a whole component: a hub's links are joined with
+driver learns two numbers about it. A pair of steps returns one link for each node but the smallest,
+and one for each link that does not yet end at a smallest node, so the table never grows past both. No task sees a whole component: a hub's links are joined with
 its smallest neighbour, and Spark may split such a join.
 """
 
@@ -29,9 +30,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             "high", F.col("to").alias("low"))
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("high").agg(F.min("low").alias("to"))
-        small = large.join(least, "high").select(F.explode(F.array(
-            F.struct(F.col("to").alias("low"), "high"), F.struct(F.col("to").alias("low"), F.col("low").alias("high")))).alias("e"))
-        edges = written(small.select("e.low", "e.high").where("low < high").distinct(), "edges")
+        small = large.join(least, "high").select(F.col("to").alias("low"), F.col("low").alias("high"))
+        edges = written(small.where("low < high").unionByName(least.select(F.col("to").alias("low"), "high")), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
         if now == state:
             break

@@ -101,7 +101,7 @@ def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFram
         (F.col("at_a") <= BEST) | (F.col("at_b") <= BEST)).select("a", "b"), "pairs")
     if pairs.isEmpty():
         return None
-    found, places, labels, tried = found.select("a", "b"), near, None, None
+    found, labels, tried = found.select("a", "b"), None, None
     while True:
         links = written(confirm(pairs), "links")
         if links.isEmpty() and tried is not None:
@@ -109,12 +109,12 @@ def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFram
         if not links.isEmpty():
             stars = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
             labels = written(components(stars), "labels")
-        if tried is not None:
-            places = found = written(_apart(found, labels), "apart")
+        rest = written(_apart(found, labels), "rest")
+        places = near if tried is None else rest
         tried = pairs if tried is None else tried.unionByName(pairs)
         again = written(orders.join(small_or_shuffled(written(_ends(places), "ends")), "node", "left_semi"), "again")
         more = neighbours(again, again.count(), labels, percent, slack, REACH[1]).where("fits").select("a", "b")
-        found = written(_apart(found.unionByName(more).distinct(), labels), "found")
+        found = written(rest.join(tried, ["a", "b"], "left_anti").unionByName(more).distinct(), "found")
         pairs = written(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             return labels
