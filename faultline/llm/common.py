@@ -20,6 +20,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbers(df: DataFrame, name: str) -> DataFrame:
+    """``written`` for rows of a few numbers: an eighth of the shuffle partitions is enough files for them."""
+    return written(df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)), name)
+
+
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows. ``df`` should be a written table of narrow rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import written
+from faultline.llm.common import numbers
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,7 +20,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links may be repeated, in either direction, or from a node to itself; those with null are left out.
     """
     low, high = F.least(a, b).alias("low"), F.greatest(a, b).alias("high")
-    edges = written(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(low, high).where("low < high").distinct(), "edges")
+    edges = numbers(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(low, high).where("low < high").distinct(), "edges")
     state = None
     while True:
         # large star: the larger end of each link goes to the smallest neighbour of the other end
@@ -31,7 +31,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("high").agg(F.min("low").alias("to"))
         small = large.join(least, "high").select(F.col("to").alias("low"), F.col("low").alias("high"))
-        edges = written(small.where("low < high").unionByName(least.select(F.col("to").alias("low"), "high")), "edges")
+        edges = numbers(small.where("low < high").unionByName(least.select(F.col("to").alias("low"), "high")), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
         if now == state:
             break

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import small_or_shuffled, written
+from faultline.llm.common import numbers, small_or_shuffled, written
 from faultline.llm.components import components
 
 #: Rows of a range partition, about 200 bytes each.
@@ -94,10 +94,10 @@ def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFram
     again, to look past what they are linked with. From then on, those nodes are that still have a candidate outside
     their component, until a round links nothing.
     """
-    near = written(neighbours(orders, orders.count(), None, percent, slack, REACH[0]), "near")
+    near = numbers(neighbours(orders, orders.count(), None, percent, slack, REACH[0]), "near")
     found = near.where("fits").select("a", "b", "likeness")
     best = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("likeness"), "a", "b"))
-    pairs = written(found.withColumn("at_a", best("a")).withColumn("at_b", best("b")).where(
+    pairs = numbers(found.withColumn("at_a", best("a")).withColumn("at_b", best("b")).where(
         (F.col("at_a") <= BEST) | (F.col("at_b") <= BEST)).select("a", "b"), "pairs")
     if pairs.isEmpty():
         return None
@@ -108,14 +108,14 @@ def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFram
             return labels
         if not links.isEmpty():
             stars = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            labels = written(components(stars), "labels")
-        rest = written(_apart(found, labels), "rest")
+            labels = numbers(components(stars), "labels")
+        rest = numbers(_apart(found, labels), "rest")
         places = near if tried is None else rest
         tried = pairs if tried is None else tried.unionByName(pairs)
-        again = written(orders.join(small_or_shuffled(written(_ends(places), "ends")), "node", "left_semi"), "again")
+        again = written(orders.join(small_or_shuffled(numbers(_ends(places), "ends")), "node", "left_semi"), "again")
         more = neighbours(again, again.count(), labels, percent, slack, REACH[1]).where("fits").select("a", "b")
-        found = written(rest.join(tried, ["a", "b"], "left_anti").unionByName(more).distinct(), "found")
-        pairs = written(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = numbers(rest.join(tried, ["a", "b"], "left_anti").unionByName(more).distinct(), "found")
+        pairs = numbers(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             return labels
 
