@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 
 U = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SPACES = b" \t\n\v\f\r"
 _BASE = 0x9E3779B97F4A7C15
 _rows = np.random.Generator(np.random.PCG64(20240229))
@@ -59,9 +59,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers up to ``n``; those of ordinary chunks are kept, those of very long texts are not."""
-    size = 1 << max(12, (n - 1).bit_length())
-    return (_powers if size <= 2 * CHUNK else _powers.__wrapped__)(size)
+    """At least ``n`` powers; those of ordinary chunks are kept, those of very long texts are not."""
+    return _powers(2 * CHUNK) if n <= 2 * CHUNK else _powers.__wrapped__(n)
 
 
 def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
