@@ -171,6 +171,30 @@ def test_configurations_hold_every_piece(counts):
     assert used <= sum(t for _, t in packing.best_fit(counts, 10)) + 1
 
 
+def test_rounds_place_what_best_fit_places_badly():
+    """Best-fit takes 11 sequences for each 9 here; three pieces of length 1 must not end the rounds."""
+    counts = {1: 3, 51: 60, 27: 60, 26: 60, 23: 120}
+    used = lambda groups: sum(times for _, times in groups)
+    assert used(packing.best_fit(counts, 100)) >= 110
+    assert used(packing.configurations(counts, 100)) <= 95
+
+
+def test_rounds_place_most_pieces_of_many_lengths():
+    rng = random.Random(4)
+    counts: dict[int, int] = {}
+    for _ in range(600):
+        k = min(511, max(5, int(rng.lognormvariate(4.5, 0.9))))
+        counts[k] = counts.get(k, 0) + 1
+    held: dict[int, int] = {}
+    for content, times in packing.priced(counts, 512):
+        if sum(k * v for k, v in content.items()) >= 512 * (1 - packing.TOLERANCE):
+            for k, v in content.items():
+                held[k] = held.get(k, 0) + v * times
+    assert sum(held.values()) > sum(counts.values()) / 2
+    least = -(-sum(k * n for k, n in counts.items()) // 512)
+    assert sum(times for _, times in packing.configurations(counts, 512)) <= least + 1
+
+
 def test_packing(spark, docs_of):
     import public_tokenizers
     from tokenizers import Tokenizer
