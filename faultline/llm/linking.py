@@ -6,6 +6,11 @@ size, so a tree or label that holds a third of all rows is split like any other.
 the nearest nodes on both sides that are not in its component yet, and the first node with its very
 label, if the whole signatures make the similarity possible. Pairs are linear in rows: a group of
 copies costs its size, not its square. A range border parts two neighbours in one order only.
+
+What is still apart then is compared with all others of its region, the rows of one tree whose labels begin alike:
+first those up to ``WIDE`` rows away, then ever further ones, until no region has rows that were not compared. Pairs
+that were tried are left out, and so are pairs within a component, so this grows with the square only for crowds of
+different items that are alike but not linked.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ BEST = 2
 KEPT = 3
 #: Neighbouring components looked at on each side, of all nodes and then of nodes in crowded regions.
 REACH = (2, 8)
+#: Rows looked at on each side when regions are compared in full, and by how much this grows from round to round.
+WIDE, WIDER = 64, 8
 #: A node without any neighbour of this likeness is in no crowded region: nothing hides its near copies.
 CROWD = 0.4
 
@@ -82,42 +89,125 @@ def neighbours(orders: DataFrame, rows: int, labels: DataFrame | None, percent:
         F.first("likeness").alias("likeness"), F.first("fits").alias("fits"))
 
 
+def region_pairs(orders: DataFrame, rows: int, labels: DataFrame | None, tried: DataFrame | None, percent: int, slack: float,
+                 reach: int, prefix: int) -> DataFrame:
+    """``a, b``: untried pairs of different components, up to ``reach`` rows from each other in a region, that may reach
+    ``percent``; and each node that has rows of its region further away, as a pair with itself.
+
+    A region is the rows of a ``tree`` whose labels have the same first ``prefix`` bytes.
+    """
+    known = orders.withColumn("component", F.col("node")) if labels is None else orders.join(
+        small_or_shuffled(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if tried is None:
+        known = known.withColumn("tried", F.array().cast("array<long>"))
+    else:
+        lists = numbers(tried.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried")), "lists")
+        known = known.join(lists, "node", "left").withColumn("tried", F.coalesce("tried", F.array().cast("array<long>")))
+    sorted_rows = known.repartitionByRange(max(1, -(-rows // RUN)), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    least = percent / 100 - slack
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        column = lambda c: np.concatenate([b.column(c).to_numpy() for b in held])
+        node, size, comp, tree = (column(c) for c in ("node", "size", "component", "tree"))
+        n = len(node)
+        sign = np.concatenate([np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint8) for b in held]).reshape(n, -1)
+        label = np.frombuffer(b"".join(b"".join(b.column("label").to_pylist()) for b in held), np.uint8).reshape(n, -1)
+        new = np.append(True, (tree[1:] != tree[:-1]) | (label[1:, :prefix] != label[:-1, :prefix]).any(axis=1))
+        region = np.cumsum(new)
+        # tried pairs as numbers of different nodes, so that they are compared exactly
+        names, place = np.unique(node, return_inverse=True)
+        ends = [np.concatenate([b.column("tried").value_lengths().to_numpy() for b in held]),
+                np.concatenate([b.column("tried").flatten().to_numpy() for b in held])]
+        at = np.minimum(np.searchsorted(names, ends[1]), len(names) - 1)
+        here = names[at] == ends[1]
+        done = np.unique((np.repeat(place, ends[0]) * len(names) + at)[here])
+        i = np.arange(n)
+        for away in range(1, min(reach, n - 1) + 1):
+            i = i[: np.searchsorted(i, n - away)]
+            i = i[region[i] == region[i + away]]  # a row without one at this distance has none further away
+            if not len(i):
+                break
+            x = i[comp[i] != comp[i + away]]
+            x = x[100 * np.minimum(size[x], size[x + away]) >= percent * np.maximum(size[x], size[x + away])]
+            for first in range(0, len(x), 20_000):
+                y = x[first : first + 20_000]
+                like = ((sign[y] == sign[y + away]).mean(axis=1) * 256 - 1) / 255
+                y = y[like >= least]
+                low = np.where(node[y] < node[y + away], y, y + away)
+                high = 2 * y + away - low
+                pair = place[low] * len(names) + place[high]
+                if len(done):
+                    fresh = done[np.minimum(np.searchsorted(done, pair), len(done) - 1)] != pair
+                    low, high = low[fresh], high[fresh]
+                if len(low):
+                    yield pa.record_batch([pa.array(node[low]), pa.array(node[high])], ["a", "b"])
+        far = np.flatnonzero(region[: max(0, n - reach - 1)] == region[reach + 1 :])
+        far = np.unique(np.concatenate([node[far], node[far + reach + 1]]))
+        if len(far):
+            yield pa.record_batch([pa.array(far), pa.array(far)], ["a", "b"])
+
+    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, slack: float) -> DataFrame | None:
+def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, slack: float,
+                      prefix: int = 0) -> DataFrame | None:
     """``node, component`` of nodes that are linked with another; none if no two are.
 
     ``confirm`` returns those of a written table of pairs ``a, b`` which are links. ``label`` must have one length.
     First, all nodes are sorted and the best candidates of each confirmed. Then nodes in crowded regions are sorted
     again, to look past what they are linked with. From then on, those nodes are that still have a candidate outside
-    their component, until a round links nothing.
+    their component, until a round links nothing. At last, all of each crowded region are compared that are still apart;
+    ``prefix`` says how many first bytes the labels of a region share.
     """
     near = numbers(neighbours(orders, orders.count(), None, percent, slack, REACH[0]), "near")
+    crowd = numbers(_ends(near), "crowd")
+    if crowd.isEmpty():
+        return None
     found = near.where("fits").select("a", "b", "likeness")
     best = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("likeness"), "a", "b"))
     pairs = numbers(found.withColumn("at_a", best("a")).withColumn("at_b", best("b")).where(
         (F.col("at_a") <= BEST) | (F.col("at_b") <= BEST)).select("a", "b"), "pairs")
-    if pairs.isEmpty():
-        return None
     found, labels, tried = found.select("a", "b"), None, None
-    while True:
+    while not pairs.isEmpty():
         links = written(confirm(pairs), "links")
-        if links.isEmpty() and tried is not None:
-            return labels
-        if not links.isEmpty():
-            stars = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            labels = numbers(components(stars), "labels")
+        labels = _joined(links, labels)
+        first, tried = tried is None, pairs if tried is None else tried.unionByName(pairs)
+        if links.isEmpty() and not first:
+            break
         rest = numbers(_apart(found, labels), "rest")
-        places = near if tried is None else rest
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        again = written(orders.join(small_or_shuffled(numbers(_ends(places), "ends")), "node", "left_semi"), "again")
+        again = _of(orders, crowd if first else numbers(_ends(rest), "ends"))
         more = neighbours(again, again.count(), labels, percent, slack, REACH[1]).where("fits").select("a", "b")
         found = numbers(rest.join(tried, ["a", "b"], "left_anti").unionByName(more).distinct(), "found")
         pairs = numbers(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return labels
+    live, reach = crowd, WIDE
+    while not live.isEmpty():
+        again = _of(orders, live)
+        seen = numbers(region_pairs(again, again.count(), labels, tried, percent, slack, reach, prefix), "region")
+        pairs = numbers(seen.where("a < b"), "pairs")
+        if not pairs.isEmpty():
+            labels = _joined(written(confirm(pairs), "links"), labels)
+            tried = pairs if tried is None else tried.unionByName(pairs)
+        live, reach = seen.where("a = b").select(F.col("a").alias("node")), reach * WIDER
+    return labels
+
+
+def _of(orders: DataFrame, nodes: DataFrame) -> DataFrame:
+    return written(orders.join(small_or_shuffled(nodes), "node", "left_semi"), "again")
+
+
+def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """Components of ``labels`` and the written ``links`` together."""
+    if links.isEmpty():
+        return labels
+    stars = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return numbers(components(stars), "labels")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -11,8 +11,9 @@
 3. Candidates are confirmed on full sets, each node's best first. Components are found; other
    candidates between components follow, and the nodes that had any like neighbour are sorted
    again to find neighbours in other components further away, until a round links nothing.
+4. Nodes of a crowded region that are still apart are compared with all others of it.
 
-Pairs are linear in nodes in every round: a group of copies costs its size, not its square.
+Pairs are linear in nodes in rounds of neighbours: a group of copies costs its size, not its square.
 
 Defined results: null and wordless texts have an empty set and are linked with nothing; a text of
 fewer words than a shingle is one shingle; rows that repeat id and text are one document and stay
@@ -35,6 +36,8 @@ SHINGLE = 5
 PERCENT = 80
 TREES, DEPTH = 16, 8
 HASHES = TREES * DEPTH
+#: Labels that begin with so many equal bytes are compared in full where nodes crowd: all trees miss a pair at the limit once in ten millions.
+REGION = 2
 #: Candidates may look so much less similar by signature than they must be: five standard deviations.
 SLACK = 0.18
 
@@ -132,7 +135,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     orders = nodes.select("node", "size", "signature", trees.alias("tree")).withColumn(
         "label", F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})"))
     confirm = lambda pairs: confirmed(pairs, nodes, docs, text, doc_id, shingle, percent)
-    labels = linked_components(orders, confirm, percent, SLACK)
+    labels = linked_components(orders, confirm, percent, SLACK, REGION)
     classes = nodes.select("digest", "node", "first_id")
     if labels is not None:
         classes = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

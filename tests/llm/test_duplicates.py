@@ -99,6 +99,25 @@ def test_paragraph_clusters_are_whole(docs_of):
     assert {r.doc_id: r.kept_doc_id for r in spans} == {i: c for i, c in want.items() if c != i}
 
 
+def crowd(rng, texts=400, twins=40):
+    """Texts of one template with other values in five places, under the limit to each other (0.778), and twins of some
+    that share one of the values (0.818)."""
+    def filled(values):
+        return " ".join(values.get(at, f"t{at}") for at in range(204))
+
+    new = lambda: f"v{rng.randrange(10**9)}"
+    rows = [{at: new() for at in range(20, 200, 40)} for _ in range(texts)]
+    rows += [{at: v if at == 20 else new() for at, v in w.items()} for w in rows[:twins]]
+    return [(i, filled(w)) for i, w in enumerate(rows)]
+
+
+def test_template_crowds_are_compared_whole(docs_of):
+    rows = crowd(random.Random(8))
+    want = brute.linked(rows, 5)
+    assert len({c for c in want.values()}) == 400
+    assert {r.doc_id: r.component_id for r in near_dedup.linked(docs_of(rows)).collect()} == want
+
+
 def test_clean_documents_stay(spark):
     docs = table(spark, SF, "documents")
     cut = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
