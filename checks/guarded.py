@@ -56,6 +56,13 @@ def _(spark, sf):
     return rp.child(guarded(spark, sf), "investigation_steps").filter("sequence = 1").select("incident_id", "action")
 
 
+@check("guard_all_steps", query(f"""SELECT s.incident_id, sequence, CASE WHEN g_flow='Unknown' AND contains(lower(action), '{gr.SCOPE_SENTENCE}')
+  THEN 'Validate whether the issue is still occurring and {gr.SCOPE_SENTENCE}.' ELSE action END AS action, confidence_score
+  FROM ({iv.STEPS_SQL}) s JOIN (SELECT incident_id, g_flow FROM guard_base) g ON s.incident_id=g.incident_id""", "guard_base cases"))
+def _(spark, sf):
+    return rp.child(guarded(spark, sf), "investigation_steps").select("incident_id", "sequence", "action", "confidence_score")
+
+
 step("gj", "cases strong", """SELECT c.incident_id, component_items, dependencies, coalesce(v, []) vals, coalesce(d, []) deps FROM cases c LEFT JOIN
  (SELECT incident_id, list(lower(value)) v, list(lower(value)) FILTER (WHERE lower(category)='dependency') d FROM strong GROUP BY 1) s USING (incident_id)""")
 

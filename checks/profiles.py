@@ -185,6 +185,35 @@ def _(spark, sf):
     return p.contributions.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+# All evidence, with applications that compete.
+step("winner", "candidates", """SELECT application_id, confidence_score FROM (SELECT *, row_number() OVER (ORDER BY confidence_score DESC, lower('Supplier ' || substr(application_id, 5)), application_id) rn,
+  lead(confidence_score) OVER (ORDER BY confidence_score DESC, lower('Supplier ' || substr(application_id, 5)), application_id) nxt FROM candidates) WHERE rn=1 AND confidence_score>=60 AND confidence_score-coalesce(nxt,-1000)>=10""")
+
+
+def whole_profile(spark, sf):
+    found = kb.packages(spark, sf)
+    return pf.application_profile(log_contributions(spark, sf), cn.catalog_contributions(found), found.metadata, [], "APP-1")
+
+
+@check("application_profile_whole", query("""SELECT coalesce((SELECT application_id FROM winner), 'APP-1') application_id, coalesce((SELECT confidence_score FROM winner),
+  CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE floor(s_suppkey / 20) = 1) AND 100 - coalesce((SELECT max(confidence_score) FROM candidates), -1000) >= 10 THEN 100 ELSE 0 END) identification_confidence_score""", "candidates winner"))
+def _(spark, sf):
+    return whole_profile(spark, sf).profile.select("application_id", "identification_confidence_score")
+
+
+@check("profile_candidates_whole", query("""SELECT application_id, confidence_score, evidence_count FROM candidates
+  UNION ALL SELECT 'APP-1', 100, 1 WHERE NOT EXISTS (SELECT 1 FROM winner) AND EXISTS (SELECT 1 FROM supplier WHERE floor(s_suppkey / 20) = 1)""", "candidates winner"))
+def _(spark, sf):
+    return whole_profile(spark, sf).candidates.select("application_id", "confidence_score", "evidence_count")
+
+
+@check("profile_contributions_whole", query("""SELECT type, count(*) n FROM (SELECT type FROM (SELECT DISTINCT type, key, lower(value) FROM raw_facts)
+  UNION ALL SELECT 'ApplicationIdentity' FROM print_hits WHERE application_id = (SELECT application_id FROM winner)
+  UNION ALL SELECT type FROM catalog_rows WHERE application_id='APP-1' AND NOT EXISTS (SELECT 1 FROM winner)) GROUP BY 1""", "raw_facts print_hits winner catalog_rows"))
+def _(spark, sf):
+    return whole_profile(spark, sf).contributions.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @check("get_values", query("SELECT min(value) AS value FROM raw_facts WHERE type='Exception' GROUP BY lower(value)", "raw_facts"))
 def _(spark, sf):
     found = fa.log_facts(evidence_rows(spark, sf))
