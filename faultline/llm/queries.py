@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from faultline.llm import (
-    decontamination, html_extraction, language_id, lm_scoring, near_dedup, packing, perplexity_rules, quality_classifier,
-    substring_dedup, warc_store)
+    decontamination, hard_negatives, html_extraction, language_id, lm_scoring, near_dedup, packing, perplexity_rules,
+    quality_classifier, substring_dedup, warc_store)
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -17,10 +17,12 @@ QUERIES = {
     "op8_html_extraction": html_extraction.op8_html_extraction,
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": perplexity_rules.op10_quality_rules,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
 ORACLES = {
     "op1_lm_scoring": lm_scoring.OP1_SQL,
     "op2_decontamination": decontamination.OP2_SQL,
     "op3_near_dedup": near_dedup.OP3_SQL,
     "op4_warc": warc_store.OP4_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
