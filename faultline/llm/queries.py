@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from faultline.llm import (
-    decontamination, hard_negatives, html_extraction, language_id, lm_scoring, near_dedup, packing, perplexity_rules,
-    quality_classifier, substring_dedup, warc_store)
+    decontamination, hard_negatives, html_extraction, language_id, lm_scoring, max_sketches, near_dedup, packing,
+    perplexity_rules, quality_classifier, substring_dedup, warc_store)
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": perplexity_rules.op10_quality_rules,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_lexical_search": max_sketches.op12_lexical_search,
 }
 ORACLES = {
     "op1_lm_scoring": lm_scoring.OP1_SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op3_near_dedup": near_dedup.OP3_SQL,
     "op4_warc": warc_store.OP4_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_lexical_search": max_sketches.OP12_SQL,
 }
