@@ -1,6 +1,6 @@
 """Ranked lexical search: hashed max-sketches give upper bounds, exact scores in descending order of the bounds.
 
-1. Each document's terms are hashed to ``WIDTH`` coordinates; of the terms of a coordinate the largest number of
+1. Each document's terms are hashed to ``width`` coordinates; of the terms of a coordinate the largest number of
    occurrences stays. With the document's length fixed, a term's impact grows with its occurrences, so this is the
    coordinatewise maximum of impacts, and it needs no statistics of the corpus. Only coordinates that are not zero
    are kept. The sketches are written once and serve any number of query batches.
@@ -48,8 +48,8 @@ def terms(text: str | None) -> list[str]:
     return _TERM.findall(text.translate(_LOWER)) if text else []
 
 
-def coordinate(term: str) -> int:
-    return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) % WIDTH
+def coordinate(term: str, width: int) -> int:
+    return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) % width
 
 
 def _key(doc_id: str, text: str):
@@ -57,7 +57,7 @@ def _key(doc_id: str, text: str):
     return F.xxhash64(F.lit(1), F.col(doc_id), F.col(text))
 
 
-def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """``doc_id, key, n, at, most`` of documents with a term: ``at`` are coordinates, 16 bits each, and ``most`` the largest
     number of occurrences of a term there, 32 bits each."""
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
@@ -68,7 +68,7 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
             for i, value in enumerate(b.column("text").to_pylist()):
                 found = Counter(terms(value))
                 if found:
-                    at = np.fromiter(map(coordinate, found), np.int64, len(found))
+                    at = np.fromiter((coordinate(t, width) for t in found), np.int64, len(found))
                     often = np.fromiter(found.values(), np.int64, len(found))
                     turn = np.lexsort((-often, at))
                     at, often = at[turn], often[turn]
@@ -100,13 +100,13 @@ def _holders(docs: DataFrame, wanted: frozenset[str], text: str) -> dict[str, in
 class Queries:
     """A block of queries with weights: ``items`` are lists of terms."""
 
-    def __init__(self, items: list[list[str]], df: dict[str, int], documents: int, length: int):
+    def __init__(self, items: list[list[str]], df: dict[str, int], documents: int, length: int, width: int = WIDTH):
         self.documents, self.length = documents, length
         self.items = [Counter(x) for x in items]
         self.weight = {t: math.floor(1000 * math.log((2 * documents + 2) / (2 * df[t] + 1))) for x in self.items for t in x if df.get(t)}
-        places = {t: coordinate(t) for t in self.weight}
+        places = {t: coordinate(t, width) for t in self.weight}
         used = sorted(set(places.values()))
-        self.column = np.full(WIDTH, -1, np.int32)
+        self.column = np.full(width, -1, np.int32)
         self.column[used] = np.arange(len(used))
         self.matrix = np.zeros((len(used), len(items)))
         for i, x in enumerate(self.items):
@@ -219,13 +219,13 @@ def _block(docs: DataFrame, index: DataFrame, block: Queries, top: int, text: st
 
 
 def search(docs: DataFrame, queries: DataFrame, top: int = TOP, text: str = "text", doc_id: str = "doc_id", query: str = "text",
-           query_id: str = "item_id", index: DataFrame | None = None) -> DataFrame:
+           query_id: str = "item_id", index: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
     """``query_id, rank, doc_id, score``: of each query the ``top`` documents of the highest scores above 0.
 
-    ``index`` are the written sketches of ``docs``, if they exist already.
+    ``index`` are the written sketches of ``docs`` of the same ``width`` (up to 65,536), if they exist already.
     """
     spark, kind = docs.sparkSession, docs.select(doc_id).schema[0].dataType.simpleString()
-    index = written(sketches(docs, text, doc_id), "sketches") if index is None else index
+    index = written(sketches(docs, text, doc_id, width), "sketches") if index is None else index
     documents, length = index.agg(F.count(F.lit(1)), F.sum("n")).first()
     asked = queries.select(F.col(query_id).alias("id"), F.col(query).alias("text")).where(F.col(query).isNotNull()).distinct()
     placed = written(globally_ranked(asked, ["id", "text"], "place", "queries"), "placed")
@@ -234,7 +234,7 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, text: str = "tex
         rows = placed.where((F.col("place") >= first) & (F.col("place") < first + BLOCK)).orderBy("place").collect()
         items = [terms(r["text"]) for r in rows]
         df = _holders(docs, frozenset(t for x in items for t in x), text)
-        found = _block(docs, index, Queries(items, df, documents, length), top, text, doc_id)
+        found = _block(docs, index, Queries(items, df, documents, length, width), top, text, doc_id)
         if found is not None:
             names = placed.select((F.col("place") - first).cast("int").alias("item"), F.col("id").alias("query_id"))
             ready = found.join(F.broadcast(names.where((F.col("item") >= 0) & (F.col("item") < BLOCK))), "item").select(

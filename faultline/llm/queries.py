@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from faultline.llm import (
     decontamination, hard_negatives, html_extraction, language_id, lm_scoring, max_sketches, near_dedup, packing,
-    perplexity_rules, quality_classifier, substring_dedup, warc_store)
+    perplexity_rules, quality_classifier, secret_scan, substring_dedup, warc_store)
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_quality_rules": perplexity_rules.op10_quality_rules,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_lexical_search": max_sketches.op12_lexical_search,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 ORACLES = {
     "op1_lm_scoring": lm_scoring.OP1_SQL,
