@@ -109,19 +109,24 @@ def incident_entries(spark, sf):
     return sessions(spark, sf).join(ids, ["signature", "session"])
 
 
+@shared("context_hits")
+def hits(spark, sf):
+    return ctx.context_hits(ranked(spark, sf), incident_entries(spark, sf), ctx.all_terms(kb_tables(spark)))
+
+
 @shared("matched_components")
 def components(spark, sf):
-    return ctx.component_match(ranked(spark, sf), incident_entries(spark, sf), kb_tables(spark))
+    return ctx.component_match(ranked(spark, sf), incident_entries(spark, sf), kb_tables(spark), hits(spark, sf))
 
 
 @shared("matched_workflows")
 def workflows(spark, sf):
-    return ctx.workflow_match(ranked(spark, sf), incident_entries(spark, sf), kb_tables(spark), components(spark, sf))
+    return ctx.workflow_match(ranked(spark, sf), incident_entries(spark, sf), kb_tables(spark), components(spark, sf), hits(spark, sf))
 
 
 @shared("matched_issues")
 def issues(spark, sf):
-    return ctx.known_issue_match(ranked(spark, sf), incident_entries(spark, sf), kb_tables(spark))
+    return ctx.known_issue_match(ranked(spark, sf), incident_entries(spark, sf), kb_tables(spark), hits(spark, sf))
 
 
 @shared("context_rollup")
@@ -145,6 +150,21 @@ def _(spark, sf):
     return ctx.incident_search_words(ranked(spark, sf), incident_entries(spark, sf), terms).withColumnRenamed("term_key", "word")
 
 
+# Words derived from a table: as many keywords as there are parts, one component for each hundred.
+step("part_words", "", "SELECT DISTINCT cast(floor(p_partkey / 100) as int) pos, lower('?ID=' || p_partkey) word FROM part")
+
+
+@check("context_words_of_parts", query("""SELECT i.incident_id, k.pos, least(30, 10 * count(*)) match_score, count(*) words FROM incident_text i, part_words k
+  WHERE contains(lower(i.search_text), k.word) GROUP BY 1, 2""", "incident_text part_words"))
+def _(spark, sf):
+    parts = fx.table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 100).cast("int").alias("pos")).agg(
+        F.collect_list(F.concat(F.lit("?ID="), F.col("p_partkey").cast("string"))).alias("keywords"))
+    terms = ctx.terms_of(parts, {"word": "keywords"})
+    found = ctx.incident_search_words(ranked(spark, sf), incident_entries(spark, sf), terms)
+    return found.join(terms, "term_key").groupBy("incident_id", "pos").agg(
+        F.least(F.lit(30), 10 * F.count(F.lit(1))).alias("match_score"), F.count(F.lit(1)).alias("words"))
+
+
 def union_sql(out, parts):
     rows = " UNION ALL ".join(
         f"SELECT incident_id, {i} part, rank, generate_subscripts({c}, 1) place, unnest({c}) v FROM {s}" for i, (s, c) in enumerate(parts))

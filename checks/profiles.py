@@ -129,6 +129,33 @@ def _(spark, sf):
     return fa.fingerprint_match(evidence_rows(spark, sf), fact_table(spark, sf), prints(spark, sf)).select("application_id", "key", "confidence_score")
 
 
+# As many fingerprints as there are parts.
+step("part_prints", "", r"""SELECT 'P-' || (p_partkey % 50) application_id, 'F' || p_partkey id, p_partkey % 9 = 4 is_case_sensitive,
+  CASE p_partkey % 4 WHEN 0 THEN 'Contains' WHEN 1 THEN 'Regex' WHEN 2 THEN 'Exact' ELSE 'StartsWith' END match_mode,
+  CASE p_partkey % 4 WHEN 0 THEN 'USER=' || p_partkey WHEN 1 THEN 'user=' || p_partkey || '\s+(corr|http)' WHEN 2 THEN 'Svc' || p_partkey ELSE 'svc' || (p_partkey % 700) END AS value FROM part""")
+
+
+# The numbers that the expressions look for, read once from all texts instead of trying every expression.
+step("part_users", "evidence_rows", r"""SELECT DISTINCT true cased, unnest(regexp_extract_all(text, 'user=(\d+)\s+(?:corr|http)', 1)) k FROM evidence_rows
+  UNION SELECT DISTINCT false, unnest(regexp_extract_all(lower(text), 'user=(\d+)\s+(?:corr|http)', 1)) FROM evidence_rows""")
+
+
+@check("fingerprints_of_parts", query(r"""SELECT application_id, count(*) n FROM part_prints p WHERE
+ (match_mode = 'Contains' AND EXISTS (SELECT 1 FROM evidence_rows e WHERE CASE WHEN is_case_sensitive THEN contains(e.text, p.value) ELSE contains(lower(e.text), lower(p.value)) END))
+ OR (match_mode = 'Regex' AND EXISTS (SELECT 1 FROM part_users u WHERE u.cased = is_case_sensitive AND 'F' || u.k = p.id))
+ OR (match_mode = 'Exact' AND EXISTS (SELECT 1 FROM raw_facts f WHERE CASE WHEN is_case_sensitive THEN f.value = p.value ELSE lower(f.value) = lower(p.value) END))
+ OR (match_mode = 'StartsWith' AND EXISTS (SELECT 1 FROM raw_facts f WHERE CASE WHEN is_case_sensitive THEN starts_with(f.value, p.value) ELSE starts_with(lower(f.value), lower(p.value)) END))
+ GROUP BY 1""", "part_prints part_users evidence_rows raw_facts"))
+def _(spark, sf):
+    rows = fx.table(spark, sf, "part").selectExpr(
+        "'P-' || (p_partkey % 50) AS application_id", "'Part ' || (p_partkey % 50) AS application_name", "'F' || p_partkey AS id",
+        r"""CASE p_partkey % 4 WHEN 0 THEN 'USER=' || p_partkey WHEN 1 THEN 'user=' || p_partkey || '\\s+(corr|http)' WHEN 2 THEN 'Svc' || p_partkey ELSE 'svc' || (p_partkey % 700) END AS value""",
+        "CASE p_partkey % 4 WHEN 0 THEN 'Contains' WHEN 1 THEN 'Regex' WHEN 2 THEN 'Exact' ELSE 'StartsWith' END AS match_mode",
+        "1 AS weight", "p_partkey % 9 = 4 AS is_case_sensitive", "'ServerName' AS type", "array('t') AS tags")
+    found = fa.fingerprint_match(evidence_rows(spark, sf), fact_table(spark, sf), rows)
+    return found.groupBy("application_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @shared("fact_table")
 def fact_table(spark, sf):
     return cn.log_fact_table(evidence_rows(spark, sf), [F.col("id")])
@@ -202,7 +229,7 @@ def _(spark, sf):
 
 
 @check("profile_candidates_whole", query("""SELECT application_id, confidence_score, evidence_count FROM candidates
-  UNION ALL SELECT 'APP-1', 100, 1 WHERE NOT EXISTS (SELECT 1 FROM winner) AND EXISTS (SELECT 1 FROM supplier WHERE floor(s_suppkey / 20) = 1)""", "candidates winner"))
+  UNION ALL SELECT 'APP-1', 100, 2 WHERE NOT EXISTS (SELECT 1 FROM winner) AND EXISTS (SELECT 1 FROM supplier WHERE floor(s_suppkey / 20) = 1)""", "candidates winner"))
 def _(spark, sf):
     return whole_profile(spark, sf).candidates.select("application_id", "confidence_score", "evidence_count")
 

@@ -1,9 +1,10 @@
 """Incidents against application knowledge.
 
-Configured words are looked for inside incident texts. Each text is tested once
-against the list of words (a scalar subquery, bounded by ``MAX_TERMS``); the few
-words found are then joined by equality to the knowledge that names them. No
-incident is paired with knowledge it does not share a word with.
+Configured words are looked for inside incident texts through an index of character
+grams (``word_index``), so a text meets only the words it may hold. The words found are
+then joined by equality to the knowledge that names them. No incident is paired with
+knowledge it does not share a word with, and one pass over the entry texts serves
+components, workflows and known issues.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import nonblank
+from faultline.operators.word_index import filed, found_in
+from faultline.plans.staging import staged
 from faultline.sources.knowledge import KnowledgeBase
 
-MAX_TERMS = 20_000
 # Points per agreeing field, points and cap per word, threshold, rows kept.
 COMPONENT_RULE = {"api": 50, "exc": 25, "srv": 15, "word": (10, 30), "min": 20, "top": 5}
 WORKFLOW_RULE = {"api": 50, "component": (15, 30), "word": (10, 30), "min": 20, "top": 3}
@@ -36,50 +38,48 @@ def terms_of(items: DataFrame, fields: dict[str, str]) -> DataFrame:
         F.min_by("term", "term_pos").alias("term"), F.min("term_pos").alias("term_pos"))
 
 
-def term_list(terms: DataFrame, field: str) -> Column:
-    """Words of one field as a constant array; too long a list fails loudly."""
-    words = terms.filter(F.col("field") == field).agg(F.collect_set("term_key").alias("w"))
-    return words.select(
-        F.when(F.size("w") <= MAX_TERMS, F.col("w")).otherwise(
-            F.raise_error(F.lit("The knowledge base holds too many search words."))).alias("w")).scalar()
+def component_terms(kb: KnowledgeBase) -> DataFrame:
+    return terms_of(kb.components, {"api": "api_paths", "exc": "exception_types", "srv": "servers", "word": "keywords"})
 
 
-def _inside(words: Column, text: Column) -> Column:
-    lowered = F.lower(text)
-    return F.filter(words, lambda w: F.contains(lowered, w))
+def workflow_terms(kb: KnowledgeBase) -> DataFrame:
+    return terms_of(kb.workflows, {"api": "api_paths", "word": "keywords"})
 
 
-def field_hits(incidents: DataFrame, terms: DataFrame) -> DataFrame:
-    """``incident_id, field, term_key, value`` for path, exception, server, status."""
-    def hit(field: str, value: Column, keys: Column) -> Column:
-        return F.struct(F.lit(field).alias("field"), value.alias("value"), keys.alias("keys"))
+def issue_terms(kb: KnowledgeBase) -> DataFrame:
+    return terms_of(kb.issues, {
+        "api": "api_paths", "exc": "exception_types", "status": "http_status_codes", "word": "message_patterns"})
 
-    status = F.col("http_status").cast("string")
-    found = F.array(
-        *[hit(f, F.col(c), _inside(F.col(f"_{f}"), F.col(c)))
-          for f, c in (("api", "api_path"), ("exc", "exception_type"), ("srv", "server_name"))],
-        hit("status", status, F.array_compact(F.array(status))))
-    listed = incidents.withColumns({f"_{f}": term_list(terms, f) for f in ("api", "exc", "srv")})
-    return listed.select("incident_id", F.explode(found).alias("h")).select(
-        "incident_id", "h.field", F.col("h.value").alias("value"), F.explode("h.keys").alias("term_key"))
 
+def all_terms(kb: KnowledgeBase) -> DataFrame:
+    """``field, term_key`` of components, workflows and known issues."""
+    return component_terms(kb).unionByName(workflow_terms(kb)).unionByName(issue_terms(kb)).select("field", "term_key").distinct()
 
-def incident_search_words(incidents: DataFrame, entries: DataFrame, terms: DataFrame) -> DataFrame:
-    """``incident_id, term_key``: words inside the incident's own fields or any of its entries.
 
-    Entries are tested one by one and only the distinct words travel, so the text
-    of a large incident is never put together.
+def context_hits(incidents: DataFrame, entries: DataFrame, terms: DataFrame) -> DataFrame:
+    """``incident_id, field, term_key, value``: the configured words in the fields of incidents, and in any of their entries.
+
+    Paths, exceptions, servers and statuses come with the value that holds the word. Words are looked for in the incident's own
+    fields and in its entries one by one; only the distinct words travel, so the text of a large incident is never put together.
     """
-    own = incidents.select("incident_id", F.concat_ws(
-        "\n", "title", "exception_type", "api_path", "server_name", "environment").alias("text"))
-    each = entries.select("incident_id", F.concat_ws(
+    part = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("text"))
+    own = incidents.select("incident_id", F.inline(F.array(
+        part("api", F.col("api_path")), part("exc", F.col("exception_type")), part("srv", F.col("server_name")),
+        part("word", F.concat_ws("\n", "title", "exception_type", "api_path", "server_name", "environment")))))
+    each = entries.select("incident_id", F.lit("word").alias("field"), F.concat_ws(
         "\n", "message", "exception_type", "stack_trace", "raw_content").alias("text"))
-    return (
-        own.unionByName(each)
-        .withColumn("_words", term_list(terms, "word"))
-        .select("incident_id", F.explode(_inside(F.col("_words"), F.col("text"))).alias("term_key"))
-        .distinct()
-    )
+    index = staged(filed(terms.filter(F.col("field") != "status").select("field", "term_key").distinct(), "term_key"), "word_index")
+    found = found_in(own.unionByName(each), "text", index, "term_key", F.contains(F.lower("text"), F.col("term_key")), ("field",))
+    value = F.when(F.col("field") != "word", F.col("text")).alias("value")
+    status = incidents.select("incident_id", F.lit("status").alias("field"), F.col("http_status").cast("string").alias("term_key"))
+    known = terms.filter(F.col("field") == "status").select("term_key").distinct()
+    return found.select("incident_id", "field", "term_key", value).distinct().unionByName(
+        status.join(known, "term_key").select("incident_id", "field", "term_key", F.col("term_key").alias("value")))
+
+
+def incident_search_words(incidents: DataFrame, entries: DataFrame, terms: DataFrame) -> DataFrame:
+    """``incident_id, term_key``: words inside the incident's own fields or any of its entries."""
+    return context_hits(incidents, entries, terms.filter(F.col("field") == "word")).filter(F.col("field") == "word").select("incident_id", "term_key")
 
 
 def _matches(hits: DataFrame, terms: DataFrame) -> DataFrame:
@@ -124,22 +124,21 @@ def _top(scored: DataFrame, rule: dict) -> DataFrame:
     )
 
 
-def component_match(incidents: DataFrame, entries: DataFrame, kb: KnowledgeBase) -> DataFrame:
-    """Best components of each incident."""
-    terms = terms_of(kb.components, {"api": "api_paths", "exc": "exception_types", "srv": "servers", "word": "keywords"})
-    hits = field_hits(incidents, terms).unionByName(
-        incident_search_words(incidents, entries, terms).withColumns({"field": F.lit("word"), "value": F.lit(None).cast("string")}))
+def component_match(incidents: DataFrame, entries: DataFrame, kb: KnowledgeBase, hits: DataFrame | None = None) -> DataFrame:
+    """Best components of each incident. ``hits`` are those of ``all_terms``, if they were looked up already."""
+    terms = component_terms(kb)
+    hits = context_hits(incidents, entries, terms) if hits is None else hits
     scored = _matches(hits, terms).select(
         "incident_id", "pos", F.least(_points(COMPONENT_RULE), F.lit(100)).alias("match_score"),
         _reasons({"api": "API", "exc": "Exception", "srv": "Server"}, "keywords").alias("match_reasons"))
     return _top(scored, COMPONENT_RULE).join(kb.components, "pos")
 
 
-def workflow_match(incidents: DataFrame, entries: DataFrame, kb: KnowledgeBase, components: DataFrame) -> DataFrame:
+def workflow_match(incidents: DataFrame, entries: DataFrame, kb: KnowledgeBase, components: DataFrame,
+                   hits: DataFrame | None = None) -> DataFrame:
     """Best workflows; matched components count as evidence."""
-    terms = terms_of(kb.workflows, {"api": "api_paths", "word": "keywords"})
-    hits = field_hits(incidents, terms).filter(F.col("field") == "api").unionByName(
-        incident_search_words(incidents, entries, terms).withColumns({"field": F.lit("word"), "value": F.lit(None).cast("string")}))
+    terms = workflow_terms(kb)
+    hits = context_hits(incidents, entries, terms) if hits is None else hits
     named = terms_of(kb.workflows, {"component": "components"}).select("pos", "term_key")
     by_component = (
         components.select("incident_id", "rank", "name", F.lower("name").alias("term_key"))
@@ -158,12 +157,10 @@ def workflow_match(incidents: DataFrame, entries: DataFrame, kb: KnowledgeBase,
     return _top(scored, WORKFLOW_RULE).join(kb.workflows, "pos")
 
 
-def known_issue_match(incidents: DataFrame, entries: DataFrame, kb: KnowledgeBase) -> DataFrame:
+def known_issue_match(incidents: DataFrame, entries: DataFrame, kb: KnowledgeBase, hits: DataFrame | None = None) -> DataFrame:
     """Best known issues of each incident."""
-    terms = terms_of(kb.issues, {
-        "api": "api_paths", "exc": "exception_types", "status": "http_status_codes", "word": "message_patterns"})
-    hits = field_hits(incidents, terms).unionByName(
-        incident_search_words(incidents, entries, terms).withColumns({"field": F.lit("word"), "value": F.lit(None).cast("string")}))
+    terms = issue_terms(kb)
+    hits = context_hits(incidents, entries, terms) if hits is None else hits
     scored = _matches(hits, terms).select(
         "incident_id", "pos", F.least(_points(ISSUE_RULE), F.lit(100)).alias("match_score"),
         _reasons({"api": "API", "exc": "Exception", "status": "HTTP status"}, "message patterns").alias("match_reasons"))

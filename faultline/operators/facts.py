@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import contains_ci, nonblank, strip
+from faultline.operators.word_index import filed, found_in, required_literals
+from faultline.plans.staging import staged
 
 # Fact patterns as (type, key, score, identity hint, tags, pattern, group).
 FACT_PATTERNS = [
@@ -160,9 +162,10 @@ def is_valid_pattern(pattern: Column) -> Column:
 def fingerprint_match(evidence: DataFrame, facts: DataFrame, prints: DataFrame, text: str = "text") -> DataFrame:
     """Fingerprints that fit the evidence, as identity contributions.
 
-    ``Exact`` and ``StartsWith`` look at fact values, ``Regex`` and everything
-    else at the text. Their different values are a constant list inside the projection;
-    each text reports the few it holds, which are reduced before the shuffle.
+    ``Exact`` and ``StartsWith`` look at fact values: equality joins, with the prefixes of those lengths that prints have.
+    ``Regex`` and everything else look at the text: each print is filed in a gram index under its text, or under a
+    literal that every match of the expression holds, and verified on the texts that hold the gram. Expressions without such
+    a literal are tried on every text. Equal prints are looked up once, however many applications share them.
     """
     mode = F.lower("match_mode")
     exact_case = F.col("is_case_sensitive")
@@ -171,28 +174,27 @@ def fingerprint_match(evidence: DataFrame, facts: DataFrame, prints: DataFrame,
     usable = usable.filter((F.col("mode") != "regex") | is_valid_pattern(F.col("value"))).withColumn(
         "needle", F.when(F.col("mode") == "regex", F.when(exact_case, F.col("value")).otherwise(F.concat(F.lit("(?i)"), F.col("value"))))
         .when(exact_case, F.col("value")).otherwise(F.lower("value")))
-    probe = F.struct("mode", "is_case_sensitive", "needle")
-
-    def listed(*modes):
-        """Every different probe once, however many fingerprints share it."""
-        return usable.filter(F.col("mode").isin(*modes)).agg(F.collect_set(probe)).scalar()
-
-    def hits(df: DataFrame, column: str, probes: Column, test) -> DataFrame:
-        listed_rows = df.select(F.col(column).alias("_c"), F.lower(column).alias("_low")).withColumn("_probes", probes)
-        found = F.filter(F.col("_probes"), lambda f: test(f, F.when(f["is_case_sensitive"], F.col("_c")).otherwise(F.col("_low"))))
-        return listed_rows.select(F.explode(found).alias("p")).select("p.*")
-
-    def in_text(f, v):
-        return F.when(f["mode"] == "regex", F.rlike(F.col("_c"), f["needle"])).otherwise(F.contains(v, f["needle"]))
-
-    def in_fact(f, v):
-        return F.when(f["mode"] == "exact", v == f["needle"]).otherwise(F.startswith(v, f["needle"]))
-
-    met = (
-        hits(evidence, text, listed("regex", "contains"), in_text)
-        .unionByName(hits(facts, "value", listed("exact", "startswith"), in_fact))
-        .distinct()
-    )
+    probes = usable.select("mode", "is_case_sensitive", "needle").distinct()
+
+    certain = F.when(F.col("mode") == "regex", required_literals("needle")).otherwise(F.lower("needle"))
+    literals = probes.filter(F.col("mode").isin("regex", "contains")).withColumn("literal", F.coalesce(certain, F.lit("")))
+    index = staged(filed(literals, "literal"), "print_index")
+    cased = F.when(F.col("is_case_sensitive"), F.col("_text")).otherwise(F.lower("_text"))
+    in_text = F.when(F.col("mode") == "regex", F.rlike(F.col("_text"), F.col("needle"))).otherwise(F.contains(cased, F.col("needle")))
+    texts = evidence.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    by_text = found_in(texts, "_text", index, "literal", in_text).select("mode", "is_case_sensitive", "needle")
+
+    short = staged(probes.filter(F.col("mode").isin("exact", "startswith")), "value_prints")
+    lengths = [r["n"] for r in short.filter("mode = 'startswith'").select(F.length("needle").alias("n")).distinct().collect()]
+    values = facts.filter(F.col("value").isNotNull()).select("value").distinct().select(F.inline(F.array(
+        F.struct(F.lit(True).alias("is_case_sensitive"), F.col("value").alias("v")), F.struct(F.lit(False).alias("is_case_sensitive"), F.lower("value").alias("v")))))
+    cut = F.transform(F.array(*map(F.lit, sorted(lengths))), lambda n: F.when(F.length("v") >= n, F.substring("v", F.lit(1), n)))
+    whole = F.struct(F.lit("exact").alias("mode"), F.col("v").alias("needle"))
+    heads = F.transform(F.array_compact(cut), lambda x: F.struct(F.lit("startswith").alias("mode"), x.alias("needle"))) if lengths else F.array()
+    kind = "array<struct<mode:string,needle:string>>"
+    by_value = values.select("is_case_sensitive", F.inline(F.concat(F.array(whole).cast(kind), heads.cast(kind)))).join(
+        short, ["mode", "is_case_sensitive", "needle"], "left_semi")
+    met = by_text.unionByName(by_value).distinct()
     found = usable.join(met, ["mode", "is_case_sensitive", "needle"], "left_semi").select("application_id", "id").distinct()
     named = F.concat(F.lit("Matched fingerprint '"), F.col("value"), F.lit("' ("), F.col("type"), F.lit(")."))
     described = prints.select(

@@ -30,9 +30,10 @@ def investigate(
 ) -> Investigation:
     """``entries`` carry the ``incident_id`` they belong to. Claims, and what the guardrail decides by them, come from the
     ``max_facts`` strongest facts of an incident, from all with None."""
-    components = staged(ctx.component_match(incidents, entries, kb), "components")
-    workflows = staged(ctx.workflow_match(incidents, entries, kb, components), "workflows")
-    issues = staged(ctx.known_issue_match(incidents, entries, kb), "issues")
+    hits = staged(ctx.context_hits(incidents, entries, ctx.all_terms(kb)), "hits")
+    components = staged(ctx.component_match(incidents, entries, kb, hits), "components")
+    workflows = staged(ctx.workflow_match(incidents, entries, kb, components, hits), "workflows")
+    issues = staged(ctx.known_issue_match(incidents, entries, kb, hits), "issues")
     rollup = staged(ctx.context_rollup(incidents, components, workflows, issues), "rollup")
     chosen = staged(ev.representative_evidence(entries, max_evidence), "evidence")
     patterns = ev.error_pattern_match(incidents, summaries)
