@@ -68,11 +68,12 @@ def context_hits(incidents: DataFrame, entries: DataFrame, terms: DataFrame) ->
         part("word", F.concat_ws("\n", "title", "exception_type", "api_path", "server_name", "environment")))))
     each = entries.select("incident_id", F.lit("word").alias("field"), F.concat_ws(
         "\n", "message", "exception_type", "stack_trace", "raw_content").alias("text"))
-    index = staged(filed(terms.filter(F.col("field") != "status").select("field", "term_key").distinct(), "term_key"), "word_index")
+    terms = staged(terms.select("field", "term_key").distinct(), "terms")
+    index = staged(filed(terms.filter(F.col("field") != "status"), "term_key"), "word_index")
     found = found_in(own.unionByName(each), "text", index, "term_key", F.contains(F.lower("text"), F.col("term_key")), ("field",))
     value = F.when(F.col("field") != "word", F.col("text")).alias("value")
     status = incidents.select("incident_id", F.lit("status").alias("field"), F.col("http_status").cast("string").alias("term_key"))
-    known = terms.filter(F.col("field") == "status").select("term_key").distinct()
+    known = terms.filter(F.col("field") == "status").select("term_key")
     return found.select("incident_id", "field", "term_key", value).distinct().unionByName(
         status.join(known, "term_key").select("incident_id", "field", "term_key", F.col("term_key").alias("value")))
 

@@ -174,17 +174,17 @@ def fingerprint_match(evidence: DataFrame, facts: DataFrame, prints: DataFrame,
     usable = usable.filter((F.col("mode") != "regex") | is_valid_pattern(F.col("value"))).withColumn(
         "needle", F.when(F.col("mode") == "regex", F.when(exact_case, F.col("value")).otherwise(F.concat(F.lit("(?i)"), F.col("value"))))
         .when(exact_case, F.col("value")).otherwise(F.lower("value")))
-    probes = usable.select("mode", "is_case_sensitive", "needle").distinct()
+    probes = staged(usable.select("mode", "is_case_sensitive", "needle").distinct(), "probes")
 
     certain = F.when(F.col("mode") == "regex", required_literals("needle")).otherwise(F.lower("needle"))
     literals = probes.filter(F.col("mode").isin("regex", "contains")).withColumn("literal", F.coalesce(certain, F.lit("")))
-    index = staged(filed(literals, "literal"), "print_index")
+    index = staged(filed(staged(literals, "literals"), "literal"), "print_index")
     cased = F.when(F.col("is_case_sensitive"), F.col("_text")).otherwise(F.lower("_text"))
     in_text = F.when(F.col("mode") == "regex", F.rlike(F.col("_text"), F.col("needle"))).otherwise(F.contains(cased, F.col("needle")))
     texts = evidence.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     by_text = found_in(texts, "_text", index, "literal", in_text).select("mode", "is_case_sensitive", "needle")
 
-    short = staged(probes.filter(F.col("mode").isin("exact", "startswith")), "value_prints")
+    short = probes.filter(F.col("mode").isin("exact", "startswith"))
     lengths = [r["n"] for r in short.filter("mode = 'startswith'").select(F.length("needle").alias("n")).distinct().collect()]
     values = facts.filter(F.col("value").isNotNull()).select("value").distinct().select(F.inline(F.array(
         F.struct(F.lit(True).alias("is_case_sensitive"), F.col("value").alias("v")), F.struct(F.lit(False).alias("is_case_sensitive"), F.lower("value").alias("v")))))
