@@ -241,6 +241,82 @@ def _(spark, sf):
     return whole_profile(spark, sf).contributions.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+# One profile for each nation, all in one job: most customers say little about their application, a few say much.
+CASES = """SELECT c_nationkey, c_custkey, 'APP-' || (c_custkey % 5) application_id, CASE WHEN c_custkey % 61 = 0 THEN 85 WHEN c_custkey % 7 = 3 THEN 0 ELSE 3 END score,
+  'k' || c_custkey k, c_custkey % 11 <> 0 AS identity FROM customer"""
+CASE_HINTS = "SELECT DISTINCT c_nationkey, CASE WHEN c_nationkey % 3 = 0 THEN 'app-' || (c_nationkey % 8) WHEN c_nationkey % 3 = 1 THEN '' END hint FROM customer"
+
+
+def combined(name, rows):
+    """Candidates and the clear winner of each nation."""
+    step(f"{name}_candidates", rows, f"""SELECT c_nationkey, min(application_id) application_id, cast(round_even((1 - product(1 - greatest(0, least(100, score))/100.0::double))*100, 0) as int) score,
+      count(*) evidence_count FROM {rows} WHERE identity GROUP BY c_nationkey, lower(application_id)""")
+    step(f"{name}_winner", f"{name}_candidates", f"""SELECT * FROM (SELECT *, row_number() OVER w rn, lead(score) OVER w nxt FROM {name}_candidates
+      WINDOW w AS (PARTITION BY c_nationkey ORDER BY score DESC, application_id)) WHERE rn = 1 AND score >= 60 AND score - coalesce(nxt, -1000) >= 10""")
+
+
+step("case_rows", "", CASES)
+combined("first", "case_rows")
+step("identified", "first_winner", f"SELECT h.c_nationkey, coalesce(w.application_id, h.hint, '') id FROM ({CASE_HINTS}) h LEFT JOIN first_winner w USING (c_nationkey)")
+step("all_case_rows", "case_rows identified catalog_rows", f"""SELECT c_nationkey, application_id, score, identity, k FROM case_rows
+  UNION ALL SELECT c_nationkey, application_id, 100, is_identity_evidence, key FROM identified JOIN catalog_rows ON lower(id) = lower(application_id) WHERE value <> ''
+  UNION ALL SELECT c_nationkey, id, 45, id <> '', 'Service' FROM identified""")
+combined("final", "all_case_rows")
+
+
+@shared("case_profiles")
+def case_profiles(spark, sf):
+    found = kb.packages(spark, sf)
+    row = lambda df, kind: df.selectExpr(
+        "c_nationkey", "application_id", "application_id AS application_name", "'Other' AS type", "k AS key", "k AS value", "score AS confidence_score",
+        f"'{kind}' AS source_kind", f"'{kind}' AS source_name", "'' AS evidence", "identity AS is_identity_evidence", "array('t') AS tags")
+    customers = fx.table(spark, sf, "customer")
+    customers.createOrReplaceTempView("profile_customer")
+    rows = row(spark.sql(CASES.replace("FROM customer", "FROM profile_customer")), "Log")
+    hints = spark.sql(CASE_HINTS.replace("FROM customer", "FROM profile_customer"))
+    service = lambda first: row(first.selectExpr("c_nationkey", "application_id", "'Service' AS k", "45 AS score", "application_id <> '' AS identity"), "Service")
+    done = pf.application_profiles(rows, cn.catalog_contributions(found), found.metadata, [service], hints, "c_nationkey")
+    texts = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    parts = {"profile": done.profile, "candidates": done.candidates, "contributions": done.contributions.drop("tags")}
+    out = None
+    for name, df in parts.items():
+        part = texts(df).withColumn("part", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+@check("application_profiles", query("""SELECT c_nationkey, coalesce(w.application_id, id) application_id, coalesce(w.score, 0) score
+  FROM identified LEFT JOIN final_winner w USING (c_nationkey)""", "identified final_winner"))
+def _(spark, sf):
+    return case_profiles(spark, sf).filter("part = 'profile'").selectExpr(
+        "cast(c_nationkey AS long) c_nationkey", "application_id", "cast(identification_confidence_score AS int) score")
+
+
+@check("application_profiles_candidates", query("SELECT c_nationkey, application_id, score, evidence_count FROM final_candidates", "final_candidates"))
+def _(spark, sf):
+    return case_profiles(spark, sf).filter("part = 'candidates'").selectExpr(
+        "cast(c_nationkey AS long) c_nationkey", "application_id", "cast(confidence_score AS int) score", "cast(evidence_count AS long) evidence_count")
+
+
+@check("application_profiles_contributions", query("""SELECT a.c_nationkey, count(*) n, cast(sum(a.score) as bigint) score FROM all_case_rows a JOIN identified i USING (c_nationkey)
+  LEFT JOIN final_winner w USING (c_nationkey) WHERE a.application_id = '' OR lower(a.application_id) = lower(coalesce(w.application_id, i.id)) GROUP BY 1""",
+  "all_case_rows identified final_winner"))
+def _(spark, sf):
+    return case_profiles(spark, sf).filter("part = 'contributions'").groupBy(F.col("c_nationkey").cast("long").alias("c_nationkey")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("confidence_score").cast("long")).alias("score"))
+
+
+@check("select_candidates", query("SELECT c_nationkey, application_id, score FROM first_winner", "first_winner"))
+def _(spark, sf):
+    rows = fx.table(spark, sf, "customer")
+    rows.createOrReplaceTempView("profile_customer")
+    found = spark.sql(CASES.replace("FROM customer", "FROM profile_customer")).selectExpr(
+        "c_nationkey", "application_id", "application_id AS application_name", "k AS key", "k AS value", "'Log' AS source_name", "score AS confidence_score",
+        "identity AS is_identity_evidence")
+    return pf.select_candidates(pf.profile_candidates(found, keys=("c_nationkey",)), ("c_nationkey",)).selectExpr(
+        "c_nationkey", "application_id", "confidence_score AS score")
+
+
 @check("get_values", query("SELECT min(value) AS value FROM raw_facts WHERE type='Exception' GROUP BY lower(value)", "raw_facts"))
 def _(spark, sf):
     found = fa.log_facts(evidence_rows(spark, sf))
