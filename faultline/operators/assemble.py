@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import plain
 from faultline.functions.text import nonblank, strip_end
 from faultline.operators.ordered import BLOCK, with_last_value
+from faultline.plans.staging import staged
 
 ENTRY_COLUMNS = [
     "source", "line_number", "ts", "severity", "exception_type", "message", "http_status",
@@ -16,61 +17,96 @@ ENTRY_COLUMNS = [
 ]
 
 
-def group_lines(
-    marked: DataFrame, start: str, block: int = BLOCK, carry: dict[str, str] | None = None
-) -> DataFrame:
-    """Attach every line to the last start line at or before it.
+def event_parts(marked: DataFrame, block: int = BLOCK, stamps: bool = False) -> DataFrame:
+    """Events as chains of bounded parts, in one exchange of the text.
 
-    ``start`` is the line number on start lines and null elsewhere; lines before
-    the first start are dropped. ``carry`` names further values to bring along.
+    ``marked`` has ``source, line_no, value, starts, opens``: lines that start an event, and lines that open one if nothing in their
+    source has done so before; other columns are kept and must be equal within a source. Lines before the first event are dropped.
+
+    Lines meet in blocks of ``block`` line numbers. Each block cuts itself into parts without knowing the others, and the parts are
+    written. One summary row for each block (its last start, and its last stamp) then says what the leading parts of
+    later blocks belong to. So no part has more lines than a block, however long its event is.
+
+    Returns ``source, start_line, part_no, first_line, end_line, head, primary_line, rest``: ``head`` is true for the part that has the
+    start line, ``primary_line`` is a part's first line and ``rest`` the others, null if there are none. With ``stamps``, ``ts`` is the last
+    stamp on any start line up to the event's own.
     """
-    return with_last_value(marked, "source", "line_no", {"event_line": start, **(carry or {})}, block).filter(
-        F.col("event_line").isNotNull()
-    )
+    kept = [c for c in marked.columns if c not in ("source", "line_no", "value", "starts", "opens")]
+    own_block = Window.partitionBy("source", "part_no")
+    first = F.min(F.when(F.col("opens"), F.col("line_no"))).over(own_block)
+    upto = own_block.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marked.withColumn("part_no", F.floor(F.col("line_no") / F.lit(block))).withColumn("_first", first).withColumn(
+        "_own", F.last(F.when(F.col("starts") | (F.col("line_no") == F.col("_first")), F.col("line_no")), True).over(upto))
+    cut = rows.groupBy("source", "part_no", "_own").agg(
+        F.min("line_no").alias("first_line"), F.max("line_no").alias("end_line"), F.bool_or("starts").alias("_starts"),
+        F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("_lines"), *[F.first(c).alias(c) for c in kept])
+    others = F.slice(F.col("_lines")["value"], F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(1)))
+    parts = cut.select(
+        "source", "part_no", "_own", "first_line", "end_line", "_starts", F.col("_lines")[0]["value"].alias("primary_line"),
+        F.when(F.size("_lines") > 1, F.array_join(others, "\n")).alias("rest"), *kept)
+    if stamps:
+        seen = own_block.orderBy("first_line").rowsBetween(Window.unboundedPreceding, 0)
+        parts = parts.withColumn("_stamp", F.when(F.col("_own").isNotNull(), plain.timestamp(F.col("primary_line")))).withColumn(
+            "_seen", F.last(F.when(F.col("_starts"), F.col("_stamp")), True).over(seen))
+    parts = staged(parts, "parts")
+
+    tentative = F.col("_own").isNotNull() & ~F.col("_starts")
+    summary = parts.groupBy("source", "part_no").agg(
+        F.max("_own").isNotNull().alias("_any"), F.max(F.when(F.col("_starts"), F.col("_own"))).alias("_last"),
+        F.min(F.when(tentative, F.col("_own"))).alias("_tentative"),
+        *([F.max_by("_seen", F.when(F.col("_seen").isNotNull(), F.col("first_line"))).alias("_last_stamp"),
+           F.max(F.when(tentative, F.col("_stamp"))).alias("_early_stamp")] if stamps else []))
+    earlier = Window.partitionBy("source").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.coalesce(F.max("_any").over(earlier), F.lit(False))
+    known = summary.withColumn("_opened", opened)
+    early = lambda c: F.when(~F.col("_opened"), F.col(c))
+    carried = known.select(
+        "source", "part_no", early("_tentative").alias("_opening"),
+        F.last(F.coalesce("_last", early("_tentative")), True).over(earlier).alias("_carried"),
+        *([early("_early_stamp").alias("_early"), F.last(F.coalesce("_last_stamp", early("_early_stamp")), True).over(earlier).alias("_before")]
+          if stamps else []))
+    head = F.coalesce(F.col("_starts") & F.col("_own").isNotNull(), F.lit(False)) | F.coalesce(F.col("_own") == F.col("_opening"), F.lit(False))
+    found = parts.join(carried, ["source", "part_no"]).withColumn("head", head).withColumn(
+        "start_line", F.when(F.col("head"), F.col("_own")).otherwise(F.coalesce("_carried", "_opening")))
+    ts = [F.coalesce("_seen", "_early", "_before").alias("ts")] if stamps else []
+    return found.filter(F.col("_own").isNotNull() | F.col("_carried").isNotNull()).select(
+        "source", "start_line", "part_no", "first_line", "end_line", "head", "primary_line", "rest", *ts, *kept)
+
+
+def joined_parts(parts: DataFrame) -> DataFrame:
+    """One row for each event: its head, with the ``rest`` and ``end_line`` of all its parts.
+
+    Only parts that continue an event of an earlier block are shuffled; there is one of them in a block at most, or two if blank lines lead.
+    """
+    text = F.when(F.col("rest").isNull(), F.col("primary_line")).otherwise(F.concat_ws("\n", "primary_line", "rest"))
+    tails = parts.filter(~F.col("head")).select("source", "start_line", "first_line", "end_line", text.alias("text")).groupBy("source", "start_line").agg(
+        F.max("end_line").alias("_end"), F.array_join(F.array_sort(F.collect_list(F.struct("first_line", "text")))["text"], "\n").alias("_tail"))
+    heads = parts.filter("head").drop("head", "part_no", "first_line")
+    both = F.when(F.col("_tail").isNull(), F.col("rest")).when(F.col("rest").isNull(), F.col("_tail")).otherwise(F.concat_ws("\n", "rest", "_tail"))
+    return heads.join(tails, ["source", "start_line"], "left").withColumns(
+        {"rest": both, "end_line": F.coalesce("_end", "end_line")}).drop("_end", "_tail")
+
+
+def plain_marks(lines: DataFrame) -> DataFrame:
+    """Where events start. The first non-blank line of a source always opens one, so leading text before the first stamped
+    line is kept and leading blank lines are not."""
+    value = F.col("value")
+    return lines.withColumns({"starts": plain.starts_event(value), "opens": nonblank(value)})
+
+
+def plain_events(parts: DataFrame) -> DataFrame:
+    whole = F.when(F.col("rest").isNull(), F.col("primary_line")).otherwise(F.concat_ws("\n", "primary_line", "rest"))
+    return joined_parts(parts).withColumn("raw_content", strip_end(whole)).drop("rest")
 
 
 def multiline_events(lines: DataFrame, block: int = BLOCK, stamps: bool = False) -> DataFrame:
     """``lines(source, line_no, value)`` to events with their continuation lines.
 
-    The first non-blank line of a source always opens an event, so leading text
-    before the first stamped line is kept and leading blank lines are not. With
-    ``stamps`` each event also gets ``ts``: the last stamp on any start line up to
-    its own, found in the same pass over the lines.
+    With ``stamps`` each event also gets ``ts``: the last stamp on any start line up to its own, found in the same pass over the lines.
     """
-    first = (
-        lines.filter(nonblank(F.col("value")))
-        .groupBy("source")
-        .agg(F.min("line_no").alias("_first_line"))
-    )
-    marked = lines.join(first, "source").withColumn(
-        "_start",
-        F.when(
-            plain.starts_event(F.col("value")) | (F.col("line_no") == F.col("_first_line")),
-            F.col("line_no"),
-        ),
-    )
-    carry, found, kept = {}, [], []
-    if stamps:
-        marked = marked.withColumn("_stamp", F.when(F.col("_start").isNotNull(), plain.timestamp(F.col("value"))))
-        carry, found, kept = {"_ts": "_stamp"}, [F.max("_ts").alias("ts")], ["ts"]
-        # Lines of one event share its carried stamp: no other start lies between them.
-    return (
-        group_lines(marked, "_start", block, carry)
-        .groupBy("source", F.col("event_line").alias("start_line"))
-        .agg(
-            F.max("line_no").alias("end_line"),
-            F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("_lines"),
-            *found,
-        )
-        .select(
-            "source",
-            "start_line",
-            "end_line",
-            F.col("_lines")[0]["value"].alias("primary_line"),
-            strip_end(F.array_join(F.col("_lines")["value"], "\n")).alias("raw_content"),
-            *kept,
-        )
-    )
+    marked = plain_marks(lines.select("source", "line_no", "value"))
+    return plain_events(event_parts(marked, block, stamps)).select(
+        "source", "start_line", "end_line", "primary_line", "raw_content", *(["ts"] if stamps else []))
 
 
 def total_lines_plain(events: DataFrame) -> DataFrame:
@@ -151,4 +187,9 @@ def normalize_plain(lines: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Stamps are carried over all events first; only then are irrelevant ones cut.
     """
-    return extract_fields(relevant(classify_plain(multiline_events(lines, block, stamps=True))))
+    return entries_of(multiline_events(lines, block, stamps=True))
+
+
+def entries_of(events: DataFrame) -> DataFrame:
+    """Relevant entries of stamped events."""
+    return extract_fields(relevant(classify_plain(events)))

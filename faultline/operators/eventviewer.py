@@ -7,29 +7,28 @@ from pyspark.sql import functions as F
 
 from faultline.functions import eventviewer as ev
 from faultline.functions.text import nonblank
-from faultline.operators.assemble import ENTRY_COLUMNS, group_lines
+from faultline.operators.assemble import ENTRY_COLUMNS, event_parts, joined_parts
 from faultline.operators.ordered import BLOCK
 
 
-def eventviewer_records(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+def record_marks(lines: DataFrame) -> DataFrame:
+    """Tab records start; headers are no lines of a record."""
+    value = F.col("value")
+    return lines.filter(~ev.is_header(value)).withColumns({"starts": ev.record_fields(value).isNotNull(), "opens": F.lit(False)})
+
+
+def records_of(parts: DataFrame) -> DataFrame:
     """One row per tab record; later lines extend its description."""
-    body = lines.filter(~ev.is_header(F.col("value"))).withColumn("_f", ev.record_fields(F.col("value")))
-    marked = body.select(
-        "source", "line_no", "value", "_f", F.when(F.col("_f").isNotNull(), F.col("line_no")).alias("_start"))
-    text = F.coalesce(F.col("_f")["first_text"], F.col("value"))
-    return (
-        group_lines(marked, "_start", block)
-        .groupBy("source", F.col("event_line").alias("line_number"))
-        .agg(
-            F.max(F.when(F.col("_start").isNotNull(), F.col("_f"))).alias("_f"),
-            F.array_sort(F.collect_list(F.struct("line_no", text.alias("text")))).alias("_t"),
-        )
-        .select(
-            "source", "line_number", "_f.level", "_f.ts", "_f.event_source", "_f.event_id",
-            "_f.task_category",
-            ev.clean_description(F.array_join(F.col("_t")["text"], "\n")).alias("description"),
-        )
-    )
+    found = joined_parts(parts).withColumn("_f", ev.record_fields(F.col("primary_line")))
+    text = F.when(F.col("rest").isNull(), F.col("_f.first_text")).otherwise(F.concat_ws("\n", "_f.first_text", "rest"))
+    return found.select(
+        "source", F.col("start_line").alias("line_number"), "_f.level", "_f.ts", "_f.event_source", "_f.event_id", "_f.task_category",
+        ev.clean_description(text).alias("description"))
+
+
+def eventviewer_records(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``lines(source, line_no, value)`` to one row per tab record."""
+    return records_of(event_parts(record_marks(lines.select("source", "line_no", "value")), block))
 
 
 def entries_from_records(records: DataFrame) -> DataFrame:

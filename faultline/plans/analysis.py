@@ -44,5 +44,5 @@ def analyze_entries(entries: DataFrame, total_lines: DataFrame) -> Analysis:
 
 
 def analyze_plain(lines: DataFrame) -> Analysis:
-    events = assemble.multiline_events(lines)
-    return analyze_entries(assemble.normalize_plain(lines), assemble.total_lines_plain(events))
+    events = assemble.multiline_events(lines, stamps=True)
+    return analyze_entries(assemble.entries_of(events), assemble.total_lines_plain(events))

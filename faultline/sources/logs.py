@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline.functions import eventviewer as ev
-from faultline.functions.text import decoded
-from faultline.operators.assemble import normalize_plain
-from faultline.operators.eventviewer import normalize_eventviewer
+from faultline.functions import eventviewer as ev, plain
+from faultline.functions.text import decoded, nonblank
+from faultline.operators.assemble import entries_of, event_parts, plain_events
+from faultline.operators.eventviewer import entries_from_records, records_of
 
 DETECTION_LINES = 50
 PLAIN, EVENT_VIEWER, UNSUPPORTED = "plain", "eventviewer", "unsupported"
@@ -76,7 +76,7 @@ def format_detect(lines: DataFrame, detection_lines: int = DETECTION_LINES) -> D
 
 
 def normalize_entries(lines: DataFrame) -> DataFrame:
-    """Entries of every file, each read by the parser its format asks for.
+    """Entries of every file, each read by the parser its format asks for, in one assembly of all lines.
 
     A file of an unsupported kind fails the job, as no parser can read it.
     """
@@ -87,7 +87,11 @@ def normalize_entries(lines: DataFrame) -> DataFrame:
             F.raise_error(F.concat(F.lit("No parser is available for "), F.col("source"))).cast("string"),
         ).otherwise(F.col("format")),
     )
-    typed = lines.join(checked, "source")
-    return normalize_plain(typed.filter(F.col("format") == PLAIN).drop("format")).unionByName(
-        normalize_eventviewer(typed.filter(F.col("format") == EVENT_VIEWER).drop("format"))
-    )
+    plain_file = F.col("format") == PLAIN
+    value = F.col("value")
+    marked = lines.select("source", "line_no", "value").join(checked, "source").filter(plain_file | ~ev.is_header(value)).withColumns({
+        "starts": F.when(plain_file, plain.starts_event(value)).otherwise(ev.record_fields(value).isNotNull()),
+        "opens": plain_file & nonblank(value)})
+    parts = event_parts(marked, stamps=True)
+    return entries_of(plain_events(parts.filter(plain_file))).unionByName(
+        entries_from_records(records_of(parts.filter(F.col("format") == EVENT_VIEWER).drop("ts"))))

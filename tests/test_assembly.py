@@ -114,3 +114,61 @@ def test_line_scan_numbers_lines_and_drops_bom(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got[:3] == [(1, "a"), (2, ""), (3, "b")] and got[-1] == (5003, "c") and len(got) == 5003
+
+
+def plain_events_of(rows):
+    """Straight from the definition: (start, end, raw, ts) of one source's (line_no, text) rows in order."""
+    import re
+    stamp = re.compile(r"^\[?(\d{4}[-/]\d\d[-/]\d\d \d\d:\d\d:\d\d)")
+    out, ts = [], None
+    for n, text in rows:
+        starts = bool(stamp.match(text)) or bool(re.match(r"^(ERROR|WARN|INFO)\b", text))
+        if starts or (not out and text.strip()):
+            ts = stamp.match(text).group(1).replace("/", "-") if stamp.match(text) else ts
+            out.append([n, n, [text], ts])
+        elif out:
+            out[-1][1] = n
+            out[-1][2].append(text)
+    return [(a, b, "\n".join(t).rstrip(), ts) for a, b, t, ts in out]
+
+
+def test_events_over_blocks_equal_plain_loop(spark):
+    """Random logs, gaps in line numbers, events over many blocks, blank lines at every border."""
+    import random
+    rng = random.Random(11)
+    kinds = ["", "  ", "text", "   at X.Y()", "2024-01-01 10:00:{:02d} INFO ok", "ERROR plain", "[2024/01/01 11:00:{:02d}] WARN w"]
+    rows = []
+    for k in range(12):
+        weights = [rng.random() ** 2 + (i < 2) * (k % 3) for i in range(len(kinds))]
+        n = 0
+        for _ in range(rng.randrange(0, 60)):
+            n += rng.choice([1, 1, 1, 2, 9])
+            rows.append((f"{k}.log", n, rng.choices(kinds, weights)[0].format(rng.randrange(60))))
+    df = spark.createDataFrame(rows, "source string, line_no long, value string")
+    want = sorted((s, *e) for s in {r[0] for r in rows} for e in plain_events_of([(n, t) for x, n, t in rows if x == s]))
+    for block in (1, 2, 3, 7, 1000):
+        got = asm.multiline_events(df, block, stamps=True).collect()
+        assert sorted((r.source, r.start_line, r.end_line, r.raw_content, r.ts and str(r.ts)) for r in got) == want, block
+
+
+def test_event_of_three_million_lines_is_a_chain_of_bounded_parts(spark):
+    long = spark.range(1, 3_000_001).select(
+        F.lit("a.log").alias("source"), F.col("id").alias("line_no"),
+        F.when(F.col("id") == 5, "ERROR start").when(F.col("id") == 3_000_000, "INFO end").otherwise("  at X").alias("value"))
+    parts = asm.event_parts(asm.plain_marks(long), stamps=True)
+    sizes = parts.select("start_line", "part_no", (F.col("end_line") - F.col("first_line") + 1).alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] <= 65536
+    got = {r.start_line: (r.parts, r.n) for r in sizes.groupBy("start_line").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")).collect()}
+    assert got == {1: (1, 4), 5: (46, 2_999_995), 3_000_000: (1, 1)}
+    events = asm.plain_events(parts).select("start_line", "end_line", F.length("raw_content").alias("n")).orderBy("start_line").collect()
+    assert [tuple(r) for r in events] == [(1, 4, 4 * 7 - 1), (5, 2_999_999, 11 + 2_999_994 * 7), (3_000_000, 3_000_000, 8)]
+
+
+def test_normalize_entries_scans_lines_twice(spark, tmp_path):
+    """Once for the formats and once for the events; the text of lines is exchanged once."""
+    rows = [("a.log", 1, "ERROR x"), ("b.txt", 1, "Error\t1/2/2024 3:04:05 PM\tApp\t7\tNone\tboom"), ("b.txt", 2, "more"), ("c.txt", 1, "ERROR y")]
+    spark.createDataFrame(rows, "source string, line_no long, value string").write.parquet(f"{tmp_path}/lines")
+    got = logs.normalize_entries(spark.read.parquet(f"{tmp_path}/lines"))
+    assert sorted((r.source, r.raw_content.split("\t")[-1]) for r in got.collect()) == [("a.log", "ERROR x"), ("b.txt", "boom\nmore"), ("c.txt", "ERROR y")]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "/lines" not in plan  # entries come from the written parts
