@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import plain
@@ -17,7 +17,7 @@ ENTRY_COLUMNS = [
 ]
 
 
-def event_parts(marked: DataFrame, block: int = BLOCK, stamps: bool = False) -> DataFrame:
+def event_parts(marked: DataFrame, block: int = BLOCK, stamps: bool = False, heads: dict[str, Column] | None = None) -> DataFrame:
     """Events as chains of bounded parts, in one exchange of the text.
 
     ``marked`` has ``source, line_no, value, starts, opens``: lines that start an event, and lines that open one if nothing in their
@@ -29,7 +29,7 @@ def event_parts(marked: DataFrame, block: int = BLOCK, stamps: bool = False) ->
 
     Returns ``source, start_line, part_no, first_line, end_line, head, primary_line, rest``: ``head`` is true for the part that has the
     start line, ``primary_line`` is a part's first line and ``rest`` the others, null if there are none. With ``stamps``, ``ts`` is the last
-    stamp on any start line up to the event's own.
+    stamp on any start line up to the event's own. ``heads`` are further columns made from ``primary_line`` and kept ones.
     """
     kept = [c for c in marked.columns if c not in ("source", "line_no", "value", "starts", "opens")]
     own_block = Window.partitionBy("source", "part_no")
@@ -44,6 +44,8 @@ def event_parts(marked: DataFrame, block: int = BLOCK, stamps: bool = False) ->
     parts = cut.select(
         "source", "part_no", "_own", "first_line", "end_line", "_starts", F.col("_lines")[0]["value"].alias("primary_line"),
         F.when(F.size("_lines") > 1, F.array_join(others, "\n")).alias("rest"), *kept)
+    parts = parts.withColumns(heads or {})
+    kept += list(heads or {})
     if stamps:
         seen = own_block.orderBy("first_line").rowsBetween(Window.unboundedPreceding, 0)
         parts = parts.withColumn("_stamp", F.when(F.col("_own").isNotNull(), plain.timestamp(F.col("primary_line")))).withColumn(

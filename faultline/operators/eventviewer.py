@@ -17,9 +17,14 @@ def record_marks(lines: DataFrame) -> DataFrame:
     return lines.filter(~ev.is_header(value)).withColumns({"starts": ev.record_fields(value).isNotNull(), "opens": F.lit(False)})
 
 
+def record_fields_of_heads() -> dict:
+    """What ``event_parts`` has to make of a record's first line."""
+    return {"_f": ev.record_fields(F.col("primary_line"))}
+
+
 def records_of(parts: DataFrame) -> DataFrame:
-    """One row per tab record; later lines extend its description."""
-    found = joined_parts(parts).withColumn("_f", ev.record_fields(F.col("primary_line")))
+    """One row per tab record, from parts with ``record_fields_of_heads``; later lines extend its description."""
+    found = joined_parts(parts)
     text = F.when(F.col("rest").isNull(), F.col("_f.first_text")).otherwise(F.concat_ws("\n", "_f.first_text", "rest"))
     return found.select(
         "source", F.col("start_line").alias("line_number"), "_f.level", "_f.ts", "_f.event_source", "_f.event_id", "_f.task_category",
@@ -28,7 +33,7 @@ def records_of(parts: DataFrame) -> DataFrame:
 
 def eventviewer_records(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """``lines(source, line_no, value)`` to one row per tab record."""
-    return records_of(event_parts(record_marks(lines.select("source", "line_no", "value")), block))
+    return records_of(event_parts(record_marks(lines.select("source", "line_no", "value")), block, heads=record_fields_of_heads()))
 
 
 def entries_from_records(records: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions import eventviewer as ev, plain
 from faultline.functions.text import decoded, nonblank
 from faultline.operators.assemble import entries_of, event_parts, plain_events
-from faultline.operators.eventviewer import entries_from_records, records_of
+from faultline.operators.eventviewer import entries_from_records, record_fields_of_heads, records_of
 
 DETECTION_LINES = 50
 PLAIN, EVENT_VIEWER, UNSUPPORTED = "plain", "eventviewer", "unsupported"
@@ -92,6 +92,7 @@ def normalize_entries(lines: DataFrame) -> DataFrame:
     marked = lines.select("source", "line_no", "value").join(checked, "source").filter(plain_file | ~ev.is_header(value)).withColumns({
         "starts": F.when(plain_file, plain.starts_event(value)).otherwise(ev.record_fields(value).isNotNull()),
         "opens": plain_file & nonblank(value)})
-    parts = event_parts(marked, stamps=True)
+    fields = {c: F.when(~plain_file, v) for c, v in record_fields_of_heads().items()}
+    parts = event_parts(marked, stamps=True, heads=fields)
     return entries_of(plain_events(parts.filter(plain_file))).unionByName(
         entries_from_records(records_of(parts.filter(F.col("format") == EVENT_VIEWER).drop("ts"))))
