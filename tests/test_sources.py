@@ -26,16 +26,36 @@ def test_stamps(spark, stamp, want):
 @pytest.mark.parametrize("encoding,mark", [("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-8", b"\xef\xbb\xbf"), ("utf-8", b"")])
 def test_encodings(spark, tmp_path, encoding, mark):
     (tmp_path / "a.txt").write_bytes(mark + RECORD.encode(encoding))
-    wide = logs.log_line_scan(spark, str(tmp_path), wide=True)
-    assert [(r.line_no, r.value) for r in wide.orderBy("line_no").collect()] == [(1, RECORD.split("\r\n")[0]), (2, "more")]
-    entry = logs.normalize_entries(wide).collect()
+    read = logs.log_line_scan(spark, str(tmp_path))
+    assert [(r.line_no, r.value) for r in read.orderBy("line_no").collect()] == [(1, RECORD.split("\r\n")[0]), (2, "more")]
+    entry = logs.normalize_entries(read).collect()
     assert len(entry) == 1 and entry[0].severity == "Error"
-    narrow = logs.log_line_scan(spark, str(tmp_path))
-    if encoding == "utf-8":
-        assert sorted(r.value for r in narrow.collect()) == sorted(r.value for r in wide.collect())
-    else:
-        with pytest.raises(Exception, match="UTF-16 file.*a.txt"):
-            narrow.collect()
+
+
+def test_one_folder_of_all_encodings_in_small_splits(spark, tmp_path):
+    """Characters that hold the byte 10 in either half, every kind of line end, and files cut anywhere."""
+    import random
+    import re
+    rng = random.Random(4)
+    pieces = ["a", "Zeile", "\u0a0a", "\u4e0a", "\u0a00", "\u4e00", "\u0100", "\u0a0d", "\u000d\u000a", "\n", "\n", "\r", "\r\n", "", " ", "😀"]
+    texts = {f"f{i}-{e}.log": ("".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 3, 40, 900]))), e)
+             for i in range(6) for e in ("utf-8", "utf-16-le", "utf-16-be")}
+    texts |= {f"end-{e}.log": ("x\n\n", e) for e in ("utf-8", "utf-16-le", "utf-16-be")}
+    marks = {"utf-8": b"", "utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}
+    want = []
+    for file, (text, e) in texts.items():
+        (tmp_path / file).write_bytes(marks[e] + text.encode(e))
+        if marks[e] or text:
+            want += [(file, n, line) for n, line in enumerate(re.split(r"\r\n|\r|\n", re.sub(r"(\r\n|\r|\n)\Z", "", text)), 1)]
+    for size in ("64", "1000", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = logs.log_line_scan(spark, str(tmp_path), lambda p: F.regexp_extract(p, "([^/]+)$", 1)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted((r.source, r.line_no, r.value) for r in got) == sorted(want), size
 
 
 def test_openapi_takes_strings_only(spark):
