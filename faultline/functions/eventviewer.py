@@ -192,7 +192,8 @@ def text_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[\r\n]"), strip), lambda x: x != "")
 
 
-def primary_message(text: Column, exception: Column) -> Column:
+def primary_message(text: Column, exception: Column, limit: int | None = MESSAGE_LIMIT) -> Column:
+    """First line that says something, without the quotes around it, cut to ``limit`` characters; whole with None."""
     content = unwrap_quotes(text)
     markers = "|".join(METADATA_MARKERS)
     # Everything before the first marker line; a marker at the very start does not cut.
@@ -202,8 +203,9 @@ def primary_message(text: Column, exception: Column) -> Column:
         text_lines(body),
         lambda x: ~is_stack_line(x) & ~any_of(_starts_ci(x, p) for p in METADATA_PREFIXES))
     first = F.try_element_at(lines, F.lit(1))
+    said = F.regexp_replace(first, r'^"+|"+$', "")
     return F.coalesce(
-        F.substring(F.regexp_replace(first, r'^"+|"+$', ""), 1, MESSAGE_LIMIT),
+        said if limit is None else F.substring(said, 1, limit),
         F.when(nonblank(exception), exception),
         F.lit(DEFAULT_MESSAGE),
     )

@@ -36,8 +36,8 @@ def eventviewer_records(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     return records_of(event_parts(record_marks(lines.select("source", "line_no", "value")), block, heads=record_fields_of_heads()))
 
 
-def entries_from_records(records: DataFrame) -> DataFrame:
-    """Every level is kept; only blank descriptions are dropped."""
+def entries_from_records(records: DataFrame, message_limit: int | None = ev.MESSAGE_LIMIT) -> DataFrame:
+    """Every level is kept; only blank descriptions are dropped. Messages are whole with a ``message_limit`` of None."""
     text = F.col("description")
     return (
         records.filter(nonblank(text))
@@ -58,11 +58,11 @@ def entries_from_records(records: DataFrame) -> DataFrame:
             "api_path": ev.api_path(F.col("request_url")),
             "environment": ev.environment(text, F.col("server_name"), F.col("machine_name")),
             "severity": ev.severity(F.col("level"), text, F.col("http_status")),
-            "message": ev.primary_message(text, F.col("exception_type")),
+            "message": ev.primary_message(text, F.col("exception_type"), message_limit),
         })
         .select(*ENTRY_COLUMNS)
     )
 
 
-def normalize_eventviewer(lines: DataFrame, block: int = BLOCK) -> DataFrame:
-    return entries_from_records(eventviewer_records(lines, block))
+def normalize_eventviewer(lines: DataFrame, block: int = BLOCK, message_limit: int | None = ev.MESSAGE_LIMIT) -> DataFrame:
+    return entries_from_records(eventviewer_records(lines, block), message_limit)

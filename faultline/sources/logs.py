@@ -117,7 +117,7 @@ def format_detect(lines: DataFrame, detection_lines: int = DETECTION_LINES) -> D
     )
 
 
-def normalize_entries(lines: DataFrame) -> DataFrame:
+def normalize_entries(lines: DataFrame, message_limit: int | None = ev.MESSAGE_LIMIT) -> DataFrame:
     """Entries of every file, each read by the parser its format asks for, in one assembly of all lines.
 
     A file of an unsupported kind fails the job, as no parser can read it.
@@ -137,4 +137,4 @@ def normalize_entries(lines: DataFrame) -> DataFrame:
     fields = {c: F.when(~plain_file, v) for c, v in record_fields_of_heads().items()}
     parts = event_parts(marked, stamps=True, heads=fields)
     return entries_of(plain_events(parts.filter(plain_file))).unionByName(
-        entries_from_records(records_of(parts.filter(F.col("format") == EVENT_VIEWER).drop("ts"))))
+        entries_from_records(records_of(parts.filter(F.col("format") == EVENT_VIEWER).drop("ts")), message_limit))

@@ -172,3 +172,12 @@ def test_normalize_entries_scans_lines_twice(spark, tmp_path):
     assert sorted((r.source, r.raw_content.split("\t")[-1]) for r in got.collect()) == [("a.log", "ERROR x"), ("b.txt", "boom\nmore"), ("c.txt", "ERROR y")]
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "/lines" not in plan  # entries come from the written parts
+
+
+def test_message_limit(spark):
+    df = lines(spark, "Error\t1/2/2024 3:04:05 PM\tApp\t7\tNone\t" + "m" * 1000, source="a.txt")
+    for limit, n in ((600, 600), (10, 10), (None, 1000)):
+        assert [len(r.message) for r in evo.normalize_eventviewer(df, message_limit=limit).collect()] == [n]
+    assert [len(r.message) for r in evo.normalize_eventviewer(df).collect()] == [600]
+    head = lines(spark, "Level\tDate and Time\tSource\tEvent ID\tTask Category", "Error\t1/2/2024 3:04:05 PM\tApp\t7\tNone\t" + "m" * 1000, source="a.txt")
+    assert [len(r.message) for r in logs.normalize_entries(head, None).collect()] == [1000]
