@@ -14,8 +14,8 @@ Character references are decoded, white space inside a block becomes one space,
 space, blocks are joined in order by an empty line.
 
 Defined results: null, empty and tag-only pages give an empty text; pages of any length are read
-whole; broken markup (open tags, open quotes, stray ends) is read as far as tags can be told;
-repeated rows are extracted each; an empty table gives an empty result.
+whole, in time proportional to their length; broken markup (open tags, open quotes, stray ends) is read as far as tags
+can be told; ``head`` ends at the first tag that it cannot hold, a link without end at the next block; repeated rows are extracted each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from faultline.llm.common import fresh, table
 LINKS = 0.5
 LONG = 70
 STOP_SHARE = 0.2
+#: With fewer stop words than this share, a page is in none of the languages below; length and links decide alone.
+FOREIGN = 0.05
 
 #: Frequent function words of the languages that are told apart.
 STOP_WORDS = frozenset("""
@@ -44,129 +46,232 @@ comme cette elle être nous vous leur sans fait ces été tout
 el los las de y en que un una es por con no para se del al lo su más como pero sus le ya o este sí porque esta entre
 cuando muy sin sobre también me hasta hay donde quien desde todo nos durante
 """.split())
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas head title select textarea video audio".split())
+SKIPPED = frozenset("script style noscript template svg math iframe object canvas title select textarea video audio".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr
 ul caption""".split())
 HELD = frozenset("""article aside body center details dialog div dl fieldset figure footer form header html li main menu nav ol
 section table tbody td tfoot th thead tr ul span label button blockquote p h1 h2 h3 h4 h5 h6""".split())
-BAD_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
+BAD_TAGS = frozenset("nav footer aside menu dialog button fieldset".split())
+IN_HEAD = frozenset("head title meta link base script style noscript template".split())
+SWALLOWING = frozenset("script style".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form alert".split())
 BAD_NAMES = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies
 consent gdpr notice notification sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment
 comments disqus respond replies reply share sharing social related recommended newsletter subscribe subscription popup modal overlay
 pagination pager widget login signup search hidden""".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"""
-                    r"""|<[!?][^>]*>|([^<]+|<)""", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_PLAIN = re.compile(r"""[^<>"']*""")
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 _WORDS = re.compile(r"\w+")
 
 
-def _bad(tag: str, attributes: str, in_article: bool) -> bool:
+def _bad(tag: str, attributes: str, in_article: bool) -> str:
+    """``hard`` by tag or if hidden, ``soft`` by name, role or as a form, else empty."""
     if tag in BAD_TAGS or (tag == "header" and not in_article):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return "hard"
+    if tag in ("html", "body", "article", "main"):
+        return ""
     if _HIDDEN.search(attributes):
-        return True
+        return "hard"
     for value in _NAMES.findall(attributes):
         parts = [p.lower() for p in _PARTS.findall(value)]
         if any(p in BAD_NAMES or p in BAD_ROLES for p in parts):
-            return True
-    return False
+            return "soft"
+    return "soft" if tag == "form" else ""
+
+
+class _Page:
+    """Tags and texts of a page, in one pass: what is not found once is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, {}
+        anchors = [(m.start(), bool(m[1])) for m in _ANCHOR.finditer(page)]
+        # links that have their own end: the next anchor tag after them is an end tag
+        self.closed = {at for (at, end), (_, next_end) in zip(anchors, anchors[1:]) if not end and next_end}
+
+    def find(self, what: str, at: int) -> int:
+        """The place of ``what`` at or behind ``at``, or -1."""
+        if self.missing.get(what, len(self.page) + 1) <= at:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing[what] = at
+        return found
+
+    def close_of(self, tag: str, at: int) -> int:
+        """Behind the end tag of ``tag``, or -1."""
+        key = f"</{tag}"
+        if self.missing.get(key, len(self.page) + 1) <= at:
+            return -1
+        m = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(self.page, at)
+        if not m:
+            self.missing[key] = at
+        return m.end() if m else -1
+
+    def _end_of_tag(self, at: int) -> tuple[int, int]:
+        """End of the attributes and of the tag; quotes may hold any character, a quote that stays open holds none."""
+        begin = at
+        while True:
+            at = _PLAIN.match(self.page, at).end()
+            c = self.page[at : at + 1]
+            if c == ">":
+                return at, at + 1
+            close = self.find(c, at + 1) if c in ("'", '"') else -1
+            if close < 0:
+                end = self.find(">", begin)
+                return (end, end + 1) if end >= 0 else (-1, -1)
+            at = close + 1
+
+    def tokens(self):
+        """``text, "", False, "", place`` or ``None, tag, is_end, attributes, place`` in order; the place behind the token may be set by ``send``."""
+        page, at, size = self.page, 0, len(self.page)
+        while at < size:
+            if page[at] != "<":
+                end = self.find("<", at)
+                end = size if end < 0 else end
+                at = (yield page[at:end], "", False, "", end) or end
+                continue
+            m = _OPEN.match(page, at)
+            if m:
+                stop, end = self._end_of_tag(m.end())
+                if end < 0:  # no tag ends from here on: all that is left is text
+                    yield page[at:], "", False, "", size
+                    return
+                at = (yield None, m[2].lower(), bool(m[1]), page[m.end() : stop], end if m[2].lower() != "a" or m[1] else -at - 1) or end
+            elif page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                at = size if end < 0 else end + 3
+            elif page[at + 1 : at + 2] in ("!", "?") and self.find(">", at) >= 0:
+                at = self.find(">", at) + 1
+            else:
+                at = (yield "<", "", False, "", at + 1) or at + 1
 
 
 def blocks(page: str) -> list[tuple[str, float, str, int]]:
-    """Text, share of link text, kind of place (bad, article, other) and number of the part, of each block."""
-    out: list[tuple[str, float, str, int]] = []
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, bad, number of the article or 0
+    """Text, share of link text, kind of place (bad, article, other) and number of the part, of each block.
+
+    A place that is bad only by its name, its role or as a form is not, if it holds the page's first article or more
+    than half of the page's text outside links and other bad places.
+    """
+    out: list[tuple[str, float, bool, int, int]] = []
+    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # tag, hard, innermost soft place or 0, article or 0
     text: list[str] = []
     linked = in_link = 0
     articles = 0
-    at, size = 0, len(page)
+    around, excused = [0], [True]  # of each soft place, the one around it and whether it counts as none; place 0 is the page
+    read = _Page(page)
+    tokens, go_on = read.tokens(), None
 
     def flush():
         nonlocal linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                _, bad, article = stack[-1]
-                share = linked / max(1, sum(len(t.strip()) for t in text))
-                out.append((joined, share, "bad" if bad else "article" if article else "other", article))
+                _, hard, soft, article = stack[-1]
+                out.append((joined, linked / max(1, sum(len(t.strip()) for t in text)), hard, soft, article))
             text.clear()
         linked = 0
 
-    while at < size:
-        m = _TOKEN.match(page, at)
-        if not m:  # an open tag at the very end
+    while True:
+        try:
+            said, tag, ends, attributes, place = tokens.send(go_on)
+        except StopIteration:
             break
-        at = m.end()
-        if m[7] is not None:
-            text.append(m[7])
+        go_on = None
+        if said is not None:
+            text.append(said)
             if in_link:
-                linked += len(m[7].strip())
-            continue
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+                linked += len(said.strip())
             continue
-        ends, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            flush()
+            stack.pop()
         if tag in SKIPPED:
             if not ends and not attributes.endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else size
+                close = read.close_of(tag, place)
+                go_on = close if close >= 0 else len(page) if tag in SWALLOWING else None
             continue
-        if tag == "a":
-            in_link = 0 if ends else 1
+        if tag == "a":  # 1: has its own end, 2: ends with the next block
+            in_link = 0 if ends else 1 if -place - 1 in read.closed else 2
             continue
         if tag == "br":
             text.append(" ")
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag == "head":
             flush()
-            in_link = in_link if tag not in ("article", "nav", "footer", "main", "body") else 0
-        if tag not in HELD or attributes.endswith("/"):
+            in_link = 0 if in_link == 2 or tag in ("article", "nav", "footer", "main", "body") else in_link
+        if (tag not in HELD and tag != "head") or attributes.endswith("/"):
             continue
         if ends:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
-                    if tag not in BLOCKS and (stack[i][1] != stack[i - 1][1]):
+                    if tag not in BLOCKS and stack[i][1:3] != stack[i - 1][1:3]:
                         flush()
                     del stack[i:]
                     break
                 if stack[i][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
                     break
             continue
-        if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or tag in BLOCKS:
+        if tag in BLOCKS:
             while stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                 stack.pop()
-        _, bad, article = stack[-1]
-        if tag in ("article", "main") and not article and not bad:
-            articles += 1
-            article = articles
+        _, hard, soft, article = stack[-1]
+        if tag in ("article", "main") and not article and not hard:
+            outer = soft
+            while not articles and not excused[outer]:
+                excused[outer] = True
+                outer = around[outer]
+            if excused[soft]:
+                articles += 1
+                article = articles
         elif tag == "body":
-            bad, article = False, 0
-        now_bad = bad or _bad(tag, attributes, bool(article))
-        if now_bad != bad and tag not in BLOCKS:
+            hard, soft, article = False, 0, 0
+        how = "hard" if tag == "head" else _bad(tag, attributes, bool(article))
+        if how and tag not in BLOCKS:
             flush()
-        stack.append((tag, now_bad, article))
+        if how == "soft":
+            around.append(soft)
+            excused.append(False)
+            soft = len(around) - 1
+        stack.append((tag, hard or how == "hard", soft, article))
     flush()
-    return out
+    held, total = [0.0] * len(around), 0.0
+    for joined, share, hard, soft, _ in out:
+        if not hard:
+            held[soft] += len(joined) * (1 - share)
+            total += len(joined) * (1 - share)
+    for place in range(len(around) - 1, 0, -1):
+        held[around[place]] += held[place]
+    for place in range(1, len(around)):
+        excused[place] = excused[around[place]] and (excused[place] or (not articles and 2 * held[place] > total))
+    kind = lambda hard, soft, article: "bad" if hard or not excused[soft] else "article" if article else "other"
+    return [(joined, share, kind(hard, soft, article), article) for joined, share, hard, soft, article in out]
+
+
+def _counted(text: str) -> tuple[int, int]:
+    """Stop words and words of a block."""
+    words = [w.lower() for w in _WORDS.findall(text)]
+    return sum(w in STOP_WORDS for w in words), len(words)
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
+    counts = [_counted(text) for text, *_ in found]
+    readable = [c for c, (_, links, place, _) in zip(counts, found, strict=True) if place != "bad" and links <= LINKS]
+    foreign = sum(s for s, _ in readable) < FOREIGN * sum(n for _, n in readable)
     labels: list[bool | None] = []
-    for text, links, place, _ in found:
-        words = [w.lower() for w in _WORDS.findall(text)]
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if place == "bad" or links > LINKS or (place == "other" and "©" in text):
+    for (text, links, place, _), (stop, words) in zip(found, counts, strict=True):
+        stops = stop / max(1, words)
+        if place == "bad" or links > LINKS or (place == "other" and "©" in text and len(text) < LONG):
             labels.append(False)
         elif len(text) < LONG:
             labels.append(None)
-        elif stops >= STOP_SHARE:
+        elif stops >= STOP_SHARE or (foreign and place == "other"):
             labels.append(True)
         else:
             labels.append(None if place == "article" else False)

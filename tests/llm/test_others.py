@@ -1,6 +1,7 @@
 """Decontamination, archive, classifiers, extraction and packing."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -146,6 +147,35 @@ def test_main_text(page, want):
     assert html_extraction.main_text(page) == want
 
 
+GOOD = "The old house was on the hill and it had a view of all that they could see from the town."
+POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są obdarzeni rozumem i sumieniem."
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<html><head><title>x</title><body><article><p>{GOOD}</p></article>", GOOD),  # head without end
+    (f"<html><head><title>x<div><p>{GOOD}</p></div>", GOOD),
+    (f"<article><a href=x>jump<p>{GOOD}</p></article>", GOOD),  # link without end
+    (f"<div><a href=x><div>{GOOD}</div></a></div>", ""),
+    (f"<div class='layout has-sidebar'><article><p>{GOOD}</p></article><div class=sidebar><p>{GOOD} More.</p></div></div>", GOOD),
+    (f"<div class='elementor-widget'><p>{GOOD}</p></div>", GOOD),
+    (f"<form id=aspnetForm><div><p>{GOOD}</p></div></form>", GOOD),
+    (f"<div><p>{GOOD} © The firm, and it was of the best.</p></div><p>© 2024</p>", f"{GOOD} © The firm, and it was of the best."),
+    (f"<nav>menu</nav><div><p>{POLISH}</p></div>", POLISH),
+    (f"<article><p>{GOOD}</p></article><div class=comments><article><p>{GOOD} A comment.</p></article></div>", GOOD),
+    (f"<p>{GOOD}</p><p>{GOOD}</p><p>{GOOD}</p><div class=notice><p>{GOOD} Cookies.</p></div>", "\n\n".join([GOOD] * 3)),
+])
+def test_main_text_of_loose_markup(page, want):
+    assert html_extraction.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<" * 1_000_000, "<!" * 500_000, "<title>" * 140_000, '<a href="x>' * 90_000, "<!--" * 250_000,
+                                  "<div class=ad>" * 70_000 + GOOD, "<div class=ad><article>" * 40_000 + GOOD, """<a "' """ * 150_000])
+def test_long_broken_pages_take_linear_time(page):
+    start = time.process_time()
+    html_extraction.main_text(page)
+    assert time.process_time() - start < 5
+
+
 def test_extraction_keeps_rows_and_columns(spark):
     pages = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "<main>" + "a " * 100_000 + "</main>", "t"), (1, "u", None, "t")],
                                   "page_id long, url string, html string, text string")
