@@ -81,5 +81,5 @@ def test_sql(spark, name):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k in QUERIES} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k in QUERIES} and "pipeline" in names
     assert zlib.crc32(b"1") % 5 == 3
