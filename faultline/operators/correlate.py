@@ -1,35 +1,31 @@
 """Correlation of entries: a time-band self-join with a score.
 
-Three sources of candidates, together exact and never quadratic:
+Two sources of candidates, together exact and never quadratic:
 
 * ``near``: entries at most 20 lines apart. Lines are unique in a source, so an
   entry has at most 40 of them. This also is the whole rule for entries without
   a stamp, and the only place where the line bonus applies.
-* ``sparse``: entries further apart, both stamped, in 2-minute bins with at most
-  ``DENSE_BIN`` entries: an equi-join on (source, bin) with a bounded fan-out.
-* ``dense``: the same for crowded bins. Further than 20 lines the score depends
-  only on *which* fields agree, so for every combination of fields the nearest
-  20 lines on either side that agree on that combination contain everything the
-  ranking can ask for. Those are found by line order inside groups of equal
-  values (``_nearest``), block by block, without pairing a group with itself.
+* ``far``: stamped entries further apart. Their score depends only on *which*
+  fields agree, so the nearest 20 lines on either side that agree on a set of
+  fields and lie in the band contain everything the ranking can ask for
+  (``band_search``).
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.signatures import correlation_group
 from faultline.functions.text import first_nonblank, nonblank
+from faultline.operators.band_search import far_pairs
 from faultline.operators.ordered import BLOCK
 
 WINDOW_SECONDS = 120
 NEAR_LINES = 20
+FULL_SCORE = 100
 RELATED_LIMIT = 20
 RELATED_SCORE = 40
-DENSE_BIN = 1000
 # Points per agreeing field; bonus by line distance.
 POINTS = {"cid": 100, "api": 35, "exc": 25, "srv": 20, "status": 20, "usr": 15, "env": 10}
 LINE_BONUS = [(5, 20), (20, 10)]
@@ -72,24 +68,19 @@ def pair_score(left: str = "a_", right: str = "b_") -> Column:
         F.when(F.col(left + k) == F.col(right + k), p).otherwise(0) for k, p in POINTS.items()
     )
     distance = F.abs(F.col(left + "line") - F.col(right + "line"))
-    return F.least(points + line_bonus(distance), F.lit(100)).cast("int")
+    return F.least(points + line_bonus(distance), F.lit(FULL_SCORE)).cast("int")
 
 
 def _in_band() -> Column:
     return F.abs(F.col("a_t") - F.col("b_t")) <= WINDOW_SECONDS * 1_000_000
 
 
-def _ranked_pairs(pairs: DataFrame) -> DataFrame:
-    """Score and keep the best 20 per entry; the limit applies before the shuffle."""
+def _ranked(scored: DataFrame) -> DataFrame:
+    """Keep the best 20 per entry; the limit applies before the shuffle."""
     order = Window.partitionBy("source", "line").orderBy(
         F.desc("score"), F.asc("distance"), F.asc_nulls_first("other_t"), F.asc("other"))
     return (
-        pairs.select(
-            F.col("a_source").alias("source"), F.col("a_line").alias("line"),
-            F.col("b_line").alias("other"), F.col("b_t").alias("other_t"),
-            pair_score().alias("score"),
-            F.abs(F.col("a_line") - F.col("b_line")).alias("distance"))
-        .filter(F.col("score") > 0)
+        scored.filter(F.col("score") > 0)
         .withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= RELATED_LIMIT)
     )
@@ -110,170 +101,19 @@ def near_pairs(keys: DataFrame) -> DataFrame:
     )
 
 
-def _bin(c: Column) -> Column:
-    return F.floor(c / F.lit(WINDOW_SECONDS * 1_000_000))
-
-
-def dense_flags(keys: DataFrame, dense_bin: int) -> DataFrame:
-    """``(source, bin)`` whose own or neighbouring bin holds too many entries."""
-    return (
-        keys.filter(F.col("t").isNotNull())
-        .groupBy("source", _bin(F.col("t")).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > dense_bin)
-        .select("source", F.col("bin").alias("_own"),
-                F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-        .groupBy("source", "bin")
-        .agg(F.bool_or(F.col("bin") == F.col("_own")).alias("hot"))
-        .withColumn("dense", F.lit(True))
-    )
-
-
-def sparse_pairs(flagged: DataFrame) -> DataFrame:
-    """Distant pairs around sparse bins; every bin involved is small."""
-    keys = flagged.filter(~F.col("dense"))
-    a = _renamed(keys, "a_").withColumn(
-        "_bin", F.explode(F.array(F.col("a_bin") - 1, F.col("a_bin"), F.col("a_bin") + 1)))
-    # No sparse entry reaches into a crowded bin, so those rows stay out of the shuffle.
-    b = _renamed(flagged.filter(~F.col("hot")), "b_")
-    return a.join(
-        b,
-        (F.col("a_source") == F.col("b_source")) & (F.col("_bin") == F.col("b_bin"))
-        & (F.abs(F.col("a_line") - F.col("b_line")) > NEAR_LINES) & _in_band(),
-    )
-
-
-def _combinations() -> list[tuple[str, ...]]:
-    """Sets of fields that can agree; the correlation id alone reaches the cap."""
-    rest = [k for k in POINTS if k != "cid"]
-    sets: list[tuple[str, ...]] = [("cid",)]
-    for n in range(1, len(rest) + 1):
-        sets += list(combinations(rest, n))
-    return sets
-
-
-def _grouped_copies(keys: DataFrame) -> DataFrame:
-    """One copy of an entry per combination of its present fields."""
-    copies = F.array(*[
-        F.when(
-            F.concat(*[F.col(f) for f in fields]).isNotNull(),
-            F.concat_ws("\u0001", F.lit("+".join(fields)), *[F.col(f) for f in fields]))
-        for fields in _combinations()
-    ])
-    return keys.select("source", "line", "t", "target", F.explode(F.array_compact(copies)).alias("grp"))
-
-
-def _nearest(members: DataFrame, block: int) -> DataFrame:
-    """Up to 20 in-band lines on either side inside (source, grp), by line order.
-
-    Windows run over blocks of line numbers; only the first and last 20 rows and
-    the time bounds of a block travel to its neighbours. ``left_open`` and
-    ``right_open`` are true when an in-band line further away may exist because
-    stamps do not follow line order.
-    """
-    k = RELATED_LIMIT
-    rows = members.withColumn("blk", F.floor(F.col("line") / F.lit(block)))
-    item = F.struct("line", "t")
-    part = Window.partitionBy("source", "grp", "blk")
-    by_line = part.orderBy("line")
-    local = rows.withColumns({
-        "before": F.collect_list(item).over(by_line.rowsBetween(-k, -1)),
-        "after": F.collect_list(item).over(by_line.rowsBetween(1, k)),
-        "older_hi": F.max("t").over(by_line.rowsBetween(Window.unboundedPreceding, -k - 1)),
-        "newer_lo": F.min("t").over(by_line.rowsBetween(k + 1, Window.unboundedFollowing)),
-        "up": F.row_number().over(by_line),
-        "down": F.row_number().over(part.orderBy(F.desc("line"))),
-    })
-    edges = local.groupBy("source", "grp", "blk").agg(
-        F.array_sort(F.collect_list(F.when(F.col("up") <= k, item))).alias("head"),
-        F.array_sort(F.collect_list(F.when(F.col("down") <= k, item))).alias("tail"),
-        F.max("t").alias("hi"), F.min("t").alias("lo"))
-    blocks = Window.partitionBy("source", "grp").orderBy("blk")
-    carried = edges.select(
-        "source", "grp", "blk",
-        F.flatten(F.collect_list("tail").over(blocks.rowsBetween(-k, -1))).alias("prev"),
-        F.flatten(F.collect_list("head").over(blocks.rowsBetween(1, k))).alias("next"),
-        F.max("hi").over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_hi"),
-        F.min("lo").over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("next_lo"))
-    wide = local.filter("target").join(carried, ["source", "grp", "blk"])
-    t, reach = F.col("t"), F.lit(WINDOW_SECONDS * 1_000_000)
-    left = F.concat("prev", "before")
-    right = F.concat("after", "next")
-    near_left = F.slice(left, F.greatest(F.size(left) - k, F.lit(0)) + 1, F.lit(k))
-    near_right = F.slice(right, 1, k)
-    def inside(x):
-        return F.abs(x["t"] - t) <= reach
-
-    found_left, found_right = F.filter(near_left, inside), F.filter(near_right, inside)
-    hi = F.greatest("older_hi", F.when(F.size("before") + F.size("prev") > k, F.col("prev_hi")))
-    lo = F.least("newer_lo", F.when(F.size("after") + F.size("next") > k, F.col("next_lo")))
-    return wide.select(
-        "source", "grp", "line", "t",
-        F.concat(found_left, found_right).alias("found"),
-        ((F.size(found_left) < k) & F.coalesce(hi >= t - reach, F.lit(False))).alias("left_open"),
-        ((F.size(found_right) < k) & F.coalesce(lo <= t + reach, F.lit(False))).alias("right_open"))
-
-
-def dense_pairs(flagged: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distant pairs around crowded bins, without pairing whole groups."""
-    dense = F.col("dense")
-    reach = (
-        flagged.filter(dense)
-        .select("source", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-        .distinct()
-    )
-    members = flagged.join(reach, ["source", "bin"], "left_semi").withColumn("target", dense)
-    copies = _grouped_copies(members)
-    nearest = _nearest(copies, block)
-    direct = nearest.select("source", "line", F.explode("found.line").alias("other"))
-    # Exact completion where stamps run against line order.
-    still_open = (
-        nearest.filter(F.col("left_open") | F.col("right_open"))
-        .select("source", "grp", F.col("line").alias("a_line"), F.col("t").alias("a_t"),
-                F.explode(F.array(*[_bin(F.col("t")) + d for d in (-1, 0, 1)])).alias("bin"))
-    )
-    others = copies.select(
-        "source", "grp", F.col("line").alias("b_line"), F.col("t").alias("b_t"), _bin(F.col("t")).alias("bin"))
-    by_distance = Window.partitionBy("source", "grp", "a_line").orderBy(
-        F.abs(F.col("a_line") - F.col("b_line")), "b_t", "b_line")
-    completed = (
-        still_open.join(others, ["source", "grp", "bin"])
-        .filter(_in_band() & (F.col("a_line") != F.col("b_line")))
-        .withColumn("_rn", F.row_number().over(by_distance))
-        .filter(F.col("_rn") <= RELATED_LIMIT)
-        .select("source", F.col("a_line").alias("line"), F.col("b_line").alias("other"))
-    )
-    lines = direct.unionByName(completed).distinct().filter(F.abs(F.col("line") - F.col("other")) > NEAR_LINES)
-    plain = flagged.drop("dense", "hot", "bin")
-    a = _renamed(plain, "a_")
-    b = _renamed(plain, "b_")
-    return (
-        lines.join(a, (F.col("source") == F.col("a_source")) & (F.col("line") == F.col("a_line")))
-        .join(b, (F.col("source") == F.col("b_source")) & (F.col("other") == F.col("b_line")))
-        .drop("source", "line", "other")
-    )
-
-
-def candidates(entries: DataFrame, dense_bin: int = DENSE_BIN, block: int = BLOCK) -> DataFrame:
+def candidates(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     """Best 20 candidates of every entry: ``source, line, other, score, position``."""
     keys = match_keys(entries)
-    columns = [f"{side}_{c}" for side in ("a", "b") for c in keys.columns]
-    stamped = keys.filter(F.col("t").isNotNull()).withColumn("bin", _bin(F.col("t")))
-    crowded = dense_flags(keys, dense_bin)
-    no, near = F.lit(False), near_pairs(keys).select(*columns)
-    if crowded.isEmpty():  # one cheap count per bin; the usual case
-        flagged = stamped.withColumns({"dense": no, "hot": no})
-        return _ranked_pairs(near.unionByName(sparse_pairs(flagged).select(*columns)))
-    flagged = stamped.join(crowded, ["source", "bin"], "left").withColumns(
-        {c: F.coalesce(c, no) for c in ("dense", "hot")})
-    return _ranked_pairs(
-        near.unionByName(sparse_pairs(flagged).select(*columns))
-        .unionByName(dense_pairs(flagged, block).select(*columns)))
+    near = near_pairs(keys).select(
+        F.col("a_source").alias("source"), F.col("a_line").alias("line"), F.col("b_line").alias("other"), F.col("b_t").alias("other_t"),
+        pair_score().alias("score"), F.abs(F.col("a_line") - F.col("b_line")).alias("distance"))
+    far = far_pairs(keys, POINTS, FULL_SCORE, WINDOW_SECONDS, RELATED_LIMIT, NEAR_LINES, block)
+    return _ranked(near.unionByName(far))
 
 
-def correlate(entries: DataFrame, dense_bin: int = DENSE_BIN, block: int = BLOCK) -> DataFrame:
+def correlate(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     """Entries with blanks filled from the best candidate, group, confidence, related lines."""
-    ranked = candidates(entries, dense_bin, block)
+    ranked = candidates(entries, block)
     per_entry = ranked.groupBy("source", "line").agg(
         F.max(F.when(F.col("position") == 1, F.col("other"))).alias("_best_line"),
         F.max(F.when(F.col("position") == 1, F.col("score"))).alias("_best_score"),

@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from faultline.operators import correlate as co, incidents as inc
 from faultline.operators.assemble import ENTRY_COLUMNS
+from faultline.operators.band_search import walk
 from faultline.plans import analysis
 
 BASE = dt.datetime(2024, 1, 1)
@@ -102,24 +104,72 @@ def check_against_brute(spark, rows, **kw):
     assert got == want
 
 
-def test_sparse_candidates_equal_brute_force(spark):
+def test_candidates_equal_brute_force_with_few_in_a_bin(spark):
     check_against_brute(spark, random_rows(300, 3000, False))
 
 
-def test_dense_candidates_equal_brute_force_in_line_order(spark):
-    check_against_brute(spark, random_rows(300, 600, False), dense_bin=10, block=64)
+def test_candidates_equal_brute_force_in_line_order(spark):
+    check_against_brute(spark, random_rows(300, 600, False), block=64)
 
 
-def test_dense_candidates_equal_brute_force_against_line_order(spark):
-    check_against_brute(spark, random_rows(300, 900, True), dense_bin=10, block=64)
+def test_candidates_equal_brute_force_against_line_order(spark):
+    check_against_brute(spark, random_rows(300, 900, True), block=64)
 
 
-def test_dense_candidates_with_equal_stamps(spark):
-    check_against_brute(spark, random_rows(200, 1, False), dense_bin=5, block=16)
+def test_candidates_with_equal_stamps(spark):
+    check_against_brute(spark, random_rows(200, 1, False), block=16)
+
+
+def test_candidates_of_shuffled_stamps_over_many_blocks(spark):
+    """Most blocks hold fewer than 20 lines of the band, so entries go from block to block."""
+    check_against_brute(spark, random_rows(400, 3000, True), block=100)
+
+
+def test_candidates_of_two_logs_laid_together(spark):
+    """The second log runs through the same times again, newest first; values of both agree."""
+    rows = random_rows(150, 500, False)
+    recs = [dict(zip(ENTRY_COLUMNS, r)) for r in rows]
+    top = max(r["line_number"] for r in recs)
+    stamps = [r["ts"] for r in recs][::-1]
+    second = [tuple({**r, "line_number": top + r["line_number"], "ts": t}[c] for c in ENTRY_COLUMNS) for r, t in zip(recs, stamps)]
+    check_against_brute(spark, rows + second, block=64)
+
+
+def test_one_value_for_all_fields_in_a_crowded_bin(spark):
+    """20,000 entries that agree on everything: each has its ten nearest lines on both sides, in the file's middle."""
+    n = 20_000
+    base = spark.range(n).select(
+        F.lit("a").alias("source"), (F.col("id") * 30).alias("line_number"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 100).alias("ts"),
+        F.lit("Error").alias("severity"), F.lit("E").alias("exception_type"), F.lit("m").alias("message"), F.lit(500).alias("http_status"),
+        F.lit("/u").alias("request_url"), F.lit("/a").alias("api_path"), F.lit("c").alias("correlation_id"), F.lit("s").alias("server_name"),
+        F.lit("").alias("machine_name"), F.lit("PROD").alias("environment"), F.lit("u").alias("user_name"), F.lit("").alias("stack_trace"),
+        F.lit("m").alias("raw_content"))
+    got = co.candidates(base).groupBy("line").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("line") - F.col("other"))).alias("far"), F.min("score").alias("score"))
+    inner = got.where(F.col("line").between(300, 30 * (n - 11)))
+    row = inner.agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.min("far"), F.max("far"), F.min("score")).first()
+    assert tuple(row) == (n - 20, 20, 20, 300, 300, 100)
+    assert got.count() == n and got.agg(F.min("n")).first()[0] == 20
+
+
+def test_walk_steps_over_stretches_outside_the_band():
+    """Places found equal a plain scan, with stretches of 64 and 4,096 places to step over."""
+    rng = np.random.default_rng(5)
+    times = np.sort(rng.integers(0, 10_000, 30_000))
+    times[20_000:20_050] = 3
+    asking = rng.integers(0, 30_000, 200)
+    t = rng.integers(0, 10_000, 200)
+    for step in (-1, 1):
+        last = np.where(np.full(200, step) < 0, 0, 29_999)
+        whom, where, got = walk(times, asking, last, step, t, np.full(200, 20), 5)
+        for q in range(200):
+            way = np.arange(asking[q], last[q] + step, step)
+            want = way[np.abs(times[way] - t[q]) <= 5][:20]
+            assert list(where[whom == q]) == list(want) and got[q] == len(want)
 
 
 def test_correlation_plans_no_nested_loop(spark):
-    df = co.candidates(frame(spark, random_rows(60, 600, False)), dense_bin=5)
+    df = co.candidates(frame(spark, random_rows(60, 600, False)))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "WindowGroupLimit" in plan
