@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "normalize_entries", "normalize_entries_plain", "normalize_entries_eventviewer", "correlate_entries", "error_summaries",
+    "normalize_entries", "normalize_entries_plain", "normalize_entries_eventviewer", "correlate_entries", "correlate_entries_crowded", "error_summaries",
     "incidents_and_health", "component_match", "representative_evidence", "investigate", "log_facts",
     "openapi_contributions", "analyze_code",
 ]

@@ -135,6 +135,15 @@ def _(spark, sf):
     return found.select("source", F.col("line").alias("line_number"), "other", "score", F.col("position").alias("pos"))
 
 
+@check("correlate_entries_crowded", query(
+    "SELECT source, line_number, other, score, pos FROM ranked_pairs_crowded", "ranked_pairs_crowded"))
+def _(spark, sf):
+    day = F.unix_timestamp(F.date_trunc("day", "ts"))
+    crowded = entries(spark, sf).withColumn("ts", F.timestamp_seconds(day + F.col("line_number") % 100))
+    found = corr.candidates(crowded)
+    return found.select("source", F.col("line").alias("line_number"), "other", "score", F.col("position").alias("pos"))
+
+
 FILLED_SQL = ", ".join(corr.FILLED)
 
 

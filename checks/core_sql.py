@@ -126,6 +126,9 @@ SELECT *, CASE WHEN correlation_id<>'' THEN correlation_id WHEN replace({key}, '
 
 correlation_steps("")
 correlation_steps("_gap")
+# All entries of a day within 100 seconds, against line order.
+step("entries_crowded", "entries", "SELECT * REPLACE (date_trunc('day', ts) + to_seconds(line_number % 100) AS ts) FROM entries")
+correlation_steps("_crowded")
 
 
 def rule_case(message: str, exception: str, status: str) -> str:

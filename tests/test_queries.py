@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 REG = load_all()
 KINDS = [
     "multiline_events", "timestamp_carry_forward", "eventviewer_records", "log_line_scan", "correlate_entries",
-    "correlate_entries_unstamped", "error_summaries", "incident_ranking", "incidents_and_health", "package_validation",
+    "correlate_entries_unstamped", "correlate_entries_crowded", "error_summaries", "incident_ranking", "incidents_and_health", "package_validation",
     "knowledge_base_scan", "component_match", "context_rollup", "representative_evidence", "error_pattern_match",
     "timeline_events", "investigation_text", "distilled_facts", "grounding_semi_joins", "guard_unknowns", "merge_responses",
     "log_facts", "fingerprint_match", "application_profile", "openapi_contributions", "attach_project", "source_methods",
