@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +37,12 @@ FACT_PATTERNS = [
     ("Namespace", "Namespace", 80, True, ["namespace", "code"],
      r"\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*){2,})\b", 1),
 ]
-# Text without this (lower-cased) word cannot match the pattern of that key, so the
-# far cheaper search for the word comes first.
-NEEDLES = {
-    "AlertRule": "alert", "Server": "source", "DbContext": "dbcontext", "Exception": "exception",
-    "ClientConnectionId": "clientconnectionid", "CorrelationId": "correlation", "SqlErrorNumber": "error number",
-    "CommandTimeoutSeconds": "commandtimeout", "DbCommandDurationMs": "dbcommand", "Url": "http", "ApiPath": "/api/",
-    "HttpStatus": "http", "Namespace": ".",
-}
+# Lower-cased text without any of these words cannot match the pattern of the same place, so the
+# far cheaper search for the words comes first.
+FACT_NEEDLES = [
+    ["alert"], ["source"], ["dbcontext"], ["sp", "eo", "dbo"], ["@"], ["exception"], ["clientconnectionid"], ["correlation"],
+    ["error number"], ["commandtimeout"], ["dbcommand"], ["http"], ["/api/"], ["http"], ["."],
+]
 # Probes that give one named fact when they match anywhere.
 FACT_PROBES = [
     ("Technology", "Technology", 95, ["technology"], r"(?im)\bMicrosoft\.EntityFrameworkCore\b", "Entity Framework Core", "Entity Framework Core"),
@@ -52,6 +53,10 @@ FACT_PROBES = [
     ("Other", "FailurePattern", 100, ["sql", "timeout", "failure"], r"(?im)\bExecution Timeout Expired\b",
      "SQL execution timeout", "Execution Timeout Expired"),
 ]
+PROBE_NEEDLES = [
+    ["microsoft.entityframeworkcore"], ["microsoft.data.sqlclient"], ["system.data.sqlclient"], ["signalr"], ["xpertdoc"],
+    ["execution timeout expired"],
+]
 # Words that are not database objects; namespaces that are not the application's.
 SQL_KEYWORDS = ["select", "from", "where", "exec", "execute"]
 FOREIGN_NAMESPACES = ["system.", "microsoft."]
@@ -100,11 +105,13 @@ def log_facts(evidence: DataFrame, text: str = "text") -> DataFrame:
     """
     t, low = F.col("_text"), F.col("_low")
 
-    def matches(no: int, entry: tuple) -> Column:
+    def holds(words: list[str]) -> Column:
+        return reduce(or_, [F.contains(low, F.lit(w)) for w in words])
+
+    def matches(no: int, entry: tuple, words: list[str]) -> Column:
         kind, key, score, hint, tags, pattern, group = entry
         whole = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        if key in NEEDLES:
-            whole = F.when(F.contains(low, F.lit(NEEDLES[key])), whole).otherwise(F.array().cast("array<string>"))
+        whole = F.when(holds(words), whole).otherwise(F.array().cast("array<string>"))
 
         def fact(match: Column, i: Column) -> Column:
             # One scan of the text: the captured part is read from the match itself.
@@ -114,10 +121,10 @@ def log_facts(evidence: DataFrame, text: str = "text") -> DataFrame:
 
         return F.transform(whole, fact)
 
-    arrays = [matches(no, entry) for no, entry in enumerate(FACT_PATTERNS)]
-    for no, (kind, key, score, tags, pattern, value, said) in enumerate(FACT_PROBES, len(FACT_PATTERNS)):
+    arrays = [matches(no, entry, words) for no, (entry, words) in enumerate(zip(FACT_PATTERNS, FACT_NEEDLES, strict=True))]
+    for no, ((kind, key, score, tags, pattern, value, said), words) in enumerate(zip(FACT_PROBES, PROBE_NEEDLES, strict=True), len(FACT_PATTERNS)):
         one = _fact(no, kind, key, score, False, tags, F.lit(0), F.lit(value), F.lit(said))
-        arrays.append(F.when(t.rlike(pattern), F.array(one)).otherwise(F.array().cast(FACT_ARRAY)))
+        arrays.append(F.when(holds(words) & t.rlike(pattern), F.array(one)).otherwise(F.array().cast(FACT_ARRAY)))
     keep = [c for c in evidence.columns if c != text]
     found = F.filter(F.flatten(F.array(*[a.cast(FACT_ARRAY) for a in arrays])), lambda f: nonblank(f["value"]))
     prepared = evidence.filter(nonblank(F.col(text))).select(
