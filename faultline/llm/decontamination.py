@@ -8,9 +8,11 @@ window, the word that is rarest in the benchmark, then longest), which says wher
 around it may begin; those windows are looked up in the set by hash and verified by their
 words. Nothing but verified hits and one row per document is shuffled.
 
-The set grows with the benchmark only. Its windows are counted; if there are more than
-``block_windows``, the benchmark is taken in blocks of about that many windows, each with a
-scan of its own, so a broadcast never exceeds the bound.
+The set grows with the benchmark only. It holds each different window once, with a number; which
+items have a window is a table of its own (number, item), joined with the numbers that documents hit,
+so an instruction line that stands in every item is one row of the set. Windows are counted; if there
+are more than ``block_windows``, the benchmark is taken in blocks of about that many windows, each
+with a scan of its own, so a broadcast never exceeds the bound.
 
 Defined results: null and wordless texts have no words and no hits; null items and items
 without words have no window; a null ``item_id`` counts as an item with an empty name; rows
@@ -41,18 +43,21 @@ def words(text: Column) -> Column:
     return F.when(plain.isNull() | (plain == ""), F.array().cast("array<string>")).otherwise(F.split(plain, " +"))
 
 
-def benchmark_windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", n: int = N) -> DataFrame:
-    """``window, size, anchor, shift, items``: different windows, their anchor word and its place, and their items."""
+def benchmark_windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", n: int = N) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: ``window, size, anchor, shift, number``, the different windows with their anchor word and its
+    place, and ``number, item``, the different items of each."""
     items = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), words(F.col(text)).alias("w"))
     rarity = items.select(F.explode("w").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("uses"))
-    windows = items.where(F.size("w") > 0).select("item", F.explode(F.expr(
+    own = items.where(F.size("w") > 0).select("item", F.explode(F.expr(
         f"transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> slice(w, i, {n}))")).alias("w"))
-    windows = windows.groupBy("w").agg(F.collect_set("item").alias("items"))
-    places = windows.select("w", "items", F.posexplode("w").alias("shift", "anchor")).join(rarity, "anchor")
+    places = own.select("w").distinct().select("w", F.posexplode("w").alias("shift", "anchor")).join(rarity, "anchor")
     best = F.struct(-F.col("uses"), F.length("anchor"), -F.col("shift"), "anchor", "shift")
-    return places.groupBy("w").agg(F.max(best).alias("b"), F.first("items").alias("items")).select(
-        F.array_join("w", " ").alias("window"), F.size("w").alias("size"), "b.anchor", "b.shift", "items")
+    windows = written(places.groupBy("w").agg(F.max(best).alias("b")).select(
+        F.array_join("w", " ").alias("window"), F.size("w").alias("size"), "b.anchor", "b.shift",
+        F.monotonically_increasing_id().alias("number")), "windows")
+    named = own.select(F.array_join("w", " ").alias("window"), "item").distinct().join(windows, "window").select("number", "item")
+    return windows, written(named, "window_items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -60,7 +65,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
                   block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` of id and text, ``n_words``, ``n_hit``,
     ``items`` (sorted names) and ``spans`` (``first`` and ``last`` hit word, from 0, of each run of hit words)."""
-    found = written(benchmark_windows(benchmark, item_text, item_id, n), "windows")
+    found, named = benchmark_windows(benchmark, item_text, item_id, n)
     blocks = max(1, -(-found.count() // block_windows))
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
                          F.xxhash64(doc_id, text).alias("fingerprint"), words(F.col(text)).alias("w"))
@@ -81,11 +86,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
             .otherwise(F.concat(F.slice(a["runs"], 1, F.size(a["runs"]) - 1), F.array(F.struct(
                 F.element_at(a["runs"], -1)["first"].alias("first"),
                 F.greatest(a["end"], h["start"] + h["size"] - 1).alias("last"))))).alias("runs")))
-    return hits.groupBy("row", "doc_id", "fingerprint").agg(
-        F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("items").alias("items"),
-    ).select("doc_id", "fingerprint", "n_words", F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
-             merged.alias("m")).select(
-        "doc_id", "fingerprint", "n_words", F.col("m.n").alias("n_hit"), "items", F.col("m.runs").alias("spans"))
+    marked = written(hits.groupBy("row", "doc_id", "fingerprint").agg(
+        F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("number").alias("numbers"),
+    ).select("row", "doc_id", "fingerprint", "n_words", "numbers", merged.alias("m")), "marked")
+    items = marked.select("row", F.explode("numbers").alias("number")).join(small_or_shuffled(named), "number").groupBy("row").agg(
+        F.array_sort(F.collect_set("item")).alias("items"))
+    return marked.join(items, "row", "left").select(
+        "doc_id", "fingerprint", "n_words", F.col("m.n").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("m.runs").alias("spans"))
 
 
 def _scan(source: DataFrame, windows: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def _scan(source: DataFrame, windows: DataFrame) -> DataFrame:
     spark = source.sparkSession
     document = spark.range(1).select(F.lit("").alias("anchor"), F.lit(0).alias("shift"), F.lit(0).alias("size"))
     anchors = windows.select("anchor", "shift", "size").distinct().unionByName(document)
-    known = windows.select(F.xxhash64("window").alias("hash"), F.col("size").alias("known_size"), "window", "items")
+    known = windows.select(F.xxhash64("window").alias("hash"), F.col("size").alias("known_size"), "window", "number")
     begin = F.col("place") - F.col("shift")
     cut = F.slice("w", begin, F.col("size"))
     fits = (F.col("size") == 0) | ((begin >= 1) & (begin + F.col("size") - 1 <= F.size("w")))
@@ -109,7 +117,7 @@ def _scan(source: DataFrame, windows: DataFrame) -> DataFrame:
                         & (F.col("size") == F.col("known_size")), "left")
     return checked.where((F.col("size") == 0) | F.col("window").isNotNull()).select(
         "row", "doc_id", "fingerprint", "n_words",
-        F.when(F.col("size") > 0, F.struct("start", "size")).alias("hit"), "items")
+        F.when(F.col("size") > 0, F.struct("start", "size")).alias("hit"), "number")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id",
