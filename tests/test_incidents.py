@@ -152,6 +152,11 @@ def test_one_value_for_all_fields_in_a_crowded_bin(spark):
     assert got.count() == n and got.agg(F.min("n")).first()[0] == 20
 
 
+def test_candidates_of_nothing_and_of_entries_without_stamps(spark):
+    assert co.candidates(frame(spark, [])).collect() == []
+    assert pairs(co.candidates(frame(spark, [entry(1, None, user_name="u"), entry(500, None, user_name="u")]))) == {}
+
+
 def test_walk_steps_over_stretches_outside_the_band():
     """Places found equal a plain scan, with stretches of 64 and 4,096 places to step over."""
     rng = np.random.default_rng(5)
