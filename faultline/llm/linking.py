@@ -1,16 +1,17 @@
 """Links of similar items, found as neighbours in sorted MinHash signatures.
 
-Items stand in several orders: a row of ``orders`` has ``node, size, signature, tree, label``, and rows
-of one ``tree`` sorted by ``label`` are neighbours. All orders are sorted in range partitions of bounded
-size, so a tree or label that holds a third of all rows is split like any other. A node's candidates are
-the nearest nodes on both sides that are not in its component yet, and the first node with its very
-label, if the whole signatures make the similarity possible. Pairs are linear in rows: a group of
+Items stand in several orders: a row of ``orders`` has ``node, size, tree, label``, and rows of one ``tree`` sorted by
+``label`` are neighbours. A label is the whole signature, turned so that it begins with what the tree sorts by. All
+orders are sorted in range partitions of bounded size, so a tree or label that holds a third of all rows is split like
+any other. A node's candidates are the nearest nodes on both sides that are not in its component yet, and the first node
+with its very label, if the whole signatures make the similarity possible. Pairs are linear in rows: a group of
 copies costs its size, not its square. A range border parts two neighbours in one order only.
 
-What is still apart then is compared with all others of its region, the rows of one tree whose labels begin alike:
-first those up to ``WIDE`` rows away, then ever further ones, until no region has rows that were not compared. Pairs
-that were tried are left out, and so are pairs within a component, so this grows with the square only for crowds of
-different items that are alike but not linked.
+What is still apart then is compared within regions, the rows of one tree whose labels begin alike. A region is dealt to
+blocks of bounded size, and every two blocks meet in a group of their own, so no border parts two rows and no task sees
+a whole region. Signatures tell which nodes may still have a link; only these get a longer sketch and are compared again,
+and what the sketches leave is confirmed. Pairs within a component are left out, so the work grows with the square only
+for crowds of different items that are alike but not linked, and nothing but numbers is kept of a pair.
 """
 
 from __future__ import annotations
@@ -33,22 +34,26 @@ BEST = 2
 KEPT = 3
 #: Neighbouring components looked at on each side, of all nodes and then of nodes in crowded regions.
 REACH = (2, 8)
-#: Rows looked at on each side when regions are compared in full, and by how much this grows from round to round.
-WIDE, WIDER = 64, 8
+#: Rows of a block of a region; two blocks are compared at once.
+BLOCK = 2048
 #: A node without any neighbour of this likeness is in no crowded region: nothing hides its near copies.
 CROWD = 0.4
 
 
-def neighbours(orders: DataFrame, rows: int, labels: DataFrame | None, percent: int, slack: float, reach: int) -> DataFrame:
+def _known(orders: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``orders`` with the ``component`` that ``labels`` has of linked nodes; others are their own."""
+    return orders.withColumn("component", F.col("node")) if labels is None else orders.join(
+        small_or_shuffled(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def neighbours(orders: DataFrame, rows: int, labels: DataFrame | None, percent: int, slack: float, reach: int, depth: int) -> DataFrame:
     """``a, b, likeness, fits``: of each node in each of ``rows`` rows of ``orders``, the nearest nodes of ``reach`` other
-    components on each side.
+    components on each side, and the first whose label begins with the same ``depth`` bytes.
 
     ``labels`` has ``node, component`` of linked nodes. Pairs of a likeness under ``CROWD`` are left out; ``fits``
     says whether a pair may reach ``percent``, with ``slack`` for the error of the likeness.
     """
-    known = orders.withColumn("component", F.col("node")) if labels is None else orders.join(
-        small_or_shuffled(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sorted_rows = known.repartitionByRange(max(1, -(-rows // RUN)), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    sorted_rows = _known(orders, labels).repartitionByRange(max(1, -(-rows // RUN)), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
     least = percent / 100 - slack
 
     def run(batches):
@@ -57,14 +62,13 @@ def neighbours(orders: DataFrame, rows: int, labels: DataFrame | None, percent:
             return
         column = lambda c: np.concatenate([b.column(c).to_numpy() for b in held])
         node, size, comp, tree = (column(c) for c in ("node", "size", "component", "tree"))
-        sign = np.concatenate([np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint8) for b in held]).reshape(len(node), -1)
         n = len(node)
+        sign = np.concatenate([np.frombuffer(b"".join(b.column("label").to_pylist()), np.uint8) for b in held]).reshape(n, -1)
         edge = np.flatnonzero((comp[1:] != comp[:-1]) | (tree[1:] != tree[:-1])) + 1  # where runs of a component begin
         start, end = np.append(0, edge), np.append(edge, n)
         run_of = np.repeat(np.arange(len(start)), end - start)
         row = np.arange(n)
-        label = np.frombuffer(b"".join(b"".join(b.column("label").to_pylist()) for b in held), np.uint8).reshape(n, -1)
-        same = np.append(False, (label[1:] == label[:-1]).all(axis=1) & (tree[1:] == tree[:-1]))
+        same = np.append(False, (sign[1:, :depth] == sign[:-1, :depth]).all(axis=1) & (tree[1:] == tree[:-1]))
         first = np.maximum.accumulate(np.where(same, 0, row))  # of rows with this very label
         partners = [first] + [np.where((o := run_of + away) < len(start), start[np.minimum(o, len(start) - 1)], row) for away in range(1, reach + 1)]
         partners += [np.where((o := run_of - away) >= 0, end[np.maximum(o, 0)] - 1, row) for away in range(1, reach + 1)]
@@ -89,84 +93,93 @@ def neighbours(orders: DataFrame, rows: int, labels: DataFrame | None, percent:
         F.first("likeness").alias("likeness"), F.first("fits").alias("fits"))
 
 
-def region_pairs(orders: DataFrame, rows: int, labels: DataFrame | None, tried: DataFrame | None, percent: int, slack: float,
-                 reach: int, prefix: int) -> DataFrame:
-    """``a, b``: untried pairs of different components, up to ``reach`` rows from each other in a region, that may reach
-    ``percent``; and each node that has rows of its region further away, as a pair with itself.
+def _met(rows: DataFrame) -> DataFrame:
+    """``rows`` of regions with several components, once for each two blocks ``i, j`` of which one is ``own``."""
+    regions = numbers(rows.groupBy("tree", "region").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    ).where("low < high").select("tree", "region", "blocks"), "regions")
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    return rows.join(small_or_shuffled(regions), ["tree", "region"]).withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn(
+        "j", F.greatest("own", "other")).drop("blocks", "other")
+
 
-    A region is the rows of a ``tree`` whose labels have the same first ``prefix`` bytes.
+def compared(rows: DataFrame, percent: int, slack: float, as_pairs: bool) -> DataFrame:
+    """All of each region compared by ``signature``, but for pairs of one component: those pairs ``a, b`` that may reach
+    ``percent``, or the rows that have such a partner, without their signatures.
+
+    ``rows`` has ``node, size, component, tree, region, signature``.
     """
-    known = orders.withColumn("component", F.col("node")) if labels is None else orders.join(
-        small_or_shuffled(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    if tried is None:
-        known = known.withColumn("tried", F.array().cast("array<long>"))
-    else:
-        lists = numbers(tried.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried")), "lists")
-        known = known.join(lists, "node", "left").withColumn("tried", F.coalesce("tried", F.array().cast("array<long>")))
-    sorted_rows = known.repartitionByRange(max(1, -(-rows // RUN)), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    met = written(_met(rows), "met")
+    bytes_of = met.agg(F.sum(F.length("signature") + 60)).first()[0] or 0
+    keys = ["tree", "region", "i", "j"]
+    dealt = met.repartition(max(1, -(-bytes_of // (RUN * 200))), *keys).sortWithinPartitions(*keys, "own", "node")
     least = percent / 100 - slack
+    types = {f.name: f.dataType.simpleString() for f in met.schema}
+    kept = ["node", "size", "component", "tree", "region"]
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         column = lambda c: np.concatenate([b.column(c).to_numpy() for b in held])
-        node, size, comp, tree = (column(c) for c in ("node", "size", "component", "tree"))
+        node, size, comp, tree, own, i_of, j_of = (column(c) for c in ("node", "size", "component", "tree", "own", "i", "j"))
         n = len(node)
-        sign = np.concatenate([np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint8) for b in held]).reshape(n, -1)
-        label = np.frombuffer(b"".join(b"".join(b.column("label").to_pylist()) for b in held), np.uint8).reshape(n, -1)
-        new = np.append(True, (tree[1:] != tree[:-1]) | (label[1:, :prefix] != label[:-1, :prefix]).any(axis=1))
-        region = np.cumsum(new)
-        # tried pairs as numbers of different nodes, so that they are compared exactly
-        names, place = np.unique(node, return_inverse=True)
-        ends = [np.concatenate([b.column("tried").value_lengths().to_numpy() for b in held]),
-                np.concatenate([b.column("tried").flatten().to_numpy() for b in held])]
-        at = np.minimum(np.searchsorted(names, ends[1]), len(names) - 1)
-        here = names[at] == ends[1]
-        done = np.unique((np.repeat(place, ends[0]) * len(names) + at)[here])
-        i = np.arange(n)
-        for away in range(1, min(reach, n - 1) + 1):
+        text = lambda c: np.frombuffer(b"".join(b"".join(b.column(c).to_pylist()) for b in held), np.uint8).reshape(n, -1)
+        sign, begins = text("signature"), text("region")
+        new = (begins[1:] != begins[:-1]).any(axis=1)
+        for x in (tree, i_of, j_of):
+            new |= x[1:] != x[:-1]
+        group = np.append(0, np.cumsum(new))
+        within = i_of == j_of  # other groups compare rows of two blocks
+        some = np.zeros(n, bool)
+        i, away = np.arange(n), 0
+        while True:
+            away += 1
             i = i[: np.searchsorted(i, n - away)]
-            i = i[region[i] == region[i + away]]  # a row without one at this distance has none further away
+            i = i[group[i] == group[i + away]]  # a row without one at this distance has none further away
             if not len(i):
                 break
-            x = i[comp[i] != comp[i + away]]
+            x = i[(comp[i] != comp[i + away]) & (within[i] | (own[i] != own[i + away]))]
             x = x[100 * np.minimum(size[x], size[x + away]) >= percent * np.maximum(size[x], size[x + away])]
             for first in range(0, len(x), 20_000):
                 y = x[first : first + 20_000]
                 like = ((sign[y] == sign[y + away]).mean(axis=1) * 256 - 1) / 255
                 y = y[like >= least]
-                low = np.where(node[y] < node[y + away], y, y + away)
-                high = 2 * y + away - low
-                pair = place[low] * len(names) + place[high]
-                if len(done):
-                    fresh = done[np.minimum(np.searchsorted(done, pair), len(done) - 1)] != pair
-                    low, high = low[fresh], high[fresh]
-                if len(low):
-                    yield pa.record_batch([pa.array(node[low]), pa.array(node[high])], ["a", "b"])
-        far = np.flatnonzero(region[: max(0, n - reach - 1)] == region[reach + 1 :])
-        far = np.unique(np.concatenate([node[far], node[far + reach + 1]]))
-        if len(far):
-            yield pa.record_batch([pa.array(far), pa.array(far)], ["a", "b"])
-
-    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
+                some[y] = some[y + away] = True
+                if as_pairs and len(y):
+                    a, b = node[y], node[y + away]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        if not as_pairs:
+            at = 0
+            for b in held:
+                found = pa.array(some[at : at + b.num_rows])
+                at += b.num_rows
+                yield b.select(kept).filter(found)
+
+    if as_pairs:
+        return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in kept)).distinct()
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, slack: float,
-                      prefix: int = 0) -> DataFrame | None:
+def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame],
+                      percent: int, slack: float, sketch_slack: float, depth: int, prefix: int = 0,
+                      of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
     """``node, component`` of nodes that are linked with another; none if no two are.
 
-    ``confirm`` returns those of a written table of pairs ``a, b`` which are links. ``label`` must have one length.
+    ``confirm`` returns those of a written table of pairs ``a, b`` which are links, ``sketch`` the ``node, signature`` of a
+    written table of nodes, longer signatures whose error ``sketch_slack`` allows for, and ``of`` the orders of such nodes.
     First, all nodes are sorted and the best candidates of each confirmed. Then nodes in crowded regions are sorted
     again, to look past what they are linked with. From then on, those nodes are that still have a candidate outside
     their component, until a round links nothing. At last, all of each crowded region are compared that are still apart;
     ``prefix`` says how many first bytes the labels of a region share.
     """
-    near = numbers(neighbours(orders, orders.count(), None, percent, slack, REACH[0]), "near")
+    of = of or (lambda nodes: written(orders.join(small_or_shuffled(nodes), "node", "left_semi"), "again"))
+    near = numbers(neighbours(orders, orders.count(), None, percent, slack, REACH[0], depth), "near")
     crowd = numbers(_ends(near), "crowd")
     if crowd.isEmpty():
         return None
@@ -182,24 +195,18 @@ def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFram
         if links.isEmpty() and not first:
             break
         rest = numbers(_apart(found, labels), "rest")
-        again = _of(orders, crowd if first else numbers(_ends(rest), "ends"))
-        more = neighbours(again, again.count(), labels, percent, slack, REACH[1]).where("fits").select("a", "b")
+        again = of(crowd if first else numbers(_ends(rest), "ends"))
+        more = neighbours(again, again.count(), labels, percent, slack, REACH[1], depth).where("fits").select("a", "b")
         found = numbers(rest.join(tried, ["a", "b"], "left_anti").unionByName(more).distinct(), "found")
         pairs = numbers(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-    live, reach = crowd, WIDE
-    while not live.isEmpty():
-        again = _of(orders, live)
-        seen = numbers(region_pairs(again, again.count(), labels, tried, percent, slack, reach, prefix), "region")
-        pairs = numbers(seen.where("a < b"), "pairs")
-        if not pairs.isEmpty():
-            labels = _joined(written(confirm(pairs), "links"), labels)
-            tried = pairs if tried is None else tried.unionByName(pairs)
-        live, reach = seen.where("a = b").select(F.col("a").alias("node")), reach * WIDER
-    return labels
-
-
-def _of(orders: DataFrame, nodes: DataFrame) -> DataFrame:
-    return written(orders.join(small_or_shuffled(nodes), "node", "left_semi"), "again")
+    rows = _known(of(crowd), labels).select(
+        "node", "size", "component", "tree", F.expr(f"substring(label, 1, {prefix})").alias("region"), F.col("label").alias("signature"))
+    rows = numbers(compared(rows, percent, slack, False), "alike")
+    if rows.isEmpty():
+        return labels
+    sketches = written(sketch(numbers(rows.select("node").distinct(), "sketched")), "sketches")
+    pairs = numbers(compared(rows.join(sketches, "node"), percent, sketch_slack, True), "pairs")
+    return labels if pairs.isEmpty() else _joined(written(confirm(pairs), "links"), labels)
 
 
 def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame | None:

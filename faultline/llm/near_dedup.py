@@ -11,7 +11,8 @@
 3. Candidates are confirmed on full sets, each node's best first. Components are found; other
    candidates between components follow, and the nodes that had any like neighbour are sorted
    again to find neighbours in other components further away, until a round links nothing.
-4. Nodes of a crowded region that are still apart are compared with all others of it.
+4. Nodes of a crowded region that are still apart are compared with all others of it, by signature and
+   then by a sketch of ``SKETCH`` bytes of those that have a partner.
 
 Pairs are linear in nodes in rounds of neighbours: a group of copies costs its size, not its square.
 
@@ -40,10 +41,19 @@ HASHES = TREES * DEPTH
 REGION = 2
 #: Candidates may look so much less similar by signature than they must be: five standard deviations.
 SLACK = 0.18
+#: Minimum hashes of a sketch, and the same five deviations for it.
+SKETCH = 1024
+SKETCH_SLACK = SLACK * (HASHES / SKETCH) ** 0.5
 
-_rows = np.random.Generator(np.random.PCG64(1))
-_TIMES = _rows.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _rows.integers(0, 2**32, HASHES, dtype=np.uint32)
+
+def hashing(seed: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of so many hash functions."""
+    rows = np.random.Generator(np.random.PCG64(seed))
+    times = rows.integers(0, 2**31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return times, rows.integers(0, 2**32, hashes, dtype=np.uint32)
+
+
+_SIGNATURE, LONG = hashing(1, HASHES), hashing(2, SKETCH)
 
 
 def _sets(texts: list[bytes], shingle: int):
@@ -58,12 +68,12 @@ def _sets(texts: list[bytes], shingle: int):
     return h, np.searchsorted(of, np.arange(len(texts) + 1))
 
 
-def signatures(h: np.ndarray, begin: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+def signatures(h: np.ndarray, begin: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = _SIGNATURE) -> np.ndarray:
     """A byte of each minimum hash of each set; sets must not be empty."""
     small = (h >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(begin) - 1, hashes), np.uint8)
-    for k in range(hashes):
-        out[:, k] = np.minimum.reduceat(small * _TIMES[k] + _PLUS[k], begin[:-1])
+    out = np.empty((len(begin) - 1, len(functions[0])), np.uint8)
+    for k, (times, plus) in enumerate(zip(*functions, strict=True)):
+        out[:, k] = np.minimum.reduceat(small * times + plus, begin[:-1])
     return out
 
 
@@ -98,12 +108,12 @@ def shingled(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame
         run, f"doc_id {kind}, fingerprint long, n_shingles long, digest binary, signature binary")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, shingle: int, percent: int) -> DataFrame:
-    """Those of the written ``pairs`` whose full sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets_of(ends: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, shingle: int, sketched: bool) -> DataFrame:
+    """``node, shingles`` of the ``ends``, or ``node, signature`` with their sketches, from one text of each."""
     wanted = written(ends.join(nodes.select("node", "digest", "fingerprint"), "node"), "wanted")
     near = docs.select(F.xxhash64(doc_id, text).alias("fingerprint"), F.col(text).alias("text")).join(
         small_or_shuffled(wanted.select("fingerprint").distinct()), "fingerprint", "left_semi").select("text")
+    name, kind = ("signature", "binary") if sketched else ("shingles", "array<long>")
 
     def run(batches):
         seen: set[bytes] = set()
@@ -112,12 +122,24 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, do
                 h, begin = _sets(part, shingle)
                 digests = _digests(h, begin)
                 new = [i for i, d in enumerate(digests) if d and not (d in seen or seen.add(d))]
-                if new:
-                    yield pa.record_batch([pa.array([digests[i] for i in new], pa.binary()), pa.array(
-                        [h[begin[i] : begin[i + 1]].view(np.int64) for i in new], pa.list_(pa.int64()))], ["digest", "shingles"])
+                if not new:
+                    continue
+                sets = [h[begin[i] : begin[i + 1]] for i in new]
+                if sketched:
+                    own = np.append(0, np.cumsum([len(x) for x in sets]))
+                    values = pa.array([x.tobytes() for x in signatures(np.concatenate(sets), own, LONG)], pa.binary())
+                else:
+                    values = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.record_batch([pa.array([digests[i] for i in new], pa.binary()), values], ["digest", name])
 
-    sets = written(near.mapInArrow(run, "digest binary, shingles array<long>").join(
-        small_or_shuffled(wanted.select("node", "digest")), "digest").select("node", "shingles"), "sets")
+    made = near.mapInArrow(run, f"digest binary, {name} {kind}").join(small_or_shuffled(wanted.select("node", "digest")), "digest")
+    return made.select("node", name).dropDuplicates(["node"]) if sketched else made.select("node", name)
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, shingle: int, percent: int) -> DataFrame:
+    """Those of the written ``pairs`` whose full sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = written(_sets_of(ends, nodes, docs, text, doc_id, shingle, False), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -131,11 +153,13 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     nodes = written(found.where("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.min("fingerprint").alias("fingerprint"), F.first("n_shingles").alias("size"),
         F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    orders = nodes.select("node", "size", "signature", trees.alias("tree")).withColumn(
-        "label", F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})"))
+    turned = F.expr(f"concat(substring(signature, tree * {DEPTH} + 1, {HASHES}), substring(signature, 1, tree * {DEPTH}))")
+    in_trees = lambda rows: rows.select("node", "size", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
+        "node", "size", "tree", turned.alias("label"))
+    of = lambda some: in_trees(written(nodes.select("node", "size", "signature").join(small_or_shuffled(some), "node", "left_semi"), "again"))
     confirm = lambda pairs: confirmed(pairs, nodes, docs, text, doc_id, shingle, percent)
-    labels = linked_components(orders, confirm, percent, SLACK, REGION)
+    sketch = lambda ends: _sets_of(ends, nodes, docs, text, doc_id, shingle, True)
+    labels = linked_components(in_trees(nodes), confirm, sketch, percent, SLACK, SKETCH_SLACK, DEPTH, REGION, of)
     classes = nodes.select("digest", "node", "first_id")
     if labels is not None:
         classes = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

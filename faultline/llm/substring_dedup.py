@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from faultline.llm import words as ws
 from faultline.llm.common import fresh, small_or_shuffled, table, written
 from faultline.llm.linking import linked_components
+from faultline.llm.near_dedup import LONG, SKETCH_SLACK, signatures
 
 SHINGLE = 5
 PERCENT = 80
@@ -173,13 +174,13 @@ def _colons(fields: str) -> str:
     return ", ".join(":".join(f.split(" ")) for f in fields.split(", "))
 
 
-def _confirmed(pairs: DataFrame, lines: DataFrame, docs: DataFrame, text: str, doc_id: str, minimum: int, percent: int) -> DataFrame:
-    """Those of the written ``pairs`` of paragraphs whose full shingle sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets_of(ends: DataFrame, lines: DataFrame, docs: DataFrame, text: str, doc_id: str, minimum: int, sketched: bool) -> DataFrame:
+    """``node, shingles`` of the paragraphs ``ends``, or ``node, signature`` with their sketches, from one text of each."""
     wanted = written(lines.select("node", "fingerprint").join(ends, "node").groupBy("node").agg(
         F.min("fingerprint").alias("fingerprint")), "wanted")
     near = docs.select(F.xxhash64(doc_id, text).alias("fingerprint"), F.col(text).alias("text")).join(
         small_or_shuffled(wanted.select("fingerprint").distinct()), "fingerprint", "left_semi").select("text")
+    name, kind = ("signature", "binary") if sketched else ("shingles", "array<long>")
 
     def run(batches):
         seen: set[int] = set()
@@ -189,11 +190,24 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, docs: DataFrame, text: str, d
                 h, begin = cut.sets()
                 nodes = cut.nodes().tolist()
                 new = [i for i, k in enumerate(nodes) if not (k in seen or seen.add(k))]
-                if new:
-                    yield pa.record_batch([pa.array([nodes[i] for i in new], pa.int64()), pa.array(
-                        [np.unique(h[begin[i] : begin[i + 1]]).view(np.int64) for i in new], pa.list_(pa.int64()))], ["node", "shingles"])
+                if not new:
+                    continue
+                sets = [h[begin[i] : begin[i + 1]] for i in new]
+                if sketched:
+                    own = np.append(0, np.cumsum([len(x) for x in sets]))
+                    values = pa.array([x.tobytes() for x in signatures(np.concatenate(sets), own, LONG)], pa.binary())
+                else:
+                    values = pa.array([np.unique(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.record_batch([pa.array([nodes[i] for i in new], pa.int64()), values], ["node", name])
+
+    made = near.mapInArrow(run, f"node long, {name} {kind}").join(small_or_shuffled(wanted.select("node")), "node")
+    return made.dropDuplicates(["node"]) if sketched else made
 
-    sets = written(near.mapInArrow(run, "node long, shingles array<long>").join(small_or_shuffled(wanted.select("node")), "node"), "sets")
+
+def _confirmed(pairs: DataFrame, lines: DataFrame, docs: DataFrame, text: str, doc_id: str, minimum: int, percent: int) -> DataFrame:
+    """Those of the written ``pairs`` of paragraphs whose full shingle sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = written(_sets_of(ends, lines, docs, text, doc_id, minimum, False), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -210,9 +224,10 @@ def _clusters(lines: DataFrame, docs: DataFrame, text: str, doc_id: str, minimum
     known = written(lines.select("node", "signature").join(small_or_shuffled(written(
         found.select("node").distinct(), "colliding"), KEYS), "node").groupBy("node").agg(F.min("signature").alias("signature")), "known")
     members = found.join(small_or_shuffled(known), "node").select(
-        "node", F.lit(1).alias("size"), "signature", F.col("key").alias("tree"), turned.alias("label"))
+        "node", F.lit(1).alias("size"), F.col("key").alias("tree"), turned.alias("label"))
     confirm = lambda pairs: _confirmed(pairs, lines, docs, text, doc_id, minimum, percent)
-    return linked_components(members, confirm, percent, SLACK)
+    sketch = lambda ends: _sets_of(ends, lines, docs, text, doc_id, minimum, True)
+    return linked_components(members, confirm, sketch, percent, SLACK, SKETCH_SLACK, hashes)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", minimum: int = MINIMUM,
