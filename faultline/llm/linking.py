@@ -28,9 +28,9 @@ from faultline.llm.components import components
 
 #: Rows of a range partition, about 200 bytes each.
 RUN = 75_000
-#: So many best candidates of each node are confirmed first; what they join needs no further link.
+#: So many best candidates of each node are confirmed in a round; what they join needs no further link.
 BEST = 2
-#: Candidates that a row of an order may give; a node has a row in each order, and gets others once these are tried.
+#: Candidates that a row of an order may give; a node has a row in each order.
 KEPT = 3
 #: Neighbouring components looked at on each side, of all nodes and then of nodes in crowded regions.
 REACH = (2, 8)
@@ -174,8 +174,8 @@ def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFram
     ``confirm`` returns those of a written table of pairs ``a, b`` which are links, ``sketch`` the ``node, signature`` of a
     written table of nodes, longer signatures whose error ``sketch_slack`` allows for, and ``of`` the orders of such nodes.
     First, all nodes are sorted and the best candidates of each confirmed. Then nodes in crowded regions are sorted
-    again, to look past what they are linked with. From then on, those nodes are that still have a candidate outside
-    their component, until a round links nothing. At last, all of each crowded region are compared that are still apart;
+    again, to look past what they are linked with, and again the best confirmed. These two rounds only join most of what
+    belongs together; then all of each crowded region are compared that are still apart, which leaves nothing out.
     ``prefix`` says how many first bytes the labels of a region share.
     """
     of = of or (lambda nodes: written(orders.join(small_or_shuffled(nodes), "node", "left_semi"), "again"))
@@ -183,22 +183,17 @@ def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFram
     crowd = numbers(_ends(near), "crowd")
     if crowd.isEmpty():
         return None
-    found = near.where("fits").select("a", "b", "likeness")
     best = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("likeness"), "a", "b"))
-    pairs = numbers(found.withColumn("at_a", best("a")).withColumn("at_b", best("b")).where(
+    best_of = lambda found: numbers(found.where("fits").withColumn("at_a", best("a")).withColumn("at_b", best("b")).where(
         (F.col("at_a") <= BEST) | (F.col("at_b") <= BEST)).select("a", "b"), "pairs")
-    found, labels, tried = found.select("a", "b"), None, None
-    while not pairs.isEmpty():
-        links = written(confirm(pairs), "links")
-        labels = _joined(links, labels)
-        first, tried = tried is None, pairs if tried is None else tried.unionByName(pairs)
-        if links.isEmpty() and not first:
-            break
-        rest = numbers(_apart(found, labels), "rest")
-        again = of(crowd if first else numbers(_ends(rest), "ends"))
-        more = neighbours(again, again.count(), labels, percent, slack, REACH[1], depth).where("fits").select("a", "b")
-        found = numbers(rest.join(tried, ["a", "b"], "left_anti").unionByName(more).distinct(), "found")
-        pairs = numbers(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs, labels = best_of(near), None
+    if not pairs.isEmpty():
+        labels = _joined(written(confirm(pairs), "links"), None)
+        again = of(crowd)
+        more = neighbours(again, again.count(), labels, percent, slack, REACH[1], depth)
+        pairs = best_of(more.join(small_or_shuffled(pairs), ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            labels = _joined(written(confirm(pairs), "links"), labels)
     rows = _known(of(crowd), labels).select(
         "node", "size", "component", "tree", F.expr(f"substring(label, 1, {prefix})").alias("region"), F.col("label").alias("signature"))
     rows = numbers(compared(rows, percent, slack, False), "alike")
@@ -215,12 +210,3 @@ def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame | None:
         return labels
     stars = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
     return numbers(components(stars), "labels")
-
-
-def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs of nodes that are not in one component."""
-    if labels is None:
-        return pairs
-    at = lambda end: small_or_shuffled(labels.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")))
-    return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(
-        F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b")

@@ -2,7 +2,7 @@
 
 import random
 
-from faultline.llm import near_dedup, substring_dedup
+from faultline.llm import linking, near_dedup, substring_dedup
 from faultline.llm.common import table
 from faultline.llm.components import components
 from tests.llm import brute
@@ -118,6 +118,16 @@ def test_template_crowds_are_compared_whole(docs_of):
     assert {r.doc_id: r.component_id for r in near_dedup.linked(docs_of(rows)).collect()} == want
 
 
+def test_crowds_of_many_blocks(docs_of, monkeypatch):
+    """Twins in different blocks of a region meet, as documents and as paragraphs."""
+    monkeypatch.setattr(linking, "BLOCK", 60)
+    rows = crowd(random.Random(9))
+    want = brute.linked(rows, 5)
+    assert {r.doc_id: r.component_id for r in near_dedup.linked(docs_of(rows)).collect()} == want
+    spans = [r for r in substring_dedup.repeated_spans(docs_of(rows)).collect() if r.kind == "paragraph"]
+    assert {r.doc_id: r.kept_doc_id for r in spans} == {i: c for i, c in want.items() if c != i}
+
+
 def test_clean_documents_stay(spark):
     docs = table(spark, SF, "documents")
     cut = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
