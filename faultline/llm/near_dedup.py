@@ -8,9 +8,8 @@
    and how deep a prefix must be to part two regions adapts to how crowded the region is. A
    node's candidates are the nearest nodes on both sides that are not in its component yet, if
    the whole signatures make the similarity possible.
-3. Candidates are confirmed on full sets, each node's best first. Components are found; other
-   candidates between components follow, and the nodes that had any like neighbour are sorted
-   again to find neighbours in other components further away, until a round links nothing.
+3. Each node's best candidates are confirmed on full sets. Components are found; the nodes that had any
+   like neighbour are sorted again, once, to find neighbours in other components further away.
 4. Nodes of a crowded region that are still apart are compared with all others of it, by signature and
    then by a sketch of ``SKETCH`` bytes of those that have a partner.
 

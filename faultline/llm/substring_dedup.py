@@ -4,10 +4,9 @@ A paragraph is a line of at least ``MINIMUM`` words, a set of five-word shingles
 ``ROWS`` minimum hashes are as many as the wanted recall at the similarity limit takes. Paragraphs
 that collide in a band are joined with those of the band which look most alike by their signatures,
 and confirmed by the exact Jaccard similarity of their full sets; components of confirmed links are
-clusters. Paragraphs that share a band but no component yet are joined with further ones, round by
-round, until a round links nothing, and at last with all of the band that may be similar enough: pairs
-stay linear in paragraphs but for those of different, alike texts, and a band that a group of copies of
-any size fills is sorted in partitions of bounded size.
+clusters. Paragraphs that share a band but no component yet are joined with further ones once more, and at
+last with all of the band that may be similar enough: pairs stay linear in paragraphs but for those of
+different, alike texts, and a band that a group of copies of any size fills is dealt to blocks of bounded size.
 
 A passage may also stand inside a longer line. For that, sentences (long ones cut further after
 words that their own hash chooses) of four words and more that occur in several documents are
