@@ -5,9 +5,10 @@ its fields, the nearest ``limit`` lines on either side that agree on the set and
 a ranking by score, then distance, can ask for. One path finds them, however crowded a stretch of time is and
 whether or not stamps follow line order:
 
-1. A unit is a time bin of the band's width in a block of line numbers. Each entry goes to its own bin as one
-   that asks, and to the bins beside it as one that may be found, so a unit holds at most three times ``block`` rows,
-   all fields as 64-bit hashes. Nothing is copied once for each set of fields.
+1. A unit is a time bin of the band's width. Each entry goes to its own bin as one that asks, and to the bins beside it as
+   one that may be found, all fields as 64-bit hashes. Bins of more than ``block`` rows are cut into blocks of about that
+   many by line, one unit each: rows are counted, so however far apart the lines of a bin are, a bin of few rows
+   is one unit. Nothing is copied once for each set of fields.
 2. Within a task the rows of a set's equal values are a run in line order. An entry walks to both sides until it
    has ``limit`` lines in the band; stretches whose earliest and latest stamp lie outside the band are stepped over.
    Sets go by falling points and end for an entry that has ``limit`` partners of more points.
@@ -32,6 +33,10 @@ from faultline.plans.staging import staged
 
 #: Rows handled at once in a task, in whole units.
 BATCH = 100_000
+#: Blocks of a bin end between runs of ``block`` / ``CELLS`` lines, which are what is counted.
+CELLS = 16
+#: Pairs that a task holds before it keeps the best of each entry.
+HELD = 4_000_000
 #: Lengths of the stretches that keep their earliest and latest stamp.
 STRETCHES = (64, 4096)
 
@@ -138,7 +143,15 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
             alive = asks >= -1
             full = asks == -1
             score = None
-            found, still, known = [], [], []
+            found, still, known, held = [], [], [], 0
+
+            def best(found):
+                """The best ``limit`` pairs of every entry."""
+                x, y, worth = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((line[y], t[y], np.abs(line[x] - line[y]), -worth, x))
+                x = x[order]
+                kept = np.arange(len(x)) - np.searchsorted(x, x) < limit
+                return x[kept], y[order[kept]], worth[order[kept]]
 
             def rowed(kind, at, **more):
                 have = {"kind": pa.array([kind] * len(at), pa.string()), "source": source.take(pa.array(at)), "bin": pa.array(bins[at]),
@@ -192,7 +205,11 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
                         more |= (value[f, x] == value[f, y]) & (value[f, x] != 0)
                     x, y = x[~more], y[~more]  # the others belong to a set of more points
                     partners += np.bincount(x, minlength=len(partners))
-                    found.append((x, y, np.full(len(x), points)))
+                    found.append((x, y, np.full(len(x), points, np.int32)))
+                    held += len(x)
+                    if held > HELD:
+                        found = [best(found)]
+                        held = len(found[0][0])
                     short = np.flatnonzero((got < need[r]) & goes_on[r])
                     if len(short):
                         w = r[short]
@@ -202,14 +219,10 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
             yield from still
             yield from known
             if found:
-                x, y, worth = (np.concatenate(c) for c in zip(*found, strict=True))
-                distance = np.abs(line[x] - line[y])
-                best = np.lexsort((line[y], t[y], distance, -worth, x))
-                x, y, worth, distance = x[best], y[best], worth[best], distance[best]
-                rank = np.arange(len(x)) - np.searchsorted(x, x)
-                keep = (rank < limit) & (distance > skip)
-                x, y, worth = x[keep], y[keep], worth[keep]
-                yield rowed("pair", x, line=line[x], t=t[x], other=line[y], other_t=t[y], score=worth.astype(np.int32))
+                x, y, worth = best(found)
+                far = np.abs(line[x] - line[y]) > skip
+                x, y, worth = x[far], y[far], worth[far]
+                yield rowed("pair", x, line=line[x], t=t[x], other=line[y], other_t=t[y], score=worth)
 
     unit = ["source", "bin", "blk"]
     return rows.repartition(*unit).sortWithinPartitions(*unit, "line").mapInArrow(run, schema)
@@ -223,13 +236,22 @@ def far_pairs(keys: DataFrame, points: dict[str, int], cap: int, seconds: int, l
     names, sets, band = list(points), field_sets(points, cap), seconds * 1_000_000
     hashed = [F.when(F.col(f).isNotNull(), F.xxhash64(f)).otherwise(0).alias(f) for f in names]
     base = staged(keys.where(F.col("t").isNotNull()).select(
-        "source", "line", "t", F.floor(F.col("t") / F.lit(band)).alias("own"), F.floor(F.col("line") / F.lit(block)).alias("blk"), *hashed), "band_keys")
+        "source", "line", "t", F.floor(F.col("t") / F.lit(band)).alias("own"), F.floor(F.col("line") / F.lit(max(1, block // CELLS))).alias("cell"), *hashed), "band_keys")
     around = F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("bin")
-    by_block = Window.partitionBy("source", "bin").orderBy("blk")
-    units = base.select("source", "own", "blk").distinct().select("source", around, "blk").distinct().select(
-        "source", "bin", "blk", F.lag("blk").over(by_block).isNotNull().alias("before"), F.lead("blk").over(by_block).isNotNull().alias("after"))
-    members = base.select("source", "line", "t", "own", "blk", *names, around)
-    asked = members.join(units, ["source", "bin", "blk"]).select(
+    one = F.count(F.lit(1)).alias("n")
+    occupied = staged(base.select("source", F.col("own").alias("bin")).distinct(), "band_bins")  # the others have nobody who asks
+    crowded = staged(base.groupBy("source", "own").agg(one).select("source", around, "n").groupBy("source", "bin").agg(F.sum("n").alias("n")).where(
+        F.col("n") > block).select("source", "bin"), "band_crowded")
+    spread = base.select("source", "line", "t", "own", "cell", *names, around).join(occupied, ["source", "bin"], "left_semi")
+    whole = Window.partitionBy("source", "bin")
+    earlier = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / F.lit(block)).alias("blk")
+    units = staged(spread.select("source", "bin", "cell").join(crowded, ["source", "bin"]).groupBy("source", "bin", "cell").agg(one).select(
+        "source", "bin", "cell", cut).withColumns({"before": F.col("blk") > F.min("blk").over(whole), "after": F.col("blk") < F.max("blk").over(whole)}), "band_units")
+    no = F.lit(False)
+    members = spread.join(units, ["source", "bin", "cell"], "left").select(
+        "source", "bin", F.coalesce("blk", F.lit(0)).alias("blk"), "line", "t", "own", *names, F.coalesce("before", no).alias("before"), F.coalesce("after", no).alias("after"))
+    asked = members.select(
         "source", "bin", "blk", "line", "t", *names, F.lit(True).alias("member"), F.when(F.col("own") == F.col("bin"), -1).otherwise(-2).alias("asks"),
         F.lit(limit).alias("need"), "before", "after")
     search = lambda rows, name: staged(_searched(rows, names, sets, band, limit, skip), name)

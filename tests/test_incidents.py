@@ -135,6 +135,17 @@ def test_candidates_of_two_logs_laid_together(spark):
     check_against_brute(spark, rows + second, block=64)
 
 
+def test_few_rows_of_a_bin_in_many_places_are_one_unit(spark, monkeypatch):
+    """Twelve logs of the same seconds laid together: blocks count rows, so nothing goes from block to block."""
+    from faultline.operators import band_search
+    steps = []
+    monkeypatch.setattr(band_search, "staged", lambda df, name, real=band_search.staged: steps.append(name) or real(df, name))
+    rows = [dict(zip(ENTRY_COLUMNS, r)) for r in random_rows(12, 60, False)]
+    copies = [tuple({**r, "line_number": r["line_number"] + 5000 * i}[c] for c in ENTRY_COLUMNS) for i in range(12) for r in rows]
+    check_against_brute(spark, copies, block=500)
+    assert steps.count("band_waiting") == 1
+
+
 def test_one_value_for_all_fields_in_a_crowded_bin(spark):
     """20,000 entries that agree on everything: each has its ten nearest lines on both sides, in the file's middle."""
     n = 20_000
