@@ -45,6 +45,17 @@ def test_fifty_thousand_words(spark):
     assert "Subquery" not in plan and "BroadcastHashJoin" in plan and "NestedLoop" not in plan
 
 
+def test_words_of_digits_do_not_meet_each_other(spark):
+    """Texts hold many runs that words are made of; what is joined are the words they hold."""
+    words = [f"?id={i}" for i in range(20_000, 50_000)]
+    texts = [f"20240101 {i * 7} {i * 3} ?id={20_000 + i * 11} 30000 40000" for i in range(1000)]
+    got = found(spark, texts, words)[0]
+    assert got == [(i, f"?id={20_000 + i * 11}") for i in range(1000)]
+    index = staged(wi.filed(spark.createDataFrame([(w,) for w in words], "word string"), "word"), "words")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert wi.found_in(rows, "text", index, "word", F.lit(True)).count() <= 1100
+
+
 PATTERNS = {
     "abc": "abc", "abc?": "ab", "ab+c": "ab", "a(bc)d": "a", "(abc)?def": "def", "foo|bar": "", "(foo|bar)baz": "baz", r"x\.y\d+z": "x.y",
     r"(?i)Hello\s+World": "hello", "a{0,3}bcd": "bcd", "a{2}bcd": "bcd", r"\bServer\d{3}\b": "server", "": "", "^abc$": "abc", r"\x41bc": "",
