@@ -1,15 +1,13 @@
-"""Packing of token sequences: best-fit over the histogram of lengths, or a configuration linear program.
+"""Packing of token sequences by a configuration linear program over the histogram of lengths.
 
 1. Texts become token ids (byte-level BPE) and one end id. Documents longer than a sequence are
    cut into full pieces; the first piece takes what is over.
 2. Spark counts the pieces of each length: at most ``capacity`` numbers, whatever the input.
-3. On the driver, pieces are placed best-fit, longest first, over the histogram. If that takes more
-   sequences than the ids need at least, by over ``TOLERANCE``, multiplicative weights also solve the
-   linear program "cover every length with as few configurations as possible". A round prices the
-   lengths, a knapsack dynamic program, bounded by the pieces left of each length, finds the
-   configuration of highest price that fits into a sequence, a share of what is left of its lengths
-   goes into it, in whole sequences, and prices of what has been covered fall. Pieces that no round has
-   taken are placed best-fit. The way that takes fewer sequences counts.
+3. On the driver, multiplicative weights solve the linear program "cover every length with as few
+   configurations as possible": a round prices the lengths, a knapsack dynamic program, bounded by the
+   number of pieces of each length, finds the configuration of highest price that fits into a sequence, it is
+   raised, and prices of what it covers fall. The solution is rounded to whole sequences; pieces that
+   no rounded configuration holds are placed best-fit, longest first, into the rooms that are left.
 4. Each piece learns its place from its rank among the pieces of its length. Ranks come from
    counts per file of the written table, so no task sees all pieces of a frequent length.
 
@@ -35,11 +33,14 @@ from faultline.llm.common import small_or_shuffled, table, written
 
 CAPACITY = 2048
 END = 0
-ROUNDS = 600
-SHARE = 0.5
-RATE = 1.0
-#: The rounds end when the lengths that are left no longer fill a sequence but for this part of it; and there are no
-#: rounds if best-fit is within this part of the least possible number of sequences.
+#: Rounds of the weights are about this many, in which a length is covered so often at least and at most.
+ROUNDS = 4000
+LEAST_UNITS, MOST_UNITS = 8, 500
+#: Lengths that a round prices at once.
+POOL = 128
+#: Roundings leave lengths up to these parts of a sequence to best-fit.
+SMALL = (0, 1 / 16, 1 / 8, 1 / 4, 1 / 3)
+#: A sequence is well filled if no more than this part of it is left.
 TOLERANCE = 1 / 200
 SPECIAL = "<|endoftext|>"
 
@@ -140,49 +141,98 @@ def best_value(price: np.ndarray, left: np.ndarray, capacity: int) -> dict[int,
     return out
 
 
-def configurations(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, share: float = SHARE,
-                   rate: float = RATE) -> list[tuple[dict[int, int], int]]:
+def configurations(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Configurations (length: how often) and how many sequences use each; together they hold every piece."""
     full = [({capacity: 1}, counts[capacity])] if counts.get(capacity) else []
-    rest = {k: n for k, n in counts.items() if n and k < capacity}
-    sequences = lambda groups: sum(times for _, times in groups)
-    plain = best_fit(rest, capacity)
-    least = -(-sum(k * n for k, n in rest.items()) // capacity)
-    if sequences(plain) <= (1 + TOLERANCE) * least:
-        return full + plain
-    return full + min(plain, priced(rest, capacity, rounds, share, rate), key=sequences)
-
-
-def priced(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, share: float = SHARE,
-           rate: float = RATE) -> list[tuple[dict[int, int], int]]:
-    """Configurations by multiplicative weights; what no round takes is placed best-fit."""
-    out = []
-    total = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        total[length] = n
-    left = total.copy()
-    size = np.arange(capacity + 1) / capacity
-    weight = size.copy()
-    for _ in range(rounds):
-        # if the prices lead to a badly filled sequence, the fullest one is taken, and the prices choose among equally full ones
-        for price in (weight, size + weight / capacity**2):
-            chosen = best_value(price, left, capacity)
-            room = capacity - sum(k * v for k, v in chosen.items())
-            if room <= TOLERANCE * capacity:
-                break
-        else:  # what is left fills no sequence
-            break
-        times = max(1, int(share * min(left[k] // v for k, v in chosen.items())))
+    return full + priced({k: n for k, n in counts.items() if n and k < capacity}, capacity)
+
+
+def covering(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, pool: int = POOL) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """A fractional solution of the covering program, and a lower bound on every solution.
+
+    The program: as few sequences as possible, in configurations that hold every length as often as it occurs. Multiplicative
+    weights: the price of a length falls with the part of its pieces that is covered, a configuration of highest price is raised
+    until it covers one of its lengths once, and all is scaled when each length is covered ``units`` times. The bound is
+    the worth of all pieces, over that of the best configuration, at the first or at the last prices.
+    """
+    sizes = np.array(sorted(counts))
+    number = np.array([counts[k] for k in sizes.tolist()], dtype=np.int64)
+    at = {k: i for i, k in enumerate(sizes.tolist())}
+    units = min(MOST_UNITS, max(LEAST_UNITS, rounds // max(1, len(sizes))))
+    rate = np.sqrt(np.log(len(sizes) + 1) / units)
+    cover = np.zeros(len(sizes))
+    raised: dict[tuple, float] = {}
+    draw = np.random.default_rng(len(sizes))
+
+    def best(some):
+        price, most = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+        price[sizes[some]] = sizes[some] / capacity * weight[some]
+        most[sizes[some]] = number[some]
+        chosen = best_value(price, most, capacity)
+        return chosen, sum(price[k] * v for k, v in chosen.items())
+
+    if not len(sizes):
+        return [], 0.0
+    weight = np.ones(len(sizes))
+    worth = lambda: float((number * sizes / capacity * weight).sum() / best(np.arange(len(sizes)))[1])
+    bound = worth()
+    while cover.min() < units:
+        weight = np.exp(-rate * (cover - cover.min()))
+        # Of many lengths, a draw by their weights is priced at once, and one that is furthest behind.
+        some = np.arange(len(sizes)) if len(sizes) <= pool else np.union1d(
+            draw.choice(len(sizes), pool, replace=False, p=weight / weight.sum()), [cover.argmin()])
+        chosen, _ = best(some)
+        step = min(number[at[k]] / v for k, v in chosen.items())
+        key = tuple(chosen.items())
+        raised[key] = raised.get(key, 0.0) + step / units
         for k, v in chosen.items():
-            left[k] -= v * times
-            weight[k] *= np.exp(-rate * v * times / total[k])
-        out.append((chosen, times))
-    return out + best_fit({k: int(left[k]) for k in np.flatnonzero(left).tolist()}, capacity)
+            cover[at[k]] += v * step / number[at[k]]
+    weight = np.exp(-rate * (cover - cover.min()))
+    return [(dict(key), x) for key, x in raised.items()], max(bound, worth())
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing over a histogram: sequences with the same content are handled together."""
+def rounded(solution: list[tuple[dict[int, int], float]], counts: dict[int, int], small: int = 0) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Whole sequences instead of fractions, without lengths up to ``small``, and how many pieces of each length are left.
+
+    Fractions are carried on from one configuration to the next, the largest first; no length is taken more often than it is left.
+    """
+    left, out, carried = dict(counts), [], 0.0
+    for content, x in sorted(solution, key=lambda c: -c[1]):
+        large = {k: v for k, v in content.items() if k > small}
+        if not large:
+            continue
+        carried += x
+        wanted = int(carried + 0.5)
+        carried -= wanted
+        times = min(wanted, *(left[k] // v for k, v in large.items()))
+        if times > 0:
+            out.append((large, times))
+            for k, v in large.items():
+                left[k] -= v * times
+    return out, {k: n for k, n in left.items() if n}
+
+
+def priced(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The covering program, rounded; pieces that no rounded configuration holds are placed best-fit into the rooms that are left.
+
+    Of the roundings of all or of the well filled configurations, which leave lengths up to a part of a sequence to best-fit,
+    the one that takes fewest sequences counts.
+    """
+    solution, _ = covering(counts, capacity)
+    well = [(content, x) for content, x in solution if sum(k * v for k, v in content.items()) >= (1 - TOLERANCE) * capacity]
+    ways = []
+    for chosen in (solution, well):
+        for part in SMALL:
+            groups, left = rounded(chosen, counts, int(part * capacity))
+            ways.append(best_fit(left, capacity, groups))
+    return min(ways, key=lambda groups: sum(times for _, times in groups))
+
+
+def best_fit(counts: dict[int, int], capacity: int, groups=()) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing over a histogram, into the rooms of ``groups`` first: sequences with the same content are handled together."""
     by_room: dict[int, list[tuple[dict[int, int], int]]] = {}
+    for content, times in groups:
+        by_room.setdefault(capacity - sum(k * v for k, v in content.items()), []).append((content, times))
     for length in sorted(counts, reverse=True):
         n = counts[length]
         while n:
@@ -199,7 +249,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
             if room in by_room and not by_room[room]:
                 del by_room[room]
             n -= take * use
-            by_room.setdefault(room - take * length, []).append(({**content, length: take}, use))
+            by_room.setdefault(room - take * length, []).append(({**content, length: content.get(length, 0) + take}, use))
     return [group for groups in by_room.values() for group in groups]
 
 

@@ -225,6 +225,31 @@ def test_rounds_place_most_pieces_of_many_lengths():
     assert sum(times for _, times in packing.configurations(counts, 512)) <= least + 1
 
 
+def test_covering_program_is_solved_and_rounded():
+    """A solution covers every length within 5 % of a lower bound; sequences come from rounding it, also where best-fit would do."""
+    counts = {1: 3, 51: 60, 27: 60, 26: 60, 23: 120}
+    solution, bound = packing.covering(counts, 100)
+    for k, n in counts.items():
+        assert sum(content.get(k, 0) * x for content, x in solution) >= n - 1e-6
+    assert all(sum(k * v for k, v in content.items()) <= 100 for content, _ in solution)
+    assert 89 < bound <= sum(x for _, x in solution) <= 1.05 * bound
+    groups, left = packing.rounded(solution, counts)
+    for k, n in counts.items():
+        assert sum(content.get(k, 0) * times for content, times in groups) + left.get(k, 0) == n
+    assert sum(left.values()) < 10 and sum(times for _, times in groups) <= 91
+    easy = {k: 40 for k in range(5, 95)}
+    least = -(-sum(k * n for k, n in easy.items()) // 100)
+    solution, bound = packing.covering(easy, 100)
+    groups, left = packing.rounded(solution, easy)
+    assert bound >= least - 1 and sum(left.values()) < sum(easy.values()) / 4
+    assert sum(times for _, times in packing.configurations(easy, 100)) <= 1.005 * least + 1
+
+
+def test_best_fit_goes_on_in_open_sequences():
+    groups = packing.best_fit({4: 3, 3: 1}, 10, [({6: 1}, 2), ({4: 1, 3: 1}, 1)])
+    assert sorted((tuple(sorted(c.items())), n) for c, n in groups) == [(((3, 2), (4, 1)), 1), (((4, 1),), 1), (((4, 1), (6, 1)), 2)]
+
+
 def test_packing(spark, docs_of):
     import public_tokenizers
     from tokenizers import Tokenizer
