@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import distinct_ci, nonblank, strip
+from faultline.plans.staging import staged
 
 # Patterns of declarations.
 NAMESPACE = r"(?m)\bnamespace\s+([A-Za-z_][A-Za-z0-9_.]*)\s*[;{]"
@@ -48,13 +49,14 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def match_positions(df: DataFrame, keys: list[str], text: str, pattern: str, groups: dict[str, int]) -> DataFrame:
-    """One row per match: ``keys``, ``match_no``, 1-based ``pos``, and its groups."""
-    whole = _found(F.col(text), pattern, 0)
+    """One row per match: ``keys``, ``match_no``, 1-based ``pos``, and its groups.
+
+    Groups are read from the match itself, so patterns must not look at what stands around a match.
+    """
     zipped = F.arrays_zip(
-        F.transform(F.split(F.col(text), pattern, -1), F.length).alias("gap"), whole.alias("whole"),
-        *[_found(F.col(text), pattern, g).alias(n) for n, g in groups.items()])
+        F.transform(F.split(F.col(text), pattern, -1), F.length).alias("gap"), _found(F.col(text), pattern, 0).alias("whole"))
     rows = df.select(*keys, F.posexplode(zipped).alias("match_no", "m")).select(*keys, "match_no", "m.*").filter(
-        F.col("whole").isNotNull())
+        F.col("whole").isNotNull()).withColumns({n: F.regexp_extract("whole", pattern, g) for n, g in groups.items()})
     order = Window.partitionBy(*keys).orderBy("match_no")
     until = F.sum(F.col("gap") + F.length("whole")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("pos", (F.coalesce(until, F.lit(0)) + F.col("gap") + 1).cast("int")).drop("gap")
@@ -78,6 +80,7 @@ def with_blocks(declarations: DataFrame, files: DataFrame, out: str) -> DataFram
     ``<out>_start`` is where it begins. Without an opening brace the block runs
     from the declaration, without a closing one to the end of the file.
     """
+    declarations = staged(declarations, "declarations")  # they are found by scans of the text, and needed twice
     blocks = brace_blocks(files)
     marks = declarations.select(*FILE, "pos").distinct().withColumns(
         {"open_pos": F.lit(None).cast("int"), "close_pos": F.lit(None).cast("int")}).unionByName(

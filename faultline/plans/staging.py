@@ -27,6 +27,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    # At the default of 4 MB for each file, a reading task is given all large files of a staged table of up to some 100 MB.
+    "spark.sql.files.openCostInBytes": "64KB",
 }
 
 

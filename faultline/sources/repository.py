@@ -116,7 +116,8 @@ def project_files(files: DataFrame) -> DataFrame:
     ``warning`` is set, and the fields are null, when the XML cannot be read.
     """
     xml = F.regexp_replace("content", "^﻿", "")
-    rows = files.filter(F.lower(extension_of(F.col("relative_path"))) == ".csproj").select(
+    # Few small files that take long to read: dealt out, or all may stand in the part of a table that one task reads.
+    rows = files.filter(F.lower(extension_of(F.col("relative_path"))) == ".csproj").repartition("repository", "relative_path").select(
         "repository", "relative_path", xml.alias("_xml"), (xml.rlike(r"^\s*<") & F.from_xml(
             F.when(xml.rlike(r"^\s*<"), xml), "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].isNull()).alias("_ok"))
     ok = lambda c: F.when(F.col("_ok"), c)

@@ -135,3 +135,25 @@ def test_project_prefix_and_paths(spark):
     assert got == {"a/b/c.cs": "B", "a/x.cs": "A", "top.cs": None, "ab/z.cs": None}
     keep = lambda p, **k: one(spark, rep.repository_path_filter(F.lit(p), **k))
     assert keep("src/a.cs") and not keep("x/Tests/a.cs") and keep("x/Tests/a.cs", include_tests=True) and not keep("a.g.cs") and not keep("Bin/a.cs")
+
+
+def test_source_text_is_scanned_once_for_declarations(spark):
+    files = spark.createDataFrame([("r", "p", "a.cs", "namespace N;\npublic class A : B, C { public int M(int a) { return a; } }\ninterface I { }")],
+                                  "repository string, project_name string, relative_path string, content string")
+    types = sc.source_types(files)
+    assert {(r.name, r.kind, tuple(r.base_types)) for r in types.collect()} == {("A", "Class", ("B", "C")), ("I", "Interface", ())}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "interface|record" not in plan(types)
+    methods = sc.source_methods(types, files)
+    assert [(r.name, r.line_number) for r in methods.collect()] == [("M", 2)]
+    assert "override|abstract" not in plan(methods)
+
+
+def test_large_files_of_a_small_table_go_to_several_tasks(spark):
+    from faultline.plans import staging
+    staging.tune(spark)
+    text = F.concat(*[F.sha2((F.col("id") * 8 + i).cast("string"), 512) for i in range(4)]).alias("text")
+    large, empty = spark.range(0, 8000, 1, 8).select(text), spark.range(0, 80, 1, 80).select(F.lit("x").alias("text"))
+    read = staging.staged(large.unionByName(empty), "mixed")
+    tasks = [r["count"] for r in read.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert max(tasks) <= 0.75 * sum(tasks)
