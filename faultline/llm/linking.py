@@ -9,9 +9,10 @@ copies costs its size, not its square. A range border parts two neighbours in on
 
 What is still apart then is compared within regions, the rows of one tree whose labels begin alike. A region is dealt to
 blocks of bounded size, and every two blocks meet in a group of their own, so no border parts two rows and no task sees
-a whole region. Signatures tell which nodes may still have a link; only these get a longer sketch and are compared again,
-and what the sketches leave is confirmed. Pairs within a component are left out, so the work grows with the square only
-for crowds of different items that are alike but not linked, and nothing but numbers is kept of a pair.
+a whole region. Signatures tell which nodes may still have a link; only these get a longer sketch and their full set and are
+compared again. What the sketches leave is confirmed in the same task, which returns only links that join two components.
+Two nodes are compared in the first region that they share, and not within a component, so the work grows with the square only
+for crowds of different items that are alike but not linked, and nothing is kept of a pair.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from faultline.llm.common import numbers, small_or_shuffled, written
 from faultline.llm.components import components
@@ -36,6 +38,8 @@ KEPT = 3
 REACH = (2, 8)
 #: Rows of a block of a region; two blocks are compared at once.
 BLOCK = 2048
+#: Bytes of a block's signatures and sets; a region of more has more blocks.
+BLOCK_BYTES = 8_000_000
 #: A node without any neighbour of this likeness is in no crowded region: nothing hides its near copies.
 CROWD = 0.4
 
@@ -93,40 +97,61 @@ def neighbours(orders: DataFrame, rows: int, labels: DataFrame | None, percent:
         F.first("likeness").alias("likeness"), F.first("fits").alias("fits"))
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """``rows`` of regions with several components, once for each two blocks ``i, j`` of which one is ``own``."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` of regions with several components, once for each two blocks ``i, j`` of which one is ``own``, dealt by these."""
+    held = sum((F.length(f.name) for f in rows.schema if f.dataType == BinaryType()), F.lit(60))
     regions = numbers(rows.groupBy("tree", "region").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
-    ).where("low < high").select("tree", "region", "blocks"), "regions")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"), F.sum(held).alias("bytes")
+    ).where("low < high").select("tree", "region", "bytes", F.greatest(
+        F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "regions")
+    bytes_of = regions.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    return rows.join(small_or_shuffled(regions), ["tree", "region"]).withColumn("own", own).withColumn(
+    met = rows.join(small_or_shuffled(regions.drop("bytes")), ["tree", "region"]).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn(
         "j", F.greatest("own", "other")).drop("blocks", "other")
-
-
-def compared(rows: DataFrame, percent: int, slack: float, as_pairs: bool) -> DataFrame:
-    """All of each region compared by ``signature``, but for pairs of one component: those pairs ``a, b`` that may reach
-    ``percent``, or the rows that have such a partner, without their signatures.
-
-    ``rows`` has ``node, size, component, tree, region, signature``.
-    """
-    met = written(_met(rows), "met")
-    bytes_of = met.agg(F.sum(F.length("signature") + 60)).first()[0] or 0
     keys = ["tree", "region", "i", "j"]
-    dealt = met.repartition(max(1, -(-bytes_of // (RUN * 200))), *keys).sortWithinPartitions(*keys, "own", "node")
+    return met.repartition(max(1, -(-bytes_of // (RUN * 200))), *keys).sortWithinPartitions(*keys, "own", "node")
+
+
+def _linking(x: np.ndarray, away: int, sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[int]:
+    """Those of the rows ``x`` whose sets link them with the row ``away``, but for pairs in one ``group``; links join groups."""
+    found = []
+    for i in x.tolist():
+        if group[i] == group[i + away]:
+            continue
+        one, two = sets[i], sets[i + away]
+        at = np.minimum(one.searchsorted(two), len(one) - 1)
+        shared = np.count_nonzero(one[at] == two)
+        if 100 * shared >= percent * (len(one) + len(two) - shared):
+            found.append(i)
+            group[group == group[i]] = group[i + away]
+    return found
+
+
+def compared(rows: DataFrame, percent: int, slack: float, width: int, as_links: bool) -> DataFrame:
+    """All of each region compared by ``signature``, but for pairs of one component: the rows that have a partner which
+    may reach ``percent``, without their signatures, or links ``a, b`` that join the components of all linked rows.
+
+    ``rows`` has ``node, size, component, tree, region, nth, places, signature``; ``places`` are the places of ``width`` bytes
+    that the node has in all orders, ``nth`` of them is this one. Two nodes are compared in the first place that they share. For links,
+    ``shingles`` has the sorted set of each node, by which pairs are confirmed at once: a task returns fewer links than it has rows.
+    """
+    dealt = _dealt(rows)
     least = percent / 100 - slack
-    types = {f.name: f.dataType.simpleString() for f in met.schema}
-    kept = ["node", "size", "component", "tree", "region"]
+    types = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    kept = ["node", "size", "component", "tree", "region", "nth", "places"]
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         column = lambda c: np.concatenate([b.column(c).to_numpy() for b in held])
-        node, size, comp, tree, own, i_of, j_of = (column(c) for c in ("node", "size", "component", "tree", "own", "i", "j"))
+        node, size, comp, tree, own, i_of, j_of, nth = (column(c) for c in ("node", "size", "component", "tree", "own", "i", "j", "nth"))
         n = len(node)
         text = lambda c: np.frombuffer(b"".join(b"".join(b.column(c).to_pylist()) for b in held), np.uint8).reshape(n, -1)
-        sign, begins = text("signature"), text("region")
+        sign, begins, places = text("signature"), text("region"), text("places").reshape(n, -1, width)
+        sets = [np.frombuffer(x, np.uint64) for b in held for x in b.column("shingles").to_pylist()] if as_links else []
+        joined = np.unique(comp, return_inverse=True)[1]
         new = (begins[1:] != begins[:-1]).any(axis=1)
         for x in (tree, i_of, j_of):
             new |= x[1:] != x[:-1]
@@ -140,24 +165,26 @@ def compared(rows: DataFrame, percent: int, slack: float, as_pairs: bool) -> Dat
             i = i[group[i] == group[i + away]]  # a row without one at this distance has none further away
             if not len(i):
                 break
-            x = i[(comp[i] != comp[i + away]) & (within[i] | (own[i] != own[i + away]))]
+            x = i[(joined[i] != joined[i + away]) & (within[i] | (own[i] != own[i + away]))]
             x = x[100 * np.minimum(size[x], size[x + away]) >= percent * np.maximum(size[x], size[x + away])]
             for first in range(0, len(x), 20_000):
                 y = x[first : first + 20_000]
                 like = ((sign[y] == sign[y + away]).mean(axis=1) * 256 - 1) / 255
                 y = y[like >= least]
-                some[y] = some[y + away] = True
-                if as_pairs and len(y):
-                    a, b = node[y], node[y + away]
+                y = y[(places[y] == places[y + away]).all(axis=2).argmax(axis=1) == nth[y]]
+                if not as_links:
+                    some[y] = some[y + away] = True
+                elif links := _linking(y, away, sets, joined, percent):
+                    a, b = node[links], node[np.array(links) + away]
                     yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-        if not as_pairs:
+        if not as_links:
             at = 0
             for b in held:
                 found = pa.array(some[at : at + b.num_rows])
                 at += b.num_rows
                 yield b.select(kept).filter(found)
 
-    if as_pairs:
+    if as_links:
         return dealt.mapInArrow(run, "a long, b long").distinct()
     return dealt.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in kept)).distinct()
 
@@ -167,12 +194,14 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame],
+                      places: Callable[[DataFrame], DataFrame], width: int,
                       percent: int, slack: float, sketch_slack: float, depth: int, prefix: int = 0,
                       of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
     """``node, component`` of nodes that are linked with another; none if no two are.
 
-    ``confirm`` returns those of a written table of pairs ``a, b`` which are links, ``sketch`` the ``node, signature`` of a
-    written table of nodes, longer signatures whose error ``sketch_slack`` allows for, and ``of`` the orders of such nodes.
+    ``confirm`` returns those of a written table of pairs ``a, b`` which are links, ``sketch`` the ``node, signature, shingles`` of a
+    written table of nodes, longer signatures whose error ``sketch_slack`` allows for and sorted sets, and ``of`` the orders of such nodes.
+    ``places`` adds ``nth, places`` to rows of orders: equal ``width`` bytes at one place stand for one tree and region.
     First, all nodes are sorted and the best candidates of each confirmed. Then nodes in crowded regions are sorted
     again, to look past what they are linked with, and again the best confirmed. These two rounds only join most of what
     belongs together; then all of each crowded region are compared that are still apart, which leaves nothing out.
@@ -194,14 +223,13 @@ def linked_components(orders: DataFrame, confirm: Callable[[DataFrame], DataFram
         pairs = best_of(more.join(small_or_shuffled(pairs), ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             labels = _joined(written(confirm(pairs), "links"), labels)
-    rows = _known(of(crowd), labels).select(
-        "node", "size", "component", "tree", F.expr(f"substring(label, 1, {prefix})").alias("region"), F.col("label").alias("signature"))
-    rows = numbers(compared(rows, percent, slack, False), "alike")
+    rows = places(_known(of(crowd), labels)).select(
+        "node", "size", "component", "tree", F.expr(f"substring(label, 1, {prefix})").alias("region"), "nth", "places", F.col("label").alias("signature"))
+    rows = numbers(compared(rows, percent, slack, width, False), "alike")
     if rows.isEmpty():
         return labels
     sketches = written(sketch(numbers(rows.select("node").distinct(), "sketched")), "sketches")
-    pairs = numbers(compared(rows.join(sketches, "node"), percent, sketch_slack, True), "pairs")
-    return labels if pairs.isEmpty() else _joined(written(confirm(pairs), "links"), labels)
+    return _joined(written(compared(rows.join(sketches, "node"), percent, sketch_slack, width, True), "links"), labels)
 
 
 def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame | None:

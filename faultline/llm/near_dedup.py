@@ -11,9 +11,9 @@
 3. Each node's best candidates are confirmed on full sets. Components are found; the nodes that had any
    like neighbour are sorted again, once, to find neighbours in other components further away.
 4. Nodes of a crowded region that are still apart are compared with all others of it, by signature and
-   then by a sketch of ``SKETCH`` bytes of those that have a partner.
+   then by a sketch of ``SKETCH`` bytes and the full set of those that have a partner.
 
-Pairs are linear in nodes in rounds of neighbours: a group of copies costs its size, not its square.
+Pairs are linear in nodes: a group of copies costs its size, not its square.
 
 Defined results: null and wordless texts have an empty set and are linked with nothing; a text of
 fewer words than a shingle is one shingle; rows that repeat id and text are one document and stay
@@ -108,11 +108,11 @@ def shingled(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame
 
 
 def _sets_of(ends: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, shingle: int, sketched: bool) -> DataFrame:
-    """``node, shingles`` of the ``ends``, or ``node, signature`` with their sketches, from one text of each."""
+    """``node, shingles`` of the ``ends``, or ``node, signature, shingles`` with their sketches, from one text of each."""
     wanted = written(ends.join(nodes.select("node", "digest", "fingerprint"), "node"), "wanted")
     near = docs.select(F.xxhash64(doc_id, text).alias("fingerprint"), F.col(text).alias("text")).join(
         small_or_shuffled(wanted.select("fingerprint").distinct()), "fingerprint", "left_semi").select("text")
-    name, kind = ("signature", "binary") if sketched else ("shingles", "array<long>")
+    names, kinds = ("signature, shingles", "signature binary, shingles binary") if sketched else ("shingles", "shingles array<long>")
 
     def run(batches):
         seen: set[bytes] = set()
@@ -126,13 +126,15 @@ def _sets_of(ends: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_
                 sets = [h[begin[i] : begin[i + 1]] for i in new]
                 if sketched:
                     own = np.append(0, np.cumsum([len(x) for x in sets]))
-                    values = pa.array([x.tobytes() for x in signatures(np.concatenate(sets), own, LONG)], pa.binary())
+                    values = [pa.array([x.tobytes() for x in signatures(np.concatenate(sets), own, LONG)], pa.binary()),
+                              pa.array([x.tobytes() for x in sets], pa.binary())]
                 else:
-                    values = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-                yield pa.record_batch([pa.array([digests[i] for i in new], pa.binary()), values], ["digest", name])
+                    values = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
+                yield pa.record_batch([pa.array([digests[i] for i in new], pa.binary()), *values], ["digest", *names.split(", ")])
 
-    made = near.mapInArrow(run, f"digest binary, {name} {kind}").join(small_or_shuffled(wanted.select("node", "digest")), "digest")
-    return made.select("node", name).dropDuplicates(["node"]) if sketched else made.select("node", name)
+    made = near.mapInArrow(run, f"digest binary, {kinds}").join(small_or_shuffled(wanted.select("node", "digest")), "digest")
+    made = made.select("node", *names.split(", "))
+    return made.dropDuplicates(["node"]) if sketched else made
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str, shingle: int, percent: int) -> DataFrame:
@@ -158,7 +160,9 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     of = lambda some: in_trees(written(nodes.select("node", "size", "signature").join(small_or_shuffled(some), "node", "left_semi"), "again"))
     confirm = lambda pairs: confirmed(pairs, nodes, docs, text, doc_id, shingle, percent)
     sketch = lambda ends: _sets_of(ends, nodes, docs, text, doc_id, shingle, True)
-    labels = linked_components(in_trees(nodes), confirm, sketch, percent, SLACK, SKETCH_SLACK, DEPTH, REGION, of)
+    begins = ", ".join(f"substring(label, pmod({t} - tree, {TREES}) * {DEPTH} + 1, {REGION})" for t in range(TREES))
+    places = lambda rows: rows.withColumn("nth", F.col("tree")).withColumn("places", F.expr(f"concat({begins})"))
+    labels = linked_components(in_trees(nodes), confirm, sketch, places, REGION, percent, SLACK, SKETCH_SLACK, DEPTH, REGION, of)
     classes = nodes.select("digest", "node", "first_id")
     if labels is not None:
         classes = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

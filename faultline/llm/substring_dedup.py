@@ -174,12 +174,12 @@ def _colons(fields: str) -> str:
 
 
 def _sets_of(ends: DataFrame, lines: DataFrame, docs: DataFrame, text: str, doc_id: str, minimum: int, sketched: bool) -> DataFrame:
-    """``node, shingles`` of the paragraphs ``ends``, or ``node, signature`` with their sketches, from one text of each."""
+    """``node, shingles`` of the paragraphs ``ends``, or ``node, signature, shingles`` with their sketches, from one text of each."""
     wanted = written(lines.select("node", "fingerprint").join(ends, "node").groupBy("node").agg(
         F.min("fingerprint").alias("fingerprint")), "wanted")
     near = docs.select(F.xxhash64(doc_id, text).alias("fingerprint"), F.col(text).alias("text")).join(
         small_or_shuffled(wanted.select("fingerprint").distinct()), "fingerprint", "left_semi").select("text")
-    name, kind = ("signature", "binary") if sketched else ("shingles", "array<long>")
+    names, kinds = ("signature, shingles", "signature binary, shingles binary") if sketched else ("shingles", "shingles array<long>")
 
     def run(batches):
         seen: set[int] = set()
@@ -194,12 +194,13 @@ def _sets_of(ends: DataFrame, lines: DataFrame, docs: DataFrame, text: str, doc_
                 sets = [h[begin[i] : begin[i + 1]] for i in new]
                 if sketched:
                     own = np.append(0, np.cumsum([len(x) for x in sets]))
-                    values = pa.array([x.tobytes() for x in signatures(np.concatenate(sets), own, LONG)], pa.binary())
+                    values = [pa.array([x.tobytes() for x in signatures(np.concatenate(sets), own, LONG)], pa.binary()),
+                              pa.array([np.unique(x).tobytes() for x in sets], pa.binary())]
                 else:
-                    values = pa.array([np.unique(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-                yield pa.record_batch([pa.array([nodes[i] for i in new], pa.int64()), values], ["node", name])
+                    values = [pa.array([np.unique(x).view(np.int64) for x in sets], pa.list_(pa.int64()))]
+                yield pa.record_batch([pa.array([nodes[i] for i in new], pa.int64()), *values], ["node", *names.split(", ")])
 
-    made = near.mapInArrow(run, f"node long, {name} {kind}").join(small_or_shuffled(wanted.select("node")), "node")
+    made = near.mapInArrow(run, f"node long, {kinds}").join(small_or_shuffled(wanted.select("node")), "node")
     return made.dropDuplicates(["node"]) if sketched else made
 
 
@@ -220,13 +221,17 @@ def _clusters(lines: DataFrame, docs: DataFrame, text: str, doc_id: str, minimum
     shared = written(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "bands")
     found = written(keyed.join(small_or_shuffled(shared, KEYS), "key").distinct(), "collisions")
     turned = F.expr(f"concat(substring(signature, pmod(key, {hashes}) + 1, {hashes}), substring(signature, 1, pmod(key, {hashes})))")
-    known = written(lines.select("node", "signature").join(small_or_shuffled(written(
-        found.select("node").distinct(), "colliding"), KEYS), "node").groupBy("node").agg(F.min("signature").alias("signature")), "known")
-    members = found.join(small_or_shuffled(known), "node").select(
+    known = written(lines.select("node", "signature", "bands").join(small_or_shuffled(written(
+        found.select("node").distinct(), "colliding"), KEYS), "node").groupBy("node").agg(
+        F.min("signature").alias("signature"), F.min("bands").alias("bands")), "known")
+    members = found.join(small_or_shuffled(known.select("node", "signature")), "node").select(
         "node", F.lit(1).alias("size"), F.col("key").alias("tree"), turned.alias("label"))
     confirm = lambda pairs: _confirmed(pairs, lines, docs, text, doc_id, minimum, percent)
     sketch = lambda ends: _sets_of(ends, lines, docs, text, doc_id, minimum, True)
-    return linked_components(members, confirm, sketch, percent, SLACK, SKETCH_SLACK, hashes)
+    keys = F.unhex(F.array_join(F.transform("bands", lambda k: F.lpad(F.hex(k), 16, "0")), ""))
+    places = lambda rows: rows.join(small_or_shuffled(known.select("node", "bands")), "node").withColumn(
+        "nth", F.expr("cast(array_position(bands, tree) - 1 as int)")).withColumn("places", keys)
+    return linked_components(members, confirm, sketch, places, 8, percent, SLACK, SKETCH_SLACK, hashes)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", minimum: int = MINIMUM,

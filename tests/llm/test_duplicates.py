@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from faultline.llm import linking, near_dedup, substring_dedup
 from faultline.llm.common import table
 from faultline.llm.components import components
@@ -128,6 +130,21 @@ def test_crowds_of_many_blocks(docs_of, monkeypatch):
     assert {r.doc_id: r.kept_doc_id for r in spans} == {i: c for i, c in want.items() if c != i}
 
 
+def test_a_crowd_of_copies_gives_fewer_links_than_rows(spark):
+    """600 sets that are linked with each other and share all places: links join components, no pair is returned twice."""
+    rng = random.Random(10)
+    words = sorted(rng.sample(range(10**9), 60))
+    sets = [sorted(rng.sample(words, 59)) for _ in range(600)] + [sorted(rng.sample(range(10**9), 59)) for _ in range(5)]
+    rows = [(i, 59, i, tree, b"ab", tree, b"ab" * 3, bytes(64), np.array(s, np.uint64).tobytes()) for i, s in enumerate(sets) for tree in range(3)]
+    table = spark.createDataFrame(rows, "node long, size long, component long, tree int, region binary, nth int, places binary, "
+                                        "signature binary, shingles binary")
+    links = [(r.a, r.b) for r in linking.compared(table, 80, 0.1, 2, True).collect()]
+    assert len(links) == 599 and max(b for _, b in links) < 600
+    assert set(brute.components(links).values()) == {0}
+    some = linking.compared(table.drop("shingles"), 80, 0.1, 2, False).collect()
+    assert sorted((r.node, r.tree) for r in some) == [(i, 0) for i in range(605)]  # compared in the first place only
+
+
 def test_clean_documents_stay(spark):
     docs = table(spark, SF, "documents")
     cut = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
