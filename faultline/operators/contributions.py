@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import nonblank
-from faultline.operators.facts import dedupe_keep_best, fingerprint_match, log_facts
+from faultline.operators.facts import distinct_facts, fingerprint_match
 from faultline.sources.json_text import get_text
 from faultline.sources.knowledge import PACKAGE_FILES, Packages
 
@@ -23,9 +23,8 @@ PACKAGE_TYPES = {
 
 
 def log_fact_table(evidence: DataFrame, order: list[Column], text: str = "text") -> DataFrame:
-    """Distinct facts of all evidence, the best spelling of each."""
-    return dedupe_keep_best(
-        log_facts(evidence, text), ["type", "key", "value"], [F.col("pattern_no"), *order, F.col("match_no")])
+    """Distinct facts of all evidence, the best spelling of each; a written table."""
+    return distinct_facts(evidence, order, text)
 
 
 def log_contributions(evidence: DataFrame, facts: DataFrame, prints: DataFrame, text: str = "text") -> DataFrame:

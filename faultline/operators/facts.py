@@ -79,62 +79,130 @@ def is_application_namespace(value: Column) -> Column:
     return ~foreign
 
 
-def _clean_value(key: str, value: Column) -> Column:
+# Patterns with the same matches as those of the same place, which are found with less work: \w for its ranges, the first letter
+# before the look back for a word's begin, and nothing is given back where a shorter run cannot match either.
+FACT_SEARCH = {
+    2: r"\b((?!\d)\w+DbContext)\b",
+    3: r"(?i)([sued](?<=\b.)(?:(?<=s)p|(?<=u)sp|(?<=e)o|(?<=d)bo)\w+)\b",
+    4: r"(?i)\b(?:EXEC(?:UTE)?\s+)?((?!\d)\w++\.(?!\d)\w++|(?!\d)\w{4,}+)\s++@",
+    5: r"(?i)\b([\w.]+Exception)\b",
+    6: r"(?i)C(?<=\b.)lientConnectionId\s*:\s*([0-9a-fA-F-]{36})",
+    7: r"(?i)C(?<=\b.)orrelation(?:Id|[ -]ID)\s*[:=]\s*([\w.:-]+)",
+    8: r"(?i)E(?<=\b.)rror Number\s*:\s*(-?\d+)",
+    9: r"(?i)C(?<=\b.)ommandTimeout\s*=\s*'?(\d+)'?",
+    10: r"""(?i)F(?<=\b.)ailed executing DbCommand\s*\("([\d,]+)"ms\)""",
+    11: r"""(?i)h(?<=\b.)ttps?://[^\s"'<>()]+""",
+    12: r"(?i)(/api/[\w./{}-]+)",
+    13: r"(?i)H(?<=\b.)TTP\s*(?:Status)?\s*[:=]?\s*([1-5]\d{2})\b",
+    14: r"\b((?!\d)\w++(?:\.(?!\d)\w++){2,})\b",
+}
+# Keys whose value is all that is quoted as evidence, and never holds white space.
+BARE_KEYS = ["DbContext", "DatabaseOperation", "Exception", "Url", "ApiPath", "Namespace"]
+
+
+def _bare_value(key: str, value: Column) -> Column:
     """Value as stored; null drops the match."""
-    v = strip(value)
     if key == "DatabaseOperation":
-        return F.when(~is_sql_keyword(v), v)
+        return F.when(~is_sql_keyword(value), value)
     if key == "Namespace":
-        return F.when(is_application_namespace(v), v)
-    if key == "DbCommandDurationMs":
-        return F.replace(v, F.lit(","), F.lit("")).try_cast("bigint").cast("string")
-    return v
+        return F.when(is_application_namespace(value), value)
+    return value
 
 
-def _fact(no: int, kind: str, key: str, score: int, hint: bool, tags: list[str], place, value, evidence) -> Column:
-    return F.struct(
-        F.lit(no).alias("pattern_no"), place.alias("match_no"), F.lit(kind).alias("type"), F.lit(key).alias("key"),
-        value.alias("value"), F.lit(score).alias("confidence_score"), evidence.alias("evidence"),
-        F.lit(hint).alias("is_identity_hint"), F.array(*[F.lit(t) for t in tags]).alias("tags"))
+def _found(evidence: DataFrame, text: str) -> DataFrame:
+    """Input columns other than the text, and ``pattern_no, match_no, value, evidence`` of every fact.
 
-
-def log_facts(evidence: DataFrame, text: str = "text") -> DataFrame:
-    """Every fact of every text: input columns other than the text, plus the fact.
-
-    All patterns run in one projection; nothing is shuffled.
+    All patterns run in one projection; nothing is shuffled. What a pattern fixes is not carried along.
     """
     t, low = F.col("_text"), F.col("_low")
 
     def holds(words: list[str]) -> Column:
         return reduce(or_, [F.contains(low, F.lit(w)) for w in words])
 
-    def matches(no: int, entry: tuple, words: list[str]) -> Column:
-        kind, key, score, hint, tags, pattern, group = entry
-        whole = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        whole = F.when(holds(words), whole).otherwise(F.array().cast("array<string>"))
-
-        def fact(match: Column, i: Column) -> Column:
-            # One scan of the text: the captured part is read from the match itself.
-            value = F.regexp_extract(match, pattern, group) if group else match
-            said = value if key in ("DatabaseOperation", "Namespace") else match
-            return _fact(no, kind, key, score, hint, tags, i, _clean_value(key, value), strip(said))
+    def fact(no: int, place: Column, value: Column, said: Column) -> Column:
+        return F.struct(F.lit(no).alias("pattern_no"), place.alias("match_no"), value.alias("value"), said.alias("evidence"))
 
-        return F.transform(whole, fact)
+    def matches(no: int, entry: tuple) -> Column:
+        _, key, _, _, _, pattern, group = entry
+        pattern = FACT_SEARCH.get(no, pattern)
+        if key in BARE_KEYS:
+            found = F.transform(
+                F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), lambda v, i: fact(no, i, _bare_value(key, v), v))
+            return F.filter(found, lambda f: f["value"].isNotNull()) if key in ("DatabaseOperation", "Namespace") else found
 
-    arrays = [matches(no, entry, words) for no, (entry, words) in enumerate(zip(FACT_PATTERNS, FACT_NEEDLES, strict=True))]
-    for no, ((kind, key, score, tags, pattern, value, said), words) in enumerate(zip(FACT_PROBES, PROBE_NEEDLES, strict=True), len(FACT_PATTERNS)):
-        one = _fact(no, kind, key, score, False, tags, F.lit(0), F.lit(value), F.lit(said))
-        arrays.append(F.when(holds(words) & t.rlike(pattern), F.array(one)).otherwise(F.array().cast(FACT_ARRAY)))
+        def read(match: Column, i: Column) -> Column:
+            # One scan of the text: the captured part is read from the match itself.
+            value = strip(F.regexp_extract(match, pattern, group))
+            if key == "DbCommandDurationMs":
+                value = F.replace(value, F.lit(","), F.lit("")).try_cast("bigint").cast("string")
+            return fact(no, i, value, strip(match))
+
+        return F.filter(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), read), lambda f: nonblank(f["value"]))
+
+    none = F.array().cast(FOUND_ARRAY)
+    arrays = [F.when(holds(words), matches(no, entry).cast(FOUND_ARRAY)).otherwise(none)
+              for no, (entry, words) in enumerate(zip(FACT_PATTERNS, FACT_NEEDLES, strict=True))]
+    for no, ((_, _, _, _, pattern, value, said), words) in enumerate(zip(FACT_PROBES, PROBE_NEEDLES, strict=True), len(FACT_PATTERNS)):
+        one = F.array(fact(no, F.lit(0), F.lit(value), F.lit(said))).cast(FOUND_ARRAY)
+        arrays.append(F.when(holds(words) & t.rlike(pattern), one).otherwise(none))
     keep = [c for c in evidence.columns if c != text]
-    found = F.filter(F.flatten(F.array(*[a.cast(FACT_ARRAY) for a in arrays])), lambda f: nonblank(f["value"]))
     prepared = evidence.filter(nonblank(F.col(text))).select(
         *keep, F.col(text).alias("_text"), F.lower(text).alias("_low"))
-    return prepared.select(*keep, F.inline(found))
+    return prepared.select(*keep, F.inline(F.flatten(F.array(*arrays))))
+
+
+FOUND_ARRAY = "array<struct<pattern_no:int,match_no:int,value:string,evidence:string>>"
+# What each pattern and probe fixes: type, key, score, identity hint, tags.
+_FIXED = [(kind, key, score, hint, tags) for kind, key, score, hint, tags, *_ in FACT_PATTERNS]
+_FIXED += [(kind, key, score, False, tags) for kind, key, score, tags, *_ in FACT_PROBES]
+
+
+def _by_pattern(values: list[Column]) -> Column:
+    return F.element_at(F.array(*values), F.col("pattern_no") + 1)
 
 
-FACT_ARRAY = (
-    "array<struct<pattern_no:int,match_no:int,type:string,key:string,value:string,confidence_score:int,"
-    "evidence:string,is_identity_hint:boolean,tags:array<string>>>")
+def _named(found: DataFrame) -> DataFrame:
+    """Rows of ``_found`` with all columns of a fact."""
+    kind, key, score, hint, tags = (
+        _by_pattern([F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for v in column]) for column in zip(*_FIXED, strict=True))
+    keep = found.columns[:-4]
+    return found.select(
+        *keep, "pattern_no", "match_no", kind.alias("type"), key.alias("key"), "value", score.alias("confidence_score"), "evidence",
+        hint.alias("is_identity_hint"), tags.alias("tags"))
+
+
+def log_facts(evidence: DataFrame, text: str = "text") -> DataFrame:
+    """Every fact of every text: input columns other than the text, plus the fact."""
+    return _named(_found(evidence, text))
+
+
+#: So many groups of a task are kept in memory before the rest of its rows is sorted; some 50 MB.
+GROUPS_IN_MEMORY = 65_536
+
+
+def distinct_facts(evidence: DataFrame, order: list[Column], text: str = "text") -> DataFrame:
+    """``dedupe_keep_best`` of ``log_facts`` by type, key and value, ordered by pattern, ``order`` and match; a written table.
+
+    There are far more facts than distinct ones. Each task keeps the best of a group in a hash map, and sorts by hash and only
+    beyond ``GROUPS_IN_MEMORY`` groups; rows carry no columns that their pattern fixes.
+    """
+    names = [(kind.lower(), key.lower()) for kind, key, *_ in _FIXED]
+    group = _by_pattern([F.lit(names.index(n)) for n in names])
+    score = _by_pattern([F.lit(s) for _, _, s, _, _ in _FIXED])
+    rows = _found(evidence, text)
+    low = F.lower("value")
+    first = F.struct((-score).alias("s"), F.col("pattern_no"), *order, F.col("match_no"))
+    # With min_by alone Spark would always sort; an aggregate of objects that is used lets it hash.
+    best = rows.groupBy(F.xxhash64(group, low).alias("_h"), group.alias("_g"), low.alias("_k")).agg(
+        F.min_by(F.struct(*rows.columns), first).alias("_best"), F.collect_set(F.lit(True)).alias("_any")).where(
+        F.size("_any") > 0).select("_best.*")
+    spark, setting = evidence.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, GROUPS_IN_MEMORY)
+    try:
+        return staged(_named(best), "distinct_facts")
+    finally:
+        spark.conf.set(setting, before)
 
 
 def dedupe_keep_best(rows: DataFrame, keys: list[str], order: list[Column], score: str = "confidence_score") -> DataFrame:

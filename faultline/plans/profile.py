@@ -15,6 +15,6 @@ def build_profile(
     hint: str = "", text: str = "text",
 ) -> Profile:
     """Facts are extracted once and shared by identity and technical statements."""
-    facts = staged(log_fact_table(evidence, order, text), "facts")
+    facts = log_fact_table(evidence, order, text)
     discovery = staged(log_contributions(evidence, facts, fingerprints(packages), text), "log_contributions")
     return application_profile(discovery, catalog_contributions(packages), packages.metadata, enrichment, hint)
