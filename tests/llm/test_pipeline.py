@@ -3,6 +3,7 @@
 import zlib
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
@@ -83,3 +84,22 @@ def test_registered():
     names = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k in QUERIES} and "pipeline" in names
     assert zlib.crc32(b"1") % 5 == 3
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    docs = spark.createDataFrame([(1, "a b c", 5)], "doc_id long, text string, n_chars int")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES[1:3]:
+            spark.conf.unset(setting)
+            stage(spark, docs, SF)
+            got = spark.range(0, 3 * corpus_pipeline.BATCH_ROWS, 1, 1).mapInArrow(sizes, "n long").collect()
+            assert max(r.n for r in got) <= corpus_pipeline.BATCH_ROWS
+    finally:
+        spark.conf.set(setting, before)
