@@ -12,8 +12,11 @@ whether or not stamps follow line order:
 2. Within a task the rows of a set's equal values are a run in line order. An entry walks to both sides until it
    has ``limit`` lines in the band; stretches whose earliest and latest stamp lie outside the band are stepped over.
    Sets go by falling points and end for an entry that has ``limit`` partners of more points.
-3. Where a bin goes on in other blocks, an entry that ran out of lines on a side is sent to the next block on that side
-   which has the same values in that bin, until it has ``limit`` lines or no block is left. Each such step finds
+3. Where a bin goes on in other blocks, an entry that ran out of lines on a side asks for lines beyond its block, unless its
+   ``limit`` best so far outdo all that can be there. If a field of the set has a value of few rows in the bin, it
+   asks in a unit of all rows of that value, once for all blocks; rows are copied once for such a field, not for each set.
+4. Sets of frequent values only are asked for in the next block on that side which has the same values in that bin,
+   until the entry has ``limit`` lines or no block is left. Each such step finds
    the block by an equality join with the list of (values, block), so no pair of blocks without equal values meets.
 
 Entries are told apart by (source, line); values are compared by 64-bit hashes, within one bin of one source.
@@ -118,15 +121,18 @@ def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         yield table, numbered(table)
 
 
-_OUT = "kind string, source string, bin long, blk long, line long, t long, other long, other_t long, score int, s int, key long, side int, need int"
+_OUT = "kind string, source string, bin long, blk long, place long, line long, t long, other long, other_t long, score int, s int, key long, side int, need int, field int"
 
 
-def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: int, skip: int) -> DataFrame:
+def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: int, skip: int, whole: bool = False) -> DataFrame:
     """Walks of all asking ``rows``, in whole units.
 
-    Rows have ``source, bin, blk, line, t``, the fields, ``member`` (may be found), ``asks`` (on every set: -1; on one: its
-    number; not at all: -2), ``need``, and ``before`` and ``after``: whether blocks on that side are to be looked at.
-    Returns rows of three kinds: ``pair``; ``open``, a set and side which lack ``need`` lines; and ``key``, the values found in
+    Rows have ``source, bin, blk, place`` (their order), ``line, t``, the fields, ``member`` (may be found), ``asks`` (on every set: -1;
+    on one: its number; not at all: -2), ``need``, and ``before`` and ``after``: whether blocks on that side are to be looked at.
+    With ``whole`` units hold all rows that can be found, so that nothing is looked for in others.
+    Rows with -3 for ``asks`` only tell that ``t`` is a frequent value of field number ``line`` in their bin.
+    Returns rows of four kinds: ``pair``; ``open``, a set of frequent values and a side which lack ``need`` lines; ``ask``, the same for
+    a set whose ``field`` has a rarer value, with the ``place`` where the block ends; and ``key``, the frequent values found in
     a unit that other blocks share a bin with.
     """
     schema = _OUT + "".join(f", {f} long" for f in names)
@@ -134,11 +140,21 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
     def run(batches):
         for table, unit in _whole_units(batches):
             column = lambda c: table.column(c).to_numpy()
+            tells = column("asks") == -3
+            often = [(i, _mix(unit[own].astype(U) + U(1)) ^ column("t")[own].view(U)) for i in range(len(names)) if len(
+                own := np.flatnonzero(tells & (column("line") == i)))]
+            if tells.any():
+                table, unit = table.filter(pa.array(~tells)).combine_chunks(), unit[~tells]
+            if not len(unit):
+                continue
             line, t, member, asks, need = (column(c) for c in ("line", "t", "member", "asks", "need"))
             sides = {-1: column("before"), 1: column("after")}
             value = np.stack([column(f) for f in names]).view(U)
             source, bins, blk = table.column("source").combine_chunks(), column("bin"), column("blk")
             salt = _mix(unit.astype(U) + U(1))
+            frequent = np.zeros(len(line), np.int64)  # a bit for each field
+            for i, codes in often:
+                frequent |= np.isin(value[i] ^ salt, codes).astype(np.int64) << i
             partners = np.zeros(len(line), np.int64)  # of points that are not under those of the last sets
             alive = asks >= -1
             full = asks == -1
@@ -158,8 +174,38 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
                         "blk": pa.array(blk[at]), **{c: pa.array(v) for c, v in more.items()}}
                 return pa.record_batch([have[c] if c in have else pa.nulls(len(at), k) for c, k in kinds], [c for c, _ in kinds])
 
-            kinds = [("kind", pa.string()), ("source", pa.string()), *[(c, pa.int64()) for c in ("bin", "blk", "line", "t", "other", "other_t")],
-                     ("score", pa.int32()), ("s", pa.int32()), ("key", pa.int64()), ("side", pa.int32()), ("need", pa.int32()),
+            def beyond(x, y, worth):
+                """Rows for the lines that ``still`` lacks, as far as they can be among the best: ``x, y, worth`` are the best within the unit."""
+                far = np.abs(line[x] - line[y])
+                last = np.flatnonzero(np.append(x[1:] != x[:-1], True)) if len(x) else x
+                last = last[np.bincount(x[far > 0], minlength=len(line))[x[last]] >= limit]
+                least, reach = np.full(len(line), -1, np.int64), np.zeros(len(line), np.int64)
+                least[x[last]], reach[x[last]] = worth[last], far[last]
+                begins = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+                run = np.cumsum(np.append(0, unit[1:] != unit[:-1]))
+                edge = {-1: line[begins][run], 1: line[np.append(begins[1:], len(line)) - 1][run]}
+                rarest = sorted(range(len(names)), key=lambda i: -len(np.unique(value[i])))
+                for number, side, w, key, lacks in still:
+                    points, fields, _ = sets[number]
+                    all_of = sum(1 << i for i in fields)
+                    first = full[w]
+                    can = ~first | (least[w] < points) | ((least[w] == points) & (np.abs(edge[side][w] - line[w]) < reach[w]))
+                    w, key, lacks, first = w[can], key[can], lacks[can], first[can]
+                    step = ~first | (frequent[w] & all_of == all_of)
+                    common = lambda at: dict(line=line[at], t=t[at], s=np.full(len(at), number, np.int32), side=np.full(len(at), side, np.int32),
+                                             **{f: value[i, at].view(np.int64) for i, f in enumerate(names)})
+                    if step.any():
+                        yield rowed("open", w[step], key=key[step].view(np.int64), need=lacks[step].astype(np.int32), **common(w[step]))
+                    if not step.all():
+                        at = w[~step]
+                        field = np.full(len(at), -1, np.int32)
+                        for i in rarest:
+                            if i in fields:
+                                field[(field < 0) & (frequent[at] >> i & 1 == 0)] = i
+                        yield rowed("ask", at, place=2 * edge[side][at] + side, need=lacks[~step].astype(np.int32), field=field, **common(at))
+
+            kinds = [("kind", pa.string()), ("source", pa.string()), *[(c, pa.int64()) for c in ("bin", "blk", "place", "line", "t", "other", "other_t")],
+                     ("score", pa.int32()), ("s", pa.int32()), ("key", pa.int64()), ("side", pa.int32()), ("need", pa.int32()), ("field", pa.int32()),
                      *[(f, pa.int64()) for f in names]]
             for number, (points, fields, differ) in enumerate(sets):
                 if points != score:
@@ -185,7 +231,8 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
                 run_start = ahead[begin]
                 run_end = np.append(run_start[1:], has.sum())
                 listed = at[has]
-                heads = begin[several[at[begin]]]
+                all_of = sum(1 << i for i in fields)
+                heads = begin[several[at[begin]] & (frequent[at[begin]] & all_of == all_of)]
                 if len(heads):
                     known.append(rowed("key", at[heads], key=key[heads].view(np.int64)))
                 q = np.flatnonzero(asking[at])
@@ -210,22 +257,20 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
                     if held > HELD:
                         found = [best(found)]
                         held = len(found[0][0])
-                    short = np.flatnonzero((got < need[r]) & goes_on[r])
+                    short = np.flatnonzero((got < need[r]) & goes_on[r] & (not whole))
                     if len(short):
-                        w = r[short]
-                        still.append(rowed("open", w, line=line[w], t=t[w], s=np.full(len(w), number, np.int32), key=key[p[short]].view(np.int64),
-                                           side=np.full(len(w), side, np.int32), need=(need[w] - got[short]).astype(np.int32),
-                                           **{f: value[i, w].view(np.int64) for i, f in enumerate(names)}))
-            yield from still
+                        still.append((number, side, r[short], key[p[short]], need[r[short]] - got[short]))
             yield from known
-            if found:
-                x, y, worth = best(found)
-                far = np.abs(line[x] - line[y]) > skip
-                x, y, worth = x[far], y[far], worth[far]
+            none = np.empty(0, np.int64)
+            x, y, worth = best(found) if found else (none, none, none)
+            yield from beyond(x, y, worth)
+            far = np.abs(line[x] - line[y]) > skip
+            x, y, worth = x[far], y[far], worth[far]
+            if len(x):
                 yield rowed("pair", x, line=line[x], t=t[x], other=line[y], other_t=t[y], score=worth)
 
     unit = ["source", "bin", "blk"]
-    return rows.repartition(*unit).sortWithinPartitions(*unit, "line").mapInArrow(run, schema)
+    return rows.repartition(*unit).sortWithinPartitions(*unit, "place").mapInArrow(run, schema)
 
 
 def far_pairs(keys: DataFrame, points: dict[str, int], cap: int, seconds: int, limit: int, skip: int, block: int) -> DataFrame:
@@ -241,23 +286,41 @@ def far_pairs(keys: DataFrame, points: dict[str, int], cap: int, seconds: int, l
     one = F.count(F.lit(1)).alias("n")
     occupied = staged(base.select("source", F.col("own").alias("bin")).distinct(), "band_bins")  # the others have nobody who asks
     crowded = staged(base.groupBy("source", "own").agg(one).select("source", around, "n").groupBy("source", "bin").agg(F.sum("n").alias("n")).where(
-        F.col("n") > block).select("source", "bin"), "band_crowded")
+        F.col("n") > block).select("source", "bin", F.col("n").alias("rows")), "band_crowded")
     spread = base.select("source", "line", "t", "own", "cell", *names, around).join(occupied, ["source", "bin"], "left_semi")
     whole = Window.partitionBy("source", "bin")
     earlier = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cut = F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / F.lit(block)).alias("blk")
-    units = staged(spread.select("source", "bin", "cell").join(crowded, ["source", "bin"]).groupBy("source", "bin", "cell").agg(one).select(
+    units = staged(spread.select("source", "bin", "cell").join(crowded, ["source", "bin"], "left_semi").groupBy("source", "bin", "cell").agg(one).select(
         "source", "bin", "cell", cut).withColumns({"before": F.col("blk") > F.min("blk").over(whole), "after": F.col("blk") < F.max("blk").over(whole)}), "band_units")
-    no = F.lit(False)
+    # A value is frequent if it fills a unit, or most blocks have enough rows of it.
+    often = F.least(F.lit(block), F.greatest(F.lit(block // CELLS), 2 * limit * F.ceil(F.col("rows") / F.lit(block))))
+    valued = lambda rows, fields: rows.withColumn("one", F.explode(F.array(
+        *[F.struct(F.lit(i).alias("field"), F.col(names[i]).alias("value")) for i in fields]))).select(*rows.columns, "one.*").where("value <> 0")
+    frequent = staged(valued(spread.join(crowded, ["source", "bin"]).select("source", "bin", "rows", *names), range(len(names))).groupBy(
+        "source", "bin", "rows", "field", "value").agg(one).where(F.col("n") > often).select("source", "bin", "field", "value"), "band_frequent")
+    no, place = F.lit(False), (2 * F.col("line")).alias("place")
     members = spread.join(units, ["source", "bin", "cell"], "left").select(
-        "source", "bin", F.coalesce("blk", F.lit(0)).alias("blk"), "line", "t", "own", *names, F.coalesce("before", no).alias("before"), F.coalesce("after", no).alias("after"))
+        "source", "bin", F.coalesce("blk", F.lit(0)).alias("blk"), place, "line", "t", "own", *names, F.coalesce("before", no).alias("before"), F.coalesce("after", no).alias("after"))
+    told = frequent.join(units.select("source", "bin", "blk").distinct(), ["source", "bin"]).select(
+        "source", "bin", "blk", F.lit(0).alias("place"), F.col("field").cast("long").alias("line"), F.col("value").alias("t"), *[F.lit(0).alias(f) for f in names],
+        no.alias("member"), F.lit(-3).alias("asks"), F.lit(0).alias("need"), no.alias("before"), no.alias("after"))
     asked = members.select(
-        "source", "bin", "blk", "line", "t", *names, F.lit(True).alias("member"), F.when(F.col("own") == F.col("bin"), -1).otherwise(-2).alias("asks"),
-        F.lit(limit).alias("need"), "before", "after")
-    search = lambda rows, name: staged(_searched(rows, names, sets, band, limit, skip), name)
+        "source", "bin", "blk", "place", "line", "t", *names, F.lit(True).alias("member"), F.when(F.col("own") == F.col("bin"), -1).otherwise(-2).alias("asks"),
+        F.lit(limit).alias("need"), "before", "after").unionByName(told)
+    found_only = [F.lit(True).alias("member"), F.lit(-2).alias("asks"), F.lit(0).alias("need"), no.alias("before"), no.alias("after")]
+    asking = [F.lit(False).alias("member"), F.col("s").alias("asks"), "need", (F.col("side") < 0).alias("before"), (F.col("side") > 0).alias("after")]
+    search = lambda rows, name, whole=False: staged(_searched(rows, names, sets, band, limit, skip, whole), name)
     found = search(asked, "band_found")
     pair = lambda df: df.where("kind = 'pair'").select("source", "line", "other", "other_t", "score")
     pairs = pair(found)
+    asks = found.where("kind = 'ask'")
+    if wanted := sorted(r.field for r in asks.select("field").distinct().collect()):
+        by_value, own_unit = ["source", "bin", "field", "value"], F.xxhash64("field", "value").alias("blk")
+        asks = asks.withColumn("value", F.element_at(F.array(*names), F.col("field") + 1))
+        there = valued(spread.join(crowded, ["source", "bin"], "left_semi").select("source", "bin", "line", "t", *names), wanted).join(
+            asks.select(*by_value).distinct(), by_value, "left_semi").select("source", "bin", own_unit, place, "line", "t", *names, *found_only)
+        pairs = pairs.unionByName(pair(search(there.unionByName(asks.select("source", "bin", own_unit, "place", "line", "t", *names, *asking)), "band_rare", True)))
     same = Window.partitionBy("source", "bin", "key").orderBy("blk")
     links = staged(found.where("kind = 'key'").select(
         "source", "bin", "key", "blk", F.lag("blk").over(same).alias("left"), F.lead("blk").over(same).alias("right")).where(
@@ -265,12 +328,10 @@ def far_pairs(keys: DataFrame, points: dict[str, int], cap: int, seconds: int, l
     while True:
         next_block = F.when(F.col("side") < 0, F.col("left")).otherwise(F.col("right"))
         waiting = staged(found.where("kind = 'open'").join(links, ["source", "bin", "key", "blk"]).withColumn("blk", next_block).where(
-            "blk IS NOT NULL").select("source", "bin", "blk", "line", "t", *names, F.lit(False).alias("member"), F.col("s").alias("asks"), "need",
-                                      (F.col("side") < 0).alias("before"), (F.col("side") > 0).alias("after")), "band_waiting")
+            "blk IS NOT NULL").select("source", "bin", "blk", place, "line", "t", *names, *asking), "band_waiting")
         if waiting.isEmpty():
             return pairs.withColumn("distance", F.abs(F.col("line") - F.col("other")))
         there = members.join(waiting.select("source", "bin", "blk").distinct(), ["source", "bin", "blk"], "left_semi").select(
-            "source", "bin", "blk", "line", "t", *names, F.lit(True).alias("member"), F.lit(-2).alias("asks"), F.lit(0).alias("need"),
-            F.lit(False).alias("before"), F.lit(False).alias("after"))
+            "source", "bin", "blk", "place", "line", "t", *names, *found_only)
         found = search(there.unionByName(waiting), "band_found")
         pairs = pairs.unionByName(pair(found))

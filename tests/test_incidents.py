@@ -135,6 +135,16 @@ def test_candidates_of_two_logs_laid_together(spark):
     check_against_brute(spark, rows + second, block=64)
 
 
+def test_rare_values_of_a_crowded_bin_are_asked_for_once(spark, monkeypatch):
+    """Users with a row in each third block: nothing goes from block to block for them, and all of their rows are found."""
+    from faultline.operators import band_search
+    steps = []
+    monkeypatch.setattr(band_search, "staged", lambda df, name, real=band_search.staged: steps.append(name) or real(df, name))
+    rows = [entry(30 * i, i * 37 % 100, api_path="/a", user_name=f"u{i % 97}", correlation_id="" if i % 3 else f"c{i % 211}") for i in range(700)]
+    check_against_brute(spark, rows, block=32)
+    assert steps.count("band_waiting") <= 3 and steps.count("band_rare") == 1
+
+
 def test_few_rows_of_a_bin_in_many_places_are_one_unit(spark, monkeypatch):
     """Twelve logs of the same seconds laid together: blocks count rows, so nothing goes from block to block."""
     from faultline.operators import band_search
