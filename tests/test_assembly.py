@@ -181,3 +181,11 @@ def test_message_limit(spark):
     assert [len(r.message) for r in evo.normalize_eventviewer(df).collect()] == [600]
     head = lines(spark, "Level\tDate and Time\tSource\tEvent ID\tTask Category", "Error\t1/2/2024 3:04:05 PM\tApp\t7\tNone\t" + "m" * 1000, source="a.txt")
     assert [len(r.message) for r in logs.normalize_entries(head, None).collect()] == [1000]
+
+
+def test_patterns_are_not_repeated_in_the_condition_of_relevant_events(spark):
+    """Each text of a named status is matched where its column is made; the condition reads the columns."""
+    found = asm.normalize_plain(lines(spark, "2024-01-01 00:00:00 ERROR x", "2024-01-01 00:00:01 INFO status: 404", "2024-01-01 00:00:02 INFO y"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(plain.STATUS_WITH_REASON) <= 2 and plan.count(plain.LEVEL_CRITICAL) <= 2
+    assert [(r.line_number, r.severity) for r in found.orderBy("line_number").collect()] == [(1, "Error"), (2, "Error")]
