@@ -67,14 +67,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def walk(times: np.ndarray, first: np.ndarray, last: np.ndarray, step: int, t: np.ndarray, need: np.ndarray, band: int):
+def walk(times: np.ndarray, first: np.ndarray, last: np.ndarray, step: int, t: np.ndarray, need: np.ndarray, band: int,
+         inside: np.ndarray | None = None):
     """Of each asking row, the first ``need`` places from ``first`` to ``last`` whose time is at most ``band`` from ``t``.
 
-    Returns numbers of asking rows, their places, and how many places each row has.
+    ``inside`` tells of rows for which all these places are known to be. Returns numbers of asking rows, their places, and how
+    many places each row has.
     """
     got = np.zeros(len(t), np.int64)
     place = first.copy()
     whom, where = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if inside is not None:
+        got = np.where(inside, np.maximum(0, np.minimum(need, (last - first) * step + 1)), 0)
+        sure = np.repeat(np.arange(len(t)), got)
+        whom.append(sure)
+        where.append(first[sure] + step * (np.arange(len(sure)) - np.repeat(np.cumsum(got) - got, got)))
+        need = np.where(inside, 0, need)
     edges = [(w, np.minimum.reduceat(times, np.arange(0, len(times), w)), np.maximum.reduceat(times, np.arange(0, len(times), w)))
              for w in STRETCHES if len(times) > w]
     q = np.flatnonzero(((last - first) * step >= 0) & (need > 0))
@@ -122,6 +130,7 @@ def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
 
 
 _OUT = "kind string, source string, bin long, blk long, place long, line long, t long, other long, other_t long, score int, s int, key long, side int, need int, field int"
+_PAIR = "source string, line long, other long, other_t long, score int"
 
 
 def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: int, skip: int, whole: bool = False) -> DataFrame:
@@ -129,18 +138,20 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
 
     Rows have ``source, bin, blk, place`` (their order), ``line, t``, the fields, ``member`` (may be found), ``asks`` (on every set: -1;
     on one: its number; not at all: -2), ``need``, and ``before`` and ``after``: whether blocks on that side are to be looked at.
-    With ``whole`` units hold all rows that can be found, so that nothing is looked for in others.
-    Rows with -3 for ``asks`` only tell that ``t`` is a frequent value of field number ``line`` in their bin.
+    With ``whole`` units hold all rows that can be found, so that nothing is looked for in others: only pairs come back, without ``kind``.
+    Rows with -3 for ``asks`` only tell that ``t`` is a frequent value of field number ``line`` in their bin, the only one if ``need`` is 1.
     Returns rows of four kinds: ``pair``; ``open``, a set of frequent values and a side which lack ``need`` lines; ``ask``, the same for
     a set whose ``field`` has a rarer value, with the ``place`` where the block ends; and ``key``, the frequent values found in
     a unit that other blocks share a bin with.
     """
-    schema = _OUT + "".join(f", {f} long" for f in names)
+    schema = _PAIR if whole else _OUT + "".join(f", {f} long" for f in names)
+    cap = max(points for points, _, _ in sets)
 
     def run(batches):
         for table, unit in _whole_units(batches):
             column = lambda c: table.column(c).to_numpy()
             tells = column("asks") == -3
+            sole = {(i, u) for i, u in zip(column("line")[tells & (column("need") == 1)].tolist(), unit[tells & (column("need") == 1)].tolist())}
             often = [(i, _mix(unit[own].astype(U) + U(1)) ^ column("t")[own].view(U)) for i in range(len(names)) if len(
                 own := np.flatnonzero(tells & (column("line") == i)))]
             if tells.any():
@@ -155,6 +166,12 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
             frequent = np.zeros(len(line), np.int64)  # a bit for each field
             for i, codes in often:
                 frequent |= np.isin(value[i] ^ salt, codes).astype(np.int64) << i
+            begins = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            several = (sides[-1] | sides[1])[begins]
+            # Fields on which all rows agree that can meet: sets that want them to differ find nothing.
+            agreed = {i for i in range(len(names)) if (asks == -1).any() and value[i, 0] != 0 and (
+                np.minimum.reduceat(value[i], begins) == np.maximum.reduceat(value[i], begins)).all() and (value[i, begins] != 0).all() and all(
+                (i, u) in sole for u in unit[begins[several]].tolist())}
             partners = np.zeros(len(line), np.int64)  # of points that are not under those of the last sets
             alive = asks >= -1
             full = asks == -1
@@ -164,9 +181,23 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
             def best(found):
                 """The best ``limit`` pairs of every entry."""
                 x, y, worth = (np.concatenate(c) for c in zip(*found, strict=True))
-                order = np.lexsort((line[y], t[y], np.abs(line[x] - line[y]), -worth, x))
+                if not len(x):
+                    return x, y, worth
+                far, low = np.abs(line[x] - line[y]), cap - worth.astype(np.int64)
+                wide, deep = int(far.max()).bit_length(), cap.bit_length()
+                if wide + deep + len(line).bit_length() < 64:  # entry, score and distance as one number; only ties look at more
+                    code = x << (wide + deep) | low << wide | far
+                    order = np.argsort(code)
+                    code = code[order]
+                    equal = code[1:] == code[:-1]
+                    ties = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
+                    tied = order[ties]
+                    order[ties] = tied[np.lexsort((line[y[tied]], t[y[tied]], code[ties]))]
+                else:
+                    order = np.lexsort((line[y], t[y], far, low, x))
                 x = x[order]
-                kept = np.arange(len(x)) - np.searchsorted(x, x) < limit
+                heads = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+                kept = np.arange(len(x)) - np.repeat(heads, np.diff(np.append(heads, len(x)))) < limit
                 return x[kept], y[order[kept]], worth[order[kept]]
 
             def rowed(kind, at, **more):
@@ -181,7 +212,6 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
                 last = last[np.bincount(x[far > 0], minlength=len(line))[x[last]] >= limit]
                 least, reach = np.full(len(line), -1, np.int64), np.zeros(len(line), np.int64)
                 least[x[last]], reach[x[last]] = worth[last], far[last]
-                begins = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
                 run = np.cumsum(np.append(0, unit[1:] != unit[:-1]))
                 edge = {-1: line[begins][run], 1: line[np.append(begins[1:], len(line)) - 1][run]}
                 rarest = sorted(range(len(names)), key=lambda i: -len(np.unique(value[i])))
@@ -207,13 +237,17 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
             kinds = [("kind", pa.string()), ("source", pa.string()), *[(c, pa.int64()) for c in ("bin", "blk", "place", "line", "t", "other", "other_t")],
                      ("score", pa.int32()), ("s", pa.int32()), ("key", pa.int64()), ("side", pa.int32()), ("need", pa.int32()), ("field", pa.int32()),
                      *[(f, pa.int64()) for f in names]]
+            if whole:
+                kinds = [(c, k) for c, k in kinds if c in ("source", "line", "other", "other_t", "score")]
             for number, (points, fields, differ) in enumerate(sets):
                 if points != score:
                     alive = alive & ~(full & (partners >= limit))
                     score = points
+                if agreed.intersection(differ):
+                    continue
                 asking = alive & (full | (asks == number))
-                several = member & (sides[-1] | sides[1]) & (asks < 0)  # members of bins that go on in other blocks
-                if not asking.any() and not several.any():
+                linked = member & (sides[-1] | sides[1]) & (asks < 0)  # members of bins that go on in other blocks
+                if not asking.any() and not linked.any():
                     continue
                 rows_of = np.flatnonzero((value[fields] != 0).all(axis=0))
                 if not len(rows_of):
@@ -232,7 +266,7 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
                 run_end = np.append(run_start[1:], has.sum())
                 listed = at[has]
                 all_of = sum(1 << i for i in fields)
-                heads = begin[several[at[begin]] & (frequent[at[begin]] & all_of == all_of)]
+                heads = begin[linked[at[begin]] & (frequent[at[begin]] & all_of == all_of)]
                 if len(heads):
                     known.append(rowed("key", at[heads], key=key[heads].view(np.int64)))
                 q = np.flatnonzero(asking[at])
@@ -240,12 +274,15 @@ def _searched(rows: DataFrame, names: list[str], sets: list, band: int, limit: i
                     continue
                 a = at[q]
                 times = t[listed]
+                more = np.append(times, times[-1])  # runs without members begin behind the last one
+                soonest, latest = np.minimum.reduceat(more, run_start)[run_of[q]], np.maximum.reduceat(more, run_start)[run_of[q]]
+                inside = (latest <= t[a] + band) & (soonest >= t[a] - band)  # all of the run
                 for side, goes_on in sides.items():
                     on = np.flatnonzero(full[a] | goes_on[a])
                     p, r = q[on], a[on]
                     first = ahead[p] - 1 if side < 0 else ahead[p] + has[p]
                     last = run_start[run_of[p]] if side < 0 else run_end[run_of[p]] - 1
-                    whom, where, got = walk(times, first, last, side, t[r], need[r], band)
+                    whom, where, got = walk(times, first, last, side, t[r], need[r], band, inside[on])
                     x, y = r[whom], listed[where]
                     more = np.zeros(len(x), bool)
                     for f in differ:
@@ -298,13 +335,14 @@ def far_pairs(keys: DataFrame, points: dict[str, int], cap: int, seconds: int, l
     valued = lambda rows, fields: rows.withColumn("one", F.explode(F.array(
         *[F.struct(F.lit(i).alias("field"), F.col(names[i]).alias("value")) for i in fields]))).select(*rows.columns, "one.*").where("value <> 0")
     frequent = staged(valued(spread.join(crowded, ["source", "bin"]).select("source", "bin", "rows", *names), range(len(names))).groupBy(
-        "source", "bin", "rows", "field", "value").agg(one).where(F.col("n") > often).select("source", "bin", "field", "value"), "band_frequent")
+        "source", "bin", "rows", "field", "value").agg(one).where(F.col("n") > often).select(
+        "source", "bin", "field", "value", (F.col("n") == F.col("rows")).alias("sole")), "band_frequent")
     no, place = F.lit(False), (2 * F.col("line")).alias("place")
     members = spread.join(units, ["source", "bin", "cell"], "left").select(
         "source", "bin", F.coalesce("blk", F.lit(0)).alias("blk"), place, "line", "t", "own", *names, F.coalesce("before", no).alias("before"), F.coalesce("after", no).alias("after"))
     told = frequent.join(units.select("source", "bin", "blk").distinct(), ["source", "bin"]).select(
         "source", "bin", "blk", F.lit(0).alias("place"), F.col("field").cast("long").alias("line"), F.col("value").alias("t"), *[F.lit(0).alias(f) for f in names],
-        no.alias("member"), F.lit(-3).alias("asks"), F.lit(0).alias("need"), no.alias("before"), no.alias("after"))
+        no.alias("member"), F.lit(-3).alias("asks"), F.col("sole").cast("int").alias("need"), no.alias("before"), no.alias("after"))
     asked = members.select(
         "source", "bin", "blk", "place", "line", "t", *names, F.lit(True).alias("member"), F.when(F.col("own") == F.col("bin"), -1).otherwise(-2).alias("asks"),
         F.lit(limit).alias("need"), "before", "after").unionByName(told)
@@ -320,7 +358,7 @@ def far_pairs(keys: DataFrame, points: dict[str, int], cap: int, seconds: int, l
         asks = asks.withColumn("value", F.element_at(F.array(*names), F.col("field") + 1))
         there = valued(spread.join(crowded, ["source", "bin"], "left_semi").select("source", "bin", "line", "t", *names), wanted).join(
             asks.select(*by_value).distinct(), by_value, "left_semi").select("source", "bin", own_unit, place, "line", "t", *names, *found_only)
-        pairs = pairs.unionByName(pair(search(there.unionByName(asks.select("source", "bin", own_unit, "place", "line", "t", *names, *asking)), "band_rare", True)))
+        pairs = pairs.unionByName(search(there.unionByName(asks.select("source", "bin", own_unit, "place", "line", "t", *names, *asking)), "band_rare", True))
     same = Window.partitionBy("source", "bin", "key").orderBy("blk")
     links = staged(found.where("kind = 'key'").select(
         "source", "bin", "key", "blk", F.lag("blk").over(same).alias("left"), F.lead("blk").over(same).alias("right")).where(

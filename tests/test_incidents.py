@@ -145,6 +145,26 @@ def test_rare_values_of_a_crowded_bin_are_asked_for_once(spark, monkeypatch):
     assert steps.count("band_waiting") <= 3 and steps.count("band_rare") == 1
 
 
+def test_sets_that_no_pair_can_differ_on_are_left_out(spark, monkeypatch):
+    """All of a crowded log agree on the environment: sets without it are not walked, listed or asked for."""
+    from faultline.operators import band_search
+    listed = []
+
+    def seen(df, name, real=band_search.staged):
+        out = real(df, name)
+        if name == "band_found":
+            listed.append(out.where("kind = 'key'").count())
+        return out
+
+    monkeypatch.setattr(band_search, "staged", seen)
+    rows = [entry(7 * i, i * 37 % 100, api_path=f"/{i % 2}", server_name=f"s{i % 3}", environment="PROD") for i in range(400)]
+    check_against_brute(spark, rows, block=40)
+    agreed = listed[0]
+    listed.clear()
+    check_against_brute(spark, [*rows[:-1], entry(2793, 63, api_path="/1", server_name="s0", environment="")], block=40)
+    assert 0 < agreed < listed[0]
+
+
 def test_few_rows_of_a_bin_in_many_places_are_one_unit(spark, monkeypatch):
     """Twelve logs of the same seconds laid together: blocks count rows, so nothing goes from block to block."""
     from faultline.operators import band_search
